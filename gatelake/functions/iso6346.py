@@ -108,6 +108,7 @@ def _reading(upper: Column) -> Column:
         return F.when(text != "", F.concat(F.lit(tag), text))
 
     return F.coalesce(
+        F.when(upper.rlike(NUMBER), F.concat(F.lit("N"), upper)),  # nothing but a number: no search needed
         _bound(full, lambda f: F.when(F.size(f) > 1, F.lit("M")).when(
             F.size(f) == 1, F.concat(F.lit("N"), F.get(f, F.lit(0))))),
         tagged("S", _only_alnum(F.regexp_extract(upper, SIX_DIGIT_NUMBER, 1))),

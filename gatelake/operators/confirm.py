@@ -18,6 +18,15 @@ def first_arrivals(reads: DataFrame, keys: list[str]) -> DataFrame:
     return first.select(*[F.col(k) if k in keys else F.col(f"_first.{k}").alias(k) for k in reads.columns])
 
 
+def first_attempts(reads: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
+    """The reads that can decide an origin: its first ``ocr_max_attempts`` distinct sequences.
+
+    Needs no validation, so it goes before it and spares the text work on every later read.
+    """
+    once = first_arrivals(reads, [*ORIGIN, "sequence"])
+    return newest_per_group(once, ORIGIN, [F.col("sequence")], p.ocr_max_attempts)
+
+
 def read_votes(validated: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
     """Votes of good reads per origin and number, their rank, and whether the rank is shared."""
     good = validated.where(F.col("valid_check_digit") & (F.col("confidence") >= p.ocr_min_confidence))
@@ -45,8 +54,7 @@ def confirm_reads(validated: DataFrame, p: GateParams = DEFAULTS, pending: bool
     before the shuffle, and what is collected per origin is that small. ``pending=True`` returns the origins
     that have not emitted yet with their number of reads instead.
     """
-    once = first_arrivals(validated, [*ORIGIN, "sequence"])
-    few = newest_per_group(once, ORIGIN, [F.col("sequence")], p.ocr_max_attempts)
+    few = first_attempts(validated, p)
     rest = [c for c in few.columns if c not in ORIGIN]
     gathered = few.withColumn(
         "good", F.col("valid_check_digit") & (F.col("confidence") >= p.ocr_min_confidence)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gatelake.functions.clock import iso_z
 from gatelake.functions.iso6346 import feet_size, stand_alone_size_code
@@ -130,13 +129,15 @@ def event_sizes(detections: DataFrame, ocr: DataFrame, feet_label: str = "FEET")
         F.col("_first._code").alias("size_code"))
 
 
-def _gathered(rows: DataFrame, key: str, item: Column, name: str, part_rows: int) -> DataFrame:
-    """Item arrays per key. A key with more than ``part_rows`` rows is spread over numbered parts of about that size."""
+def _gathered(rows: DataFrame, key: str, fields: list[str], name: str, part_rows: int) -> DataFrame:
+    """Item arrays per key in (time, id) order. A key with more than ``part_rows`` rows is spread over numbered parts of about that size."""
     counts = rows.groupBy("site_id", key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows).select(
         "site_id", key, F.ceil(F.col("_n") / part_rows).cast("bigint").alias("_parts"))
     spread = rows.join(counts, ["site_id", key], "left").withColumn(
         "part", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))).cast("int"))
-    return spread.groupBy("site_id", key, "part").agg(F.array_sort(F.collect_list(item)).alias(name))
+    items = F.array_sort(F.collect_list(F.struct("timestamp", "id", *fields)))
+    return spread.groupBy("site_id", key, "part").agg(F.transform(items, lambda i: F.struct(
+        iso_z(i["timestamp"]).alias("timestamp"), i["id"].alias("id"), *[i[f].alias(f) for f in fields])).alias(name))
 
 
 def event_documents(events: DataFrame, detections: DataFrame, ocr: DataFrame, snapshots: DataFrame,
@@ -146,17 +147,14 @@ def event_documents(events: DataFrame, detections: DataFrame, ocr: DataFrame, sn
     An ordinary event is one document, part 0. Evidence beyond ``part_rows`` items goes to further parts of
     the same event, so no row grows without bound and nothing is left out.
     """
-    det_item = F.struct(iso_z(F.col("timestamp")).alias("timestamp"), "id", "camera_id", "origin_key", "track_id",
-                        "class_name", "confidence", "bbox")
     links = detections.select("site_id", F.col("id").alias("detection_id"), "event_id")
     ocr_linked = ocr.join(links, ["site_id", "detection_id"])
-    ocr_item = F.struct(iso_z(F.col("timestamp")).alias("timestamp"), "id", "detection_id", "raw_text",
-                        "normalized_text", "confidence", "valid_format", "valid_check_digit", "validation_status")
-    snap_item = F.struct(iso_z(F.col("timestamp")).alias("timestamp"), "id", "camera_id", "image_path")
     keyed = [
-        _gathered(detections, "event_id", det_item, "detections", part_rows),
-        _gathered(ocr_linked, "event_id", ocr_item, "ocr_results", part_rows),
-        _gathered(snapshots, "event_id", snap_item, "snapshots", part_rows),
+        _gathered(detections, "event_id", ["camera_id", "origin_key", "track_id", "class_name", "confidence", "bbox"],
+                  "detections", part_rows),
+        _gathered(ocr_linked, "event_id", ["detection_id", "raw_text", "normalized_text", "confidence", "valid_format",
+                                           "valid_check_digit", "validation_status"], "ocr_results", part_rows),
+        _gathered(snapshots, "event_id", ["camera_id", "image_path"], "snapshots", part_rows),
     ]
     children = keyed[0]
     for other in keyed[1:]:

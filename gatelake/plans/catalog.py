@@ -29,10 +29,6 @@ def _reads(s, sf):
     return d.reads(s, sf)
 
 
-def _validated(s, sf):
-    return text.validate_reads(d.reads(s, sf))
-
-
 def _once(s, sf):
     return confirm.first_arrivals(d.reads(s, sf), ["site_id", "origin_key", "sequence"])
 
@@ -231,7 +227,8 @@ def dropped_frames(s, sf):
 
 @query
 def confirm_reads(s, sf):
-    return confirm.confirm_reads(_validated(s, sf)).drop("arrival", "started_at", "corrected_text")
+    decisive = confirm.first_attempts(d.reads(s, sf))
+    return confirm.confirm_reads(text.validate_reads(decisive)).drop("arrival", "started_at", "corrected_text")
 
 
 @query

@@ -518,16 +518,16 @@ Q["fk_violations"] = """
   SELECT site_id, id, camera_id, event_id, 'detections.event_id' FROM w_dets d
   WHERE NOT EXISTS (SELECT 1 FROM w_events e WHERE e.site_id = d.site_id AND e.id = d.event_id AND status = 'CONFIRMED')"""
 _DOC_PARTS = f"""
-  d AS (SELECT site_id, event_id, CAST(to_json(list({{'timestamp': {iso_z('timestamp')}, 'id': id, 'camera_id': camera_id,
+  d AS MATERIALIZED (SELECT site_id, event_id, CAST(to_json(list({{'timestamp': {iso_z('timestamp')}, 'id': id, 'camera_id': camera_id,
           'origin_key': origin_key, 'track_id': track_id, 'class_name': class_name, 'confidence': confidence,
           'bbox': CAST(bbox AS JSON)}} ORDER BY timestamp, id)) AS VARCHAR) AS detections
         FROM w_dets GROUP BY site_id, event_id),
-  o AS (SELECT r.site_id, x.event_id, CAST(to_json(list({{'timestamp': {iso_z('r.timestamp')}, 'id': r.id,
+  o AS MATERIALIZED (SELECT r.site_id, x.event_id, CAST(to_json(list({{'timestamp': {iso_z('r.timestamp')}, 'id': r.id,
           'detection_id': r.detection_id, 'raw_text': r.raw_text, 'normalized_text': r.normalized_text,
           'confidence': r.confidence, 'valid_format': r.valid_format, 'valid_check_digit': r.valid_check_digit,
           'validation_status': r.validation_status}} ORDER BY r.timestamp, r.id)) AS VARCHAR) AS ocr_results
         FROM w_ocr r JOIN w_dets x ON x.site_id = r.site_id AND x.id = r.detection_id GROUP BY r.site_id, x.event_id),
-  s AS (SELECT site_id, event_id, CAST(to_json(list({{'timestamp': {iso_z('timestamp')}, 'id': id, 'camera_id': camera_id,
+  s AS MATERIALIZED (SELECT site_id, event_id, CAST(to_json(list({{'timestamp': {iso_z('timestamp')}, 'id': id, 'camera_id': camera_id,
           'image_path': image_path}} ORDER BY timestamp, id)) AS VARCHAR) AS snapshots
         FROM w_snaps GROUP BY site_id, event_id)"""
 Q["event_documents"] = f"""

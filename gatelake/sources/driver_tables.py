@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelake.functions.iso6346 import check_digit
+from gatelake.session import spread
 
 # Start of the derived timelines (UTC) in epoch microseconds, and owner codes.
 READS_EPOCH_US = 1_767_225_600_000_000  # 2026-01-01
@@ -85,7 +86,8 @@ def raw_detections_of(events: DataFrame) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads_of(table(spark, sf_dir, "lineitem"))
+    used = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount")
+    return reads_of(spread(table(spark, sf_dir, "lineitem").select(*used)))
 
 
 def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
