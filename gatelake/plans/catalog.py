@@ -15,6 +15,7 @@ from gatelake.plans import pipeline
 from gatelake.session import materialize, work_dir
 from gatelake.sources import driver_tables as d
 from gatelake.sources import tables
+from gatelake.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -447,3 +448,47 @@ def event_summary(s, sf):
 @query
 def event_latency(s, sf):
     return metrics.event_latency(_assigned(s, sf))
+
+
+# Streams ------------------------------------------------------------------------------------------
+
+
+@query
+def stream_tracks(s, sf):
+    arriving = streams.replayed(_clean(s, sf), "frame_timestamp", "clean-stream")
+    return streams.run_available(streams.stream_tracks(arriving), "stream-tracks")
+
+
+@query
+def stream_confirm(s, sf):
+    decisive = confirm.first_attempts(d.reads(s, sf))
+    arriving = streams.replayed(decisive, "frame_timestamp", "read-stream")
+    emitted = streams.run_available(streams.stream_confirm(text.validate_reads(arriving)), "stream-confirm")
+    return emitted.select("site_id", "origin_key", "sequence", "frame_timestamp", "normalized_text", "confidence",
+                          "confirmed", "container_number", "attempts")
+
+
+@query
+def stream_events(s, sf):
+    arriving = streams.replayed(pipeline.observations(d.reads(s, sf)), "frame_timestamp", "observation-stream")
+    return streams.run_available(streams.stream_events(arriving), "stream-events")
+
+
+@query
+def stream_dedup(s, sf):
+    arriving = streams.replayed(d.reads(s, sf), "frame_timestamp", "retry-stream")
+    return streams.run_available(streams.stream_dedup(arriving), "stream-dedup")
+
+
+@query
+def stream_fps(s, sf):
+    frames = detect.frames_of(d.raw_detections(s, sf))
+    arriving = streams.replayed(frames, "frame_timestamp", "frame-stream")
+    return streams.run_updates(streams.stream_fps(arriving), "stream-fps", ["site_id", "camera_id", "window_start"])
+
+
+@query
+def stream_outbox(s, sf):
+    assigned = _assigned(s, sf)
+    arriving = streams.replayed(assigned, "frame_timestamp", "assignment-stream", tail=assigned)
+    return streams.run_outbox(arriving, "stream-outbox")

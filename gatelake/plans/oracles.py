@@ -749,6 +749,18 @@ Q["event_latency"] = newest_quantiles(
     "w_assigned", "CASE WHEN created THEN 'events_created' ELSE 'evidence_associated' END", "frame_timestamp", "origin_key",
     "(epoch_us(frame_timestamp) - epoch_us(started_at)) / 1000000.0::DOUBLE")
 
+# Streams give what the batch form gives.
+Q["stream_tracks"] = Q["track_objects"]
+Q["stream_confirm"] = """
+  SELECT site_id, origin_key, sequence, frame_timestamp, normalized_text, confidence, confirmed, container_number, attempts
+  FROM w_obs"""
+Q["stream_events"] = Q["associate_events"]
+Q["stream_dedup"] = "SELECT DISTINCT site_id, origin_key, sequence FROM w_reads"
+Q["stream_fps"] = """
+  SELECT site_id, camera_id, make_timestamp(((us // 1000000) - back) * 1000000) AS window_start, count(*) AS frames
+  FROM w_frames, (SELECT unnest(range(5)) AS back) GROUP BY ALL"""
+Q["stream_outbox"] = Q["outbox_payloads"]
+
 
 def needed(sql: str) -> list[str]:
     """Steps the text names, with their own, in definition order."""
