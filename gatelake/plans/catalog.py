@@ -455,40 +455,39 @@ def event_latency(s, sf):
 
 @query
 def stream_tracks(s, sf):
-    arriving = streams.replayed(_clean(s, sf), "frame_timestamp", "clean-stream")
-    return streams.run_available(streams.stream_tracks(arriving), "stream-tracks")
+    return streams.replay(_clean(s, sf), "frame_timestamp", "stream-tracks",
+                          lambda arriving, path: streams.run_available(streams.stream_tracks(arriving), path))
 
 
 @query
 def stream_confirm(s, sf):
-    decisive = confirm.first_attempts(d.reads(s, sf))
-    arriving = streams.replayed(decisive, "frame_timestamp", "read-stream")
-    emitted = streams.run_available(streams.stream_confirm(text.validate_reads(arriving)), "stream-confirm")
+    emitted = streams.replay(
+        confirm.first_attempts(d.reads(s, sf)), "frame_timestamp", "stream-confirm",
+        lambda arriving, path: streams.run_available(streams.stream_confirm(text.validate_reads(arriving)), path))
     return emitted.select("site_id", "origin_key", "sequence", "frame_timestamp", "normalized_text", "confidence",
                           "confirmed", "container_number", "attempts")
 
 
 @query
 def stream_events(s, sf):
-    arriving = streams.replayed(pipeline.observations(d.reads(s, sf)), "frame_timestamp", "observation-stream")
-    return streams.run_available(streams.stream_events(arriving), "stream-events")
+    return streams.replay(pipeline.observations(d.reads(s, sf)), "frame_timestamp", "stream-events",
+                          lambda arriving, path: streams.run_available(streams.stream_events(arriving), path))
 
 
 @query
 def stream_dedup(s, sf):
-    arriving = streams.replayed(d.reads(s, sf), "frame_timestamp", "retry-stream")
-    return streams.run_available(streams.stream_dedup(arriving), "stream-dedup")
+    return streams.replay(d.reads(s, sf), "frame_timestamp", "stream-dedup",
+                          lambda arriving, path: streams.run_available(streams.stream_dedup(arriving), path))
 
 
 @query
 def stream_fps(s, sf):
-    frames = detect.frames_of(d.raw_detections(s, sf))
-    arriving = streams.replayed(frames, "frame_timestamp", "frame-stream")
-    return streams.run_updates(streams.stream_fps(arriving), "stream-fps", ["site_id", "camera_id", "window_start"])
+    keys = ["site_id", "camera_id", "window_start"]
+    return streams.replay(detect.frames_of(d.raw_detections(s, sf)), "frame_timestamp", "stream-fps",
+                          lambda arriving, path: streams.run_updates(streams.stream_fps(arriving), path, keys))
 
 
 @query
 def stream_outbox(s, sf):
     assigned = _assigned(s, sf)
-    arriving = streams.replayed(assigned, "frame_timestamp", "assignment-stream", tail=assigned)
-    return streams.run_outbox(arriving, "stream-outbox")
+    return streams.replay(assigned, "frame_timestamp", "stream-outbox", streams.run_outbox, tail=assigned)

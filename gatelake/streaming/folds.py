@@ -69,8 +69,9 @@ def confirm_stream(confirmations, max_attempts, keep_ms):
             state.remove()
             return
         saved = _loaded(state, {"closed": False, "reads": [], "sequences": []})
-        out = []
+        out, last_ms = [], state.getCurrentWatermarkMs()
         for row in _ordered(pdfs, ["sequence", "arrival"]).to_dict("records"):
+            last_ms = max(last_ms, int(row["us"]) // 1000)
             if saved["closed"] or row["sequence"] in saved["sequences"]:
                 continue
             saved["sequences"].append(int(row["sequence"]))
@@ -88,7 +89,7 @@ def confirm_stream(confirmations, max_attempts, keep_ms):
             out.append((*key, *[_bare(row[c]) for c in place_columns], *chosen, bool(leads), number, len(saved["reads"])))
             saved = {"closed": True, "reads": [], "sequences": []}
         state.update((json.dumps(saved),))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + keep_ms)
+        state.setTimeoutTimestamp(last_ms + keep_ms)
         if out:
             yield pd.DataFrame(out, columns=columns)
 

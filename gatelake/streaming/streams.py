@@ -1,12 +1,14 @@
 """Structured Streaming forms of the stateful operators.
 
-Each function takes a streaming DataFrame and returns one; ``run_available`` drives a query over everything
-that has arrived and returns the written table. On the same input, in time order across micro-batches, the
-result equals that of the batch operator.
+Each ``stream_`` function takes a streaming DataFrame and returns one; each ``run_`` function drives a query
+over everything that has arrived and returns the written table. On the same input, in time order across
+micro-batches, the result equals that of the batch operator.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,48 +86,43 @@ def stream_fps(frames: DataFrame, window: str = "5 seconds", slide: str = "1 sec
                           "frames")
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Append everything that has arrived to a table in the shared folder and return the table."""
-    spark = stream.sparkSession
-    path = work_dir(spark, name)
+def run_available(stream: DataFrame, path: str) -> DataFrame:
+    """Append everything that has arrived to the table at ``path`` and return the table."""
     stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
         "checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def run_updates(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def run_updates(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """Like ``run_available`` for updating results: every version is kept with its batch, the last one wins.
 
     A batch that is repeated after a failure overwrites its own folder, so it counts once.
     """
-    spark = stream.sparkSession
-    path = work_dir(spark, name)
-
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     stream.writeStream.outputMode("update").foreachBatch(keep).option(
         "checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    versions = spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
+    versions = stream.sparkSession.read.option("basePath", path).parquet(f"{path}/batch_id=*")
     rest = [c for c in stream.columns if c not in keys]
     latest = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_last"))
     return latest.select(*keys, "_last.*")
 
 
-def run_outbox(assignments: DataFrame, name: str) -> DataFrame:
+def run_outbox(assignments: DataFrame, path: str) -> DataFrame:
     """Deliver confirmed observations to an outbox table once.
 
     Each batch writes only deliveries not in the table yet, into a folder of its own that a repeated batch
     overwrites, so a retry adds nothing.
     """
     spark = assignments.sparkSession
-    path = work_dir(spark, name)
+    stored = "site_id string, delivery_id string, batch_id bigint"
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
         fresh = ledger.outbox_payloads(batch).dropDuplicates(["site_id", "delivery_id"])
         if batch_id > 0:
-            done = spark.read.option("basePath", path).schema("site_id string, delivery_id string, batch_id bigint").parquet(
-                f"{path}/batch_id=*").where(F.col("batch_id") < batch_id).select("site_id", "delivery_id")
+            done = spark.read.option("basePath", path).schema(stored).parquet(f"{path}/batch_id=*").where(
+                F.col("batch_id") < batch_id).select("site_id", "delivery_id")
             fresh = fresh.join(done, ["site_id", "delivery_id"], "left_anti")
         fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
@@ -134,20 +131,20 @@ def run_outbox(assignments: DataFrame, name: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/batch_id=*").drop("batch_id")
 
 
-def replayed(df: DataFrame, ts: str, name: str, slices: int = 3, tail: DataFrame | None = None) -> DataFrame:
-    """A table as a stream: written in time slices, one after the other, then read one slice per micro-batch.
+def replay(df: DataFrame, ts: str, name: str, drive: Callable[[DataFrame, str], DataFrame], slices: int = 3,
+           tail: DataFrame | None = None) -> DataFrame:
+    """Let a table arrive in time slices and drive a stream over each slice, resuming it from its checkpoint.
 
-    ``tail`` is a table that arrives once more at the end, as after a producer's restart.
+    ``drive`` gets the arriving stream and the path of the result. ``tail`` is a table that arrives at the
+    end, such as rows a restarted producer sends again.
     """
     spark: SparkSession = df.sparkSession
-    path = work_dir(spark, name)
+    arrived, result = work_dir(spark, f"{name}-arrived"), work_dir(spark, name)
     us = to_us(F.col(ts))
     low, high = df.agg(F.min(us), F.max(us)).first()
     width = (high - low) // slices + 1
     parts = [df.where((us >= low + i * width) & (us < low + (i + 1) * width)) for i in range(slices)]
-    if tail is not None:
-        parts.append(tail)
-    for i, part in enumerate(parts):
-        part.write.parquet(f"{path}/slice={i}")
-    return spark.readStream.schema(df.schema).option("basePath", path).option(
-        "maxFilesPerTrigger", spark.sparkContext.defaultParallelism).parquet(f"{path}/slice=*")
+    for part in parts + ([tail] if tail is not None else []):
+        part.write.mode("append").parquet(arrived)
+        table = drive(spark.readStream.schema(df.schema).parquet(arrived), result)
+    return table
