@@ -86,7 +86,7 @@ def stand_alone_size_code(text: Column) -> Column:
     return F.nullif(F.regexp_extract(F.upper(text), SIZE_CODE_STRICT, 1), F.lit(""))
 
 
-def _bound(value: Column, use) -> Column:
+def bound(value: Column, use) -> Column:
     """``use`` applied to ``value`` computed once.
 
     A lambda variable is never replaced by its definition, so neither the optimizer nor a filter pushed below
@@ -109,7 +109,7 @@ def _reading(upper: Column) -> Column:
 
     return F.coalesce(
         F.when(upper.rlike(NUMBER), F.concat(F.lit("N"), upper)),  # nothing but a number: no search needed
-        _bound(full, lambda f: F.when(F.size(f) > 1, F.lit("M")).when(
+        bound(full, lambda f: F.when(F.size(f) > 1, F.lit("M")).when(
             F.size(f) == 1, F.concat(F.lit("N"), F.get(f, F.lit(0))))),
         tagged("S", _only_alnum(F.regexp_extract(upper, SIX_DIGIT_NUMBER, 1))),
         tagged("C", _only_alnum(F.regexp_extract(upper, SIZE_CODE, 0))),
@@ -141,7 +141,7 @@ def _judgement(corrected: Column, reading: Column, total: Column) -> Column:
             status.alias("validation_status"),
             derived.alias("check_digit_derived"))
 
-    return _bound(repair, outcome)
+    return bound(repair, outcome)
 
 
 def validation(text: Column, text_limit: int = TEXT_LIMIT) -> Column:
@@ -153,10 +153,10 @@ def validation(text: Column, text_limit: int = TEXT_LIMIT) -> Column:
     def summed(corrected: Column, reading: Column) -> Column:
         body = F.substring(reading, 2, NORMALIZED_LIMIT)
         total = F.when((F.substring(reading, 1, 1) == "S") | body.rlike(NUMBER), weighted_sum(body))
-        return _bound(total, lambda t: _judgement(corrected, reading, t))
+        return bound(total, lambda t: _judgement(corrected, reading, t))
 
-    return _bound(fix_size_code(F.substring(text, 1, text_limit)),
-                  lambda corrected: _bound(_reading(F.upper(corrected)), lambda reading: summed(corrected, reading)))
+    return bound(fix_size_code(F.substring(text, 1, text_limit)),
+                  lambda corrected: bound(_reading(F.upper(corrected)), lambda reading: summed(corrected, reading)))
 
 
 def with_validation(reads: DataFrame, text: str = "raw_text", text_limit: int = TEXT_LIMIT) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatelake.functions.iso6346 import bound
 from gatelake.operators.ordered import newest_per_group
 from gatelake.params import DEFAULTS, GateParams
 
@@ -35,53 +36,71 @@ def read_votes(validated: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
     return ranked.withColumn("tied", F.count(F.lit(1)).over(Window.partitionBy(*ORIGIN, "votes")) > 1)
 
 
-def _verdict(k: Column, reads: str, p: GateParams) -> Column:
-    """State after the first ``k`` reads: leading number when confirmed, else null."""
-    good = F.filter(F.slice(F.col(reads), F.lit(1), k), lambda r: r["good"])
-    texts = F.transform(good, lambda r: r["normalized_text"])
-    counts = F.transform(F.array_distinct(texts), lambda t: F.struct(
-        F.size(F.filter(texts, lambda u: u == t)).alias("votes"), t.alias("text")))
-    ranked = F.sort_array(counts, asc=False)
-    first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    return F.when((first["votes"] >= p.ocr_confirmations)
-                  & F.coalesce(first["votes"] > second["votes"], F.lit(True)), first["text"])
+def _leader(reads: Column, p: GateParams) -> Column:
+    """The number that leads the good reads with enough votes and without a tie, else null."""
+    def counted(texts: Column) -> Column:
+        votes = F.transform(F.array_distinct(texts), lambda t: F.struct(
+            F.size(F.filter(texts, lambda u: u == t)).alias("votes"), t.alias("text")))
+        return bound(F.sort_array(votes, asc=False), decided)
 
+    def decided(ranked: Column) -> Column:
+        first, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+        return F.when((first["votes"] >= p.ocr_confirmations)
+                      & F.coalesce(first["votes"] > second["votes"], F.lit(True)), first["text"])
 
-def confirm_reads(validated: DataFrame, p: GateParams = DEFAULTS, pending: bool = False) -> DataFrame:
+    good = F.filter(reads, lambda r: r["good"])
+    return bound(F.transform(good, lambda r: r["normalized_text"]), counted)
+
+
+def _emission(reads: Column, p: GateParams) -> Column:
+    """At which read an origin emits, and the number then confirmed; null while it is pending."""
+    first = F.get(F.filter(
+        F.transform(F.sequence(F.lit(1), F.size(reads)), lambda k: F.struct(
+            k.alias("k"), _leader(F.slice(reads, F.lit(1), k), p).alias("number"))),
+        lambda v: v["number"].isNotNull()), F.lit(0))
+    last = F.when(F.size(reads) >= p.ocr_max_attempts, F.struct(
+        F.lit(p.ocr_max_attempts).alias("k"), F.lit(None).cast("string").alias("number")))
+    return F.coalesce(first, last)
+
+
+def _selected(reads: Column, emission: Column) -> Column:
+    """The read an observation shows: the surest good read of the number, the earliest of equals, else the last."""
+    used = F.slice(reads, F.lit(1), emission["k"])
+    supporters = F.filter(used, lambda r: r["good"] & (r["normalized_text"] == emission["number"]))
+    best = bound(supporters, lambda s: F.aggregate(
+        s, F.get(s, F.lit(0)), lambda a, r: F.when(r["confidence"] > a["confidence"], r).otherwise(a)))
+    return F.when(emission["number"].isNotNull(), best).otherwise(F.get(reads, emission["k"] - 1))
+
+
+def confirm_reads(validated: DataFrame, p: GateParams = DEFAULTS, pending: bool = False,
+                  decisive: bool = False) -> DataFrame:
     """One observation per origin, emitted at the read that confirms a number or at the last allowed read.
 
     Only the first ``ocr_max_attempts`` distinct sequences of an origin matter: the window limit is applied
-    before the shuffle, and what is collected per origin is that small. ``pending=True`` returns the origins
-    that have not emitted yet with their number of reads instead.
+    before the shuffle, and what is collected per origin is that small. ``decisive=True`` tells that the
+    input went through ``first_attempts`` already. ``pending=True`` returns the origins that have not
+    emitted yet with their number of reads instead.
     """
-    few = first_attempts(validated, p)
+    few = validated if decisive else first_attempts(validated, p)
     rest = [c for c in few.columns if c not in ORIGIN]
     gathered = few.withColumn(
         "good", F.col("valid_check_digit") & (F.col("confidence") >= p.ocr_min_confidence)
-    ).groupBy(*ORIGIN).agg(F.array_sort(F.collect_list(F.struct(
+    ).groupBy(*ORIGIN).agg(F.sort_array(F.collect_list(F.struct(
         "sequence", "good", *[c for c in rest if c != "sequence"]))).alias("reads"))
-    judged = gathered.withColumn("verdicts", F.transform(
-        F.sequence(F.lit(1), F.size("reads")), lambda k: _verdict(k, "reads", p)))
-    placed = judged.withColumn("k", F.coalesce(
-        F.get(F.filter(F.transform("verdicts", lambda v, i: F.when(v.isNotNull(), i + 1)), lambda i: i.isNotNull()),
-              F.lit(0)),
-        F.when(F.size("reads") >= p.ocr_max_attempts, F.lit(p.ocr_max_attempts))))
     if pending:
-        return placed.where("k is null").select(*ORIGIN, F.size("reads").alias("reads"))
-    emitted = placed.where("k is not null").withColumn("number", F.get("verdicts", F.col("k") - 1))
-    used = F.slice("reads", F.lit(1), F.col("k"))
-    supporters = F.filter(used, lambda r: r["good"] & (r["normalized_text"] == F.col("number")))
-    best = F.aggregate(
-        F.slice(supporters, F.lit(2), F.size("reads")), F.get(supporters, F.lit(0)),
-        lambda a, r: F.when(r["confidence"] > a["confidence"], r).otherwise(a))
-    chosen = emitted.withColumn("current", F.get("reads", F.col("k") - 1)).withColumn(
-        "selected", F.when(F.col("number").isNotNull(), best).otherwise(F.col("current")))
+        return gathered.where(_emission(F.col("reads"), p).isNull()).select(*ORIGIN, F.size("reads").alias("reads"))
+    # Pending origins give no element, so the emission is computed once and explode drops them.
+    emitted = gathered.select(*ORIGIN, "reads", F.explode(F.filter(
+        F.array(_emission(F.col("reads"), p)), lambda e: e.isNotNull())).alias("emission"))
+    chosen = emitted.select(
+        *ORIGIN, "emission", F.get("reads", F.col("emission.k") - 1).alias("current"),
+        _selected(F.col("reads"), F.col("emission")).alias("selected"))
     text = ["raw_text", "corrected_text", "normalized_text", "confidence", "valid_format", "valid_check_digit",
             "validation_status", "check_digit_derived"]
     return chosen.select(
         *ORIGIN,
         *[F.col(f"current.{c}").alias(c) for c in rest if c not in (*text, "arrival")],
         *[F.col(f"selected.{c}").alias(c) for c in text],
-        F.col("number").isNotNull().alias("confirmed"),
-        F.col("number").alias("container_number"),
-        F.col("k").alias("attempts"))
+        F.col("emission.number").isNotNull().alias("confirmed"),
+        F.col("emission.number").alias("container_number"),
+        F.col("emission.k").alias("attempts"))

@@ -135,7 +135,7 @@ def _gathered(rows: DataFrame, key: str, fields: list[str], name: str, part_rows
         "site_id", key, F.ceil(F.col("_n") / part_rows).cast("bigint").alias("_parts"))
     spread = rows.join(counts, ["site_id", key], "left").withColumn(
         "part", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))).cast("int"))
-    items = F.array_sort(F.collect_list(F.struct("timestamp", "id", *fields)))
+    items = F.sort_array(F.collect_list(F.struct("timestamp", "id", *fields)))
     return spread.groupBy("site_id", key, "part").agg(F.transform(items, lambda i: F.struct(
         iso_z(i["timestamp"]).alias("timestamp"), i["id"].alias("id"), *[i[f].alias(f) for f in fields])).alias(name))
 

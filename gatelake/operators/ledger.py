@@ -38,7 +38,7 @@ def recover_evidence(jobs: DataFrame, n: int = 4) -> DataFrame:
     done = jobs.where("state = 'DONE'").select("site_id", "origin", "id", "sequence", "validation", "event_id")
     last = newest_per_group(done, ["site_id", "origin"], [F.desc("id")], n)
     return last.groupBy("site_id", "origin").agg(
-        F.array_sort(F.collect_list(F.struct(
+        F.sort_array(F.collect_list(F.struct(
             "id", F.from_json("validation", JOB_VALIDATION, {"mode": "PERMISSIVE"}).alias("read")))).alias("_reads"),
         F.min(F.when(F.col("event_id").isNotNull(), F.struct("id", "event_id"))).alias("_event"),
         F.max(F.struct("id", "sequence")).alias("_last"),

@@ -25,7 +25,7 @@ def latency_quantiles(samples: DataFrame, keep: int = SAMPLE_BUFFER) -> DataFram
     keys = ["site_id", "key"]
     newest = newest_per_group(samples, keys, [F.desc("ts"), F.desc("sample_id")], keep, salt=F.col("sample_id"))
     sorted_values = newest.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"), F.array_sort(F.collect_list(F.col("seconds") * 1000)).alias("_v"))
+        F.count(F.lit(1)).alias("samples"), F.sort_array(F.collect_list(F.col("seconds") * 1000)).alias("_v"))
 
     def at(q: float):
         return F.get("_v", F.floor((F.col("samples") - 1) * F.lit(q)).cast("int"))

@@ -60,7 +60,7 @@ def assemble_fragments(fragments: DataFrame, text_limit: int = iso6346.TEXT_LIMI
     few = placed.join(crowded, keys, "left_anti").unionByName(newest_per_group(
         placed.join(crowded, keys, "left_semi"), keys,
         [F.col("_row"), F.col("_column"), F.col("ordinal")], text_limit + 1, salt=F.col("ordinal")))
-    joined = few.groupBy(*keys).agg(F.array_sort(F.collect_list(
+    joined = few.groupBy(*keys).agg(F.sort_array(F.collect_list(
         F.struct("_row", "_column", "ordinal", "text"))).alias("_parts"))
     text = iso6346.fix_size_code(F.substring(F.array_join(F.transform("_parts", lambda f: f["text"]), " "), 1, text_limit))
     return joined.select(*keys, text.alias("text")).join(sizes, keys)

@@ -43,7 +43,8 @@ def with_frame_evidence(observations: DataFrame) -> DataFrame:
 
 def observations(reads: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
     """Written once: the segments and the ordered fold after it both read it."""
-    seen = with_frame_evidence(confirm.confirm_reads(text.validate_reads(confirm.first_attempts(reads, p)), p))
+    seen = with_frame_evidence(confirm.confirm_reads(
+        text.validate_reads(confirm.first_attempts(reads, p)), p, decisive=True))
     return materialize(seen, "observations")
 
 

@@ -12,6 +12,9 @@ SQL = entry.oracle_sql()
 def test_query_equals_sql(spark, sf_dir, name):
     result = entry.queries()[name](spark, sf_dir)
     assert name in SQL
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+        assert unwanted not in plan
     assert differences(result, duck(sf_dir), SQL[name]) == []
 
 
