@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -25,6 +26,11 @@ def build_session(master: str = "local[8]", app: str = "gatelake", shuffle_parti
     )
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="gatelake-")
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder the cluster shares between executors.
 
@@ -35,8 +41,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="gatelake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
