@@ -13,7 +13,9 @@ from gatelake.operators.kernels import OpenEvents, OpenTracks
 
 def _ordered(pdfs, by):
     """Rows of one key in this micro-batch, in order; a micro-batch bounds how many there are."""
-    return pd.concat(list(pdfs)).sort_values(by, kind="stable")
+    parts = list(pdfs)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+    return rows if len(rows) == 1 else rows.sort_values(by, kind="stable")
 
 
 def _loaded(state, empty):
@@ -86,7 +88,7 @@ def confirm_stream(confirmations, max_attempts, keep_ms):
                 continue
             number = next((n for n, v in votes.items() if len(v) == sizes[0]), None) if leads else None
             chosen = max(votes[number], key=lambda r: r[3]) if leads else saved["reads"][-1][1:]
-            out.append((*key, *[_bare(row[c]) for c in place_columns], *chosen, bool(leads), number, len(saved["reads"])))
+            out.append((*key, *[_bare(row[c]) for c in place_columns], *chosen, bool(leads), number or "", len(saved["reads"])))
             saved = {"closed": True, "reads": [], "sequences": []}
         state.update((json.dumps(saved),))
         state.setTimeoutTimestamp(last_ms + keep_ms)

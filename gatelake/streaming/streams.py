@@ -52,8 +52,10 @@ def stream_confirm(validated: DataFrame, p: GateParams = DEFAULTS, delay: str =
     emitted = slim.groupBy(*ORIGIN).applyInPandasWithState(
         folds.confirm_stream(p.ocr_confirmations, p.ocr_max_attempts, 4 * p.track_ttl_us // 1000),
         schema, STATE, "append", "EventTimeTimeout")
-    return emitted.withColumns({"frame_timestamp": from_us(F.col("us")), "started_at": from_us(F.col("started_us"))}).drop(
-        "us", "started_us")
+    return emitted.withColumns({
+        "container_number": F.nullif(F.col("container_number"), F.lit("")),  # blank while in pandas
+        "frame_timestamp": from_us(F.col("us")), "started_at": from_us(F.col("started_us")),
+    }).drop("us", "started_us")
 
 
 def stream_events(observations: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
