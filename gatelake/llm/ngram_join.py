@@ -127,6 +127,21 @@ def _sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, shingles array<long>")
 
 
+def _may_link(met: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, shared) of the pairs that meet in posted shingles and pass the length and the positional filter.
+
+    In the common order, what both sets share beyond the last posted shingle they share stands behind it in either set.
+    And beyond the shorter of the two posted parts nothing is left but the rest of that set.
+    """
+    near = met.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    pairs = near.groupBy("a", "b", "n_a", "n_b").agg(
+        F.count("*").alias("shared"), F.max("pos_a").alias("at_a"), F.max("pos_b").alias("at_b"))
+    behind = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    unposted = F.ceil(num * F.greatest("n_a", "n_b") / den) - 1
+    most = F.col("shared") + F.least(behind, unposted)
+    return pairs.where((num + den) * most >= num * (F.col("n_a") + F.col("n_b"))).select("a", "b", "shared")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough. Pairs are distinct and stored."""
     sizes = profiles.select("doc", F.col("n_shingles").alias("n"), "ranges").distinct()
@@ -142,7 +157,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, k: int, nu
     likely, _ = keep(pairs.join(left, "a").join(right, "b").where(may).select("a", "b").distinct(), "likely-pairs")
     wanted, _ = keep(likely.select(F.col("a").alias("doc")).union(likely.select(F.col("b").alias("doc"))).distinct(),
                      "pair-documents")
-    sets, _ = keep(_sets_of(docs, k, bounded_broadcast(wanted)).distinct(), "pair-sets")
+    sets, _ = keep(_sets_of(docs, k, bounded_broadcast(wanted)), "pair-sets")
     one, other = (sets.select(F.col("doc").alias(x), F.col("shingles").alias(f"s_{x}")) for x in "ab")
     common = F.size(F.array_intersect("s_a", "s_b"))
     union = F.size("s_a") + F.size("s_b") - common
@@ -180,10 +195,13 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.lead("doc").over(token).alias("after"))
     repeated, rows_path = keep(same.where("before <> doc or after <> doc").select("token", "doc", "n", "pos"), "postings")
 
-    hubs = repeated.groupBy("token").agg(F.min("doc").alias("hub"))
-    votes = (repeated.join(hubs, "token").where("hub <> doc").groupBy("doc", "hub").count()
-             .groupBy("doc").agg(F.max_by("hub", F.struct("count", -F.col("hub"))).alias("hub")))
-    first, _ = keep(votes.select(F.col("hub").alias("a"), F.col("doc").alias("b")), "hub-pairs")
+    hubs = repeated.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("hub"))
+    to_hub = repeated.join(hubs, "token").select(
+        F.col("hub.doc").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.pos").alias("pos_a"),
+        F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    votes = _may_link(to_hub.where("a <> b"), num, den).groupBy("b").agg(
+        F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    first, _ = keep(votes.select("a", "b"), "hub-pairs")
     links, _ = keep(_verified(first, docs, profiles, k, num, den), "hub-links")
 
     known, _ = keep(components(links, "a", "b"), "hub-components")
@@ -193,16 +211,10 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_tokens = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     active = placed.join(open_tokens.select("token"), "token", "left_semi")
     a, b = (active.select("token", *(F.col(x).alias(f"{x}_{side}") for x in ("doc", "n", "pos", "c"))) for side in "ab")
-    # What both sets hold from the shared shingle on bounds their intersection.
-    ahead = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    passes = (F.col("doc_a") < F.col("doc_b")) & (F.col("c_a") != F.col("c_b")) & (
-        den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-    pairs = (a.join(b, "token").where(passes)
-             .withColumn("first_ahead", ahead + F.least("pos_a", "pos_b"))
-             .where((num + den) * F.col("first_ahead") >= num * (F.col("n_a") + F.col("n_b")))
-             .select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct())
+    met = a.join(b, "token").where("doc_a < doc_b and c_a <> c_b").withColumnsRenamed({"doc_a": "a", "doc_b": "b"})
+    pairs = _may_link(met, num, den).select("a", "b")
     tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest, _ = keep(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest, _ = keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more = _verified(rest, docs, profiles, k, num, den)
 
     alike = members.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))
