@@ -5,10 +5,11 @@ Equal sets form a class first. Each class representative posts the rarest part o
 documents share a posted shingle; only posted shingles of at least two documents go on. Pairs pass the length,
 positional and suffix filters and are then verified once on the whole sets.
 
-Large groups of near copies would give a square of pairs. So each document is first verified against one hub, the
-smallest document of its buckets with which it shares most posted shingles. A posted shingle whose documents are then
-all in one component can add nothing and leaves; every pair of different components that is left is verified, so the
-components are exact.
+Large groups of near copies would give a square of pairs. So for some turns each document is verified against the hubs of
+its buckets only, if they are of another component: in the first turn against one, the hub with which it shares most
+posted shingles, then against the hubs of several orders. A posted shingle whose documents are then all in one component
+can add nothing and leaves. In the end every pair of different components that is left is verified, so the components
+are exact whatever the turns have found.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, k: int, nu
 
 
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                   threshold: tuple[int, int] = (3, 4)) -> DataFrame:
+                   threshold: tuple[int, int] = (3, 4), hub_orders: tuple[int, ...] = (1, 8, 16)) -> DataFrame:
     """One row per row of ``docs``: the id, n_shingles (size of its set) and component_id (smallest id reachable).
 
     Words are runs without ASCII white space, A-Z in lower case. A text of fewer than ``k`` words is one shingle; a
@@ -195,26 +196,35 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.lead("doc").over(token).alias("after"))
     repeated, rows_path = keep(same.where("before <> doc or after <> doc").select("token", "doc", "n", "pos"), "postings")
 
-    hubs = repeated.groupBy("token").agg(F.min(F.struct("doc", "n", "pos")).alias("hub"))
-    to_hub = repeated.join(hubs, "token").select(
-        F.col("hub.doc").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.pos").alias("pos_a"),
-        F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-    votes = _may_link(to_hub.where("a <> b"), num, den).groupBy("b").agg(
-        F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    first, _ = keep(votes.select("a", "b"), "hub-pairs")
-    links, _ = keep(_verified(first, docs, profiles, k, num, den), "hub-links")
-
-    known, _ = keep(components(links, "a", "b"), "hub-components")
-    placed, _ = keep(repeated.join(known.withColumnRenamed("node", "doc"), "doc", "left")
-                     .select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("c")), "placed-postings")
-    drop_table(spark, rows_path)
-    open_tokens = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    active = placed.join(open_tokens.select("token"), "token", "left_semi")
-    a, b = (active.select("token", *(F.col(x).alias(f"{x}_{side}") for x in ("doc", "n", "pos", "c"))) for side in "ab")
+    open_rows, path = repeated.withColumn("c", F.col("doc")), rows_path
+    links = tried = None
+    for turn, orders in enumerate(hub_orders):
+        hubs = open_rows.groupBy("token").agg(F.array(*(
+            F.min(F.struct(F.xxhash64("doc", F.lit(turn), F.lit(i)).alias("h"), "doc", "n", "pos", "c"))
+            for i in range(orders))).alias("hubs"))
+        hubs = hubs.select("token", F.explode(F.array_distinct(F.transform("hubs", lambda h: h.dropFields("h")))).alias("hub"))
+        to_hub = open_rows.join(hubs, "token").where(F.col("c") != F.col("hub.c")).select(
+            F.col("hub.doc").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.pos").alias("pos_a"),
+            F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+        votes = _may_link(to_hub, num, den)
+        if orders == 1:
+            votes = votes.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+        asked = votes.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        asked, _ = keep(asked if tried is None else asked.join(tried, ["a", "b"], "left_anti"), "hub-pairs")
+        new, _ = keep(_verified(asked, docs, profiles, k, num, den), "hub-links")
+        tried, links = (asked, new) if tried is None else (tried.union(asked), links.union(new))
+        known = components(links, "a", "b").withColumnRenamed("node", "doc")
+        placed, placed_path = keep(open_rows.drop("c").join(known, "doc", "left").select(
+            "token", "doc", "n", "pos", F.coalesce("component", "doc").alias("c")), "placed-postings")
+        tokens = placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+        left, left_path = keep(placed.join(tokens.select("token"), "token", "left_semi"), "open-postings")
+        drop_table(spark, path)
+        drop_table(spark, placed_path)
+        open_rows, path = left, left_path
+
+    a, b = (open_rows.select("token", *(F.col(x).alias(f"{x}_{side}") for x in ("doc", "n", "pos", "c"))) for side in "ab")
     met = a.join(b, "token").where("doc_a < doc_b and c_a <> c_b").withColumnsRenamed({"doc_a": "a", "doc_b": "b"})
-    pairs = _may_link(met, num, den).select("a", "b")
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest, _ = keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest, _ = keep(_may_link(met, num, den).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more = _verified(rest, docs, profiles, k, num, den)
 
     alike = members.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))
