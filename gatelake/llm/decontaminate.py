@@ -197,9 +197,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = (windows.select("doc", "start", "size", "f1", "f2", "shingles", "n_words", blocks)
              .join(bounded_broadcast(posted), ["size", "block", "value"]).where(apart <= radius)
              .dropDuplicates(["doc", "start", "size", "item_id", "f1", "f2"]))
-    texts = items.select("item_id", "size", F.col("f1").alias("g1"), F.col("f2").alias("g2"),
-                         F.col("shingles").alias("item_shingles"))
-    near_items = found.join(bounded_broadcast(texts), ["item_id", "size", "g1", "g2"])
+    texts = items.select(F.col("item_id").alias("of_item"), F.col("size").alias("of_size"), F.col("f1").alias("of_1"),
+                         F.col("f2").alias("of_2"), F.col("shingles").alias("item_shingles"))
+    near_items = found.join(bounded_broadcast(texts), F.col("item_id").eqNullSafe(F.col("of_item")) & (
+        F.col("size") == F.col("of_size")) & (F.col("g1") == F.col("of_1")) & (F.col("g2") == F.col("of_2")))
     checked = _similarity(near_items.select("doc", "item_id", "start", "n_words", "shingles", "item_shingles"))
     hit = checked.where(den * F.col("common") >= num * F.col("total"))
     best = F.struct((F.col("common") / F.col("total")).alias("similarity"), (-F.col("start")).alias("back"), "n_words")

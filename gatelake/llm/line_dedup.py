@@ -140,11 +140,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cuts = ranges.groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
     cuts, _ = keep(cuts.select(F.col("doc").alias("_cut_doc"), F.array_sort(F.array_distinct(F.flatten(F.transform(
         "ranges", lambda r: F.sequence(r["first"], r["first"] + r["n"] - 1))))).alias("_cut")), "cut-lines")
-    columns = [c for c in docs.columns if c != "cut_lines"]
-    lines = F.split(F.col(text_col), "\n", -1)
+    # The rows travel as one struct, so no column name of theirs can meet one of ours.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    joined = rows.join(bounded_broadcast(cuts), F.col("_row")[id_col].cast("long") == F.col("_cut_doc"), "left")
+    lines = F.split(F.col("_row")[text_col], "\n", -1)
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut"))
     left = F.array_join(F.transform(rest, lambda i: F.element_at(lines, i + 1)), "\n")
-    joined = docs.join(bounded_broadcast(cuts), F.col(id_col).cast("long") == F.col("_cut_doc"), "left")
-    return joined.select(*(F.when(F.col("_cut").isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col
-                           else F.col(c) for c in columns),
-                         F.coalesce("_cut", F.array().cast("array<int>")).alias("cut_lines"))
+    columns = [F.when(F.col("_cut").isNull(), F.col("_row")[c]).otherwise(left).alias(c) if c == text_col
+               else F.col("_row")[c].alias(c) for c in docs.columns if c != "cut_lines"]
+    return joined.select(*columns, F.coalesce("_cut", F.array().cast("array<int>")).alias("cut_lines"))

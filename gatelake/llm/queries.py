@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelake.llm import (decontaminate, embedding_dedup, licenses, line_dedup, ngram_join, quality, secrets,
-                          sentence_pieces, warc)
+from gatelake.llm import (decontaminate, embedding_dedup, html_text, licenses, line_dedup, ngram_join, quality,
+                          secrets, sentence_pieces, warc)
 from gatelake.llm.common import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_documents(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")

@@ -128,19 +128,33 @@ def _parsed(head: bytes) -> dict[str, str]:
 
 
 def _records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, block) of the records in a stream of the bytes between separators."""
-    for head in pieces:
+    """(fields, block) of the records in a stream of the bytes between separators.
+
+    A block may hold separators, and line breaks at its end shift the one behind it. So a block is taken by its length
+    from the pieces with separators put back, and line breaks before the next record are skipped.
+    """
+    rest = b""
+    while True:
+        rest = rest.lstrip(b"\r\n")
+        while not rest:
+            piece = next(pieces, None)
+            if piece is None:
+                return
+            rest = piece.lstrip(b"\r\n")
+        head, found, rest = rest.partition(SEPARATOR)
         fields = _parsed(head)
         length = int(fields["content-length"])
-        parts, have = [next(pieces)], 0
+        parts = [rest if found else next(pieces, b"")]
         have = len(parts[0])
         while have < length:
-            parts.append(next(pieces))
-            have += len(SEPARATOR) + len(parts[-1])
-        block = SEPARATOR.join(parts)
-        if len(block) != length:
-            raise ValueError(f"record {fields.get('warc-record-id')} has {len(block)} bytes, not {length}")
-        yield fields, block
+            piece = next(pieces, None)
+            if piece is None:
+                raise ValueError(f"record {fields.get('warc-record-id')} ends after {have} of {length} bytes")
+            parts.append(piece)
+            have += len(SEPARATOR) + len(piece)
+        data = SEPARATOR.join(parts)
+        rest = data[length:]
+        yield fields, data[:length]
 
 
 def records(spark: SparkSession, path: str, segmented: bool | None = None) -> DataFrame:
