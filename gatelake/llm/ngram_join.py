@@ -9,7 +9,8 @@ Large groups of near copies would give a square of pairs. So for some turns each
 its buckets only, if they are of another component: in the first turn against one, the hub with which it shares most
 posted shingles, then against the hubs of several orders. A posted shingle whose documents are then all in one component
 can add nothing and leaves. In the end every pair of different components that is left is verified, so the components
-are exact whatever the turns have found.
+are exact whatever the turns have found: pair by pair between small components, and every document of a smaller one
+against all members of a large one in one lookup.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from gatelake.llm.components import components
 
 #: Bins of the shingle frequency table that sets the rare-first order: 128 KB, whatever the corpus.
 FREQUENCY_BINS = 1 << 15
+#: Documents from which a component is compared as a whole, shingles of one cell of it, and visitors at a time.
+CROWD, CELL_SHINGLES, VISITORS = 64, 1 << 19, 4096
 #: Hash ranges of the suffix filter.
 RANGES = 16
 
@@ -165,8 +168,76 @@ def _verified(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, k: int, nu
     return likely.join(one, "a").join(other, "b").where(den * common >= num * union).select("a", "b").distinct()
 
 
+def _crowd_cells(cells: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): one link of each visitor to a member of its cell, if there is one.
+
+    A partition is sorted by cell, members first. The members of a cell, whose size is bounded, become one sorted list
+    of shingles; a visitor's overlap with all of them is one lookup and one count, so no pair becomes a row.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, ids, sets, index = None, [], [], None
+        for batch in batches:
+            found: tuple[list[int], list[int]] = ([], [])
+            keys = zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True)
+            shingles = batch.column(5)
+            for row, (*key, visits, doc) in enumerate(keys):
+                if key != cell:
+                    cell, ids, sets, index = key, [], [], None
+                own = np.asarray(shingles[row].values)
+                if not visits:
+                    ids.append(doc)
+                    sets.append(own)
+                    continue
+                if not sets:
+                    continue
+                if index is None:
+                    flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                    order = np.argsort(flat, kind="stable")
+                    index = flat[order], of[order], np.array([len(s) for s in sets])
+                flat, of, sizes = index
+                lo, hi = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+                count = hi - lo
+                at = np.repeat(lo - np.concatenate(([0], np.cumsum(count)))[:-1], count) + np.arange(count.sum())
+                common = np.bincount(of[at], minlength=len(sizes))
+                hit = np.flatnonzero(den * common >= num * (sizes + len(own) - common))
+                if len(hit):
+                    found[0].append(doc)
+                    found[1].append(ids[hit[0]])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["a", "b"])
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def _linked_to_crowds(open_rows: DataFrame, crowds: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between large components and the documents of smaller ones that share an open shingle with them.
+
+    A component is dealt out in cells by its shingles, its visitors by their number; each visitor sees every member.
+    """
+    inside = open_rows.join(crowds, "c")
+    doors = inside.select("token", F.col("c").alias("big"), F.col("size").alias("big_size")).distinct()
+    outside = open_rows.join(crowds, "c", "left").select("token", "doc", "c", F.coalesce("size", F.lit(0)).alias("size"))
+    smaller = (F.col("c") != F.col("big")) & (F.struct("size", "c") < F.struct("big_size", "big"))
+    visits, _ = keep(outside.join(doors, "token").where(smaller).select("big", "doc").distinct(), "visits")
+    plan = (visits.groupBy("big").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("turns"))
+            .join(crowds.withColumnRenamed("c", "big"), "big")
+            .select("big", "turns", F.ceil(F.col("shingles") / CELL_SHINGLES).cast("int").alias("blocks")))
+    plan, _ = keep(plan, "crowd-cells")
+    plan = bounded_broadcast(plan)
+    hosts = inside.select(F.col("c").alias("big"), "doc").distinct().join(plan, "big").select(
+        "big", F.pmod(F.xxhash64("doc"), "blocks").cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(0).alias("visits"), "doc")
+    guests = visits.join(plan, "big").select(
+        "big", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("doc"), "turns").cast("int").alias("turn"), F.lit(1).alias("visits"), "doc")
+    seats, _ = keep(hosts.union(guests), "seats")
+    sets, _ = keep(_sets_of(docs, k, bounded_broadcast(seats.select("doc").distinct())), "crowd-sets")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = seats.join(sets, "doc").select("big", "block", "turn", "visits", "doc", "shingles")
+    return _crowd_cells(cells.repartition(n, "big", "block", "turn").sortWithinPartitions(
+        "big", "block", "turn", "visits", "doc"), num, den)
+
+
 def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5,
-                   threshold: tuple[int, int] = (3, 4), hub_orders: tuple[int, ...] = (1, 8, 16)) -> DataFrame:
+                   threshold: tuple[int, int] = (3, 4), hub_orders: tuple[int, ...] = (1, 4)) -> DataFrame:
     """One row per row of ``docs``: the id, n_shingles (size of its set) and component_id (smallest id reachable).
 
     Words are runs without ASCII white space, A-Z in lower case. A text of fewer than ``k`` words is one shingle; a
@@ -199,9 +270,10 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_rows, path = repeated.withColumn("c", F.col("doc")), rows_path
     links = tried = None
     for turn, orders in enumerate(hub_orders):
+        # The smallest id first, which often is the original that the others were copied from.
+        ranks = [F.col("doc") if turn == i == 0 else F.xxhash64("doc", F.lit(turn), F.lit(i)) for i in range(orders)]
         hubs = open_rows.groupBy("token").agg(F.array(*(
-            F.min(F.struct(F.xxhash64("doc", F.lit(turn), F.lit(i)).alias("h"), "doc", "n", "pos", "c"))
-            for i in range(orders))).alias("hubs"))
+            F.min(F.struct(rank.alias("h"), "doc", "n", "pos", "c")) for rank in ranks)).alias("hubs"))
         hubs = hubs.select("token", F.explode(F.array_distinct(F.transform("hubs", lambda h: h.dropFields("h")))).alias("hub"))
         to_hub = open_rows.join(hubs, "token").where(F.col("c") != F.col("hub.c")).select(
             F.col("hub.doc").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.pos").alias("pos_a"),
@@ -222,10 +294,14 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         drop_table(spark, placed_path)
         open_rows, path = left, left_path
 
-    a, b = (open_rows.select("token", *(F.col(x).alias(f"{x}_{side}") for x in ("doc", "n", "pos", "c"))) for side in "ab")
+    crowds, _ = keep(open_rows.select("doc", "n", "c").distinct().groupBy("c").agg(
+        F.count("*").alias("size"), F.sum("n").alias("shingles")).where(F.col("size") >= CROWD), "crowds")
+    crowds = bounded_broadcast(crowds)
+    scattered = open_rows.join(crowds.select("c"), "c", "left_anti")
+    a, b = (scattered.select("token", *(F.col(x).alias(f"{x}_{side}") for x in ("doc", "n", "pos", "c"))) for side in "ab")
     met = a.join(b, "token").where("doc_a < doc_b and c_a <> c_b").withColumnsRenamed({"doc_a": "a", "doc_b": "b"})
     rest, _ = keep(_may_link(met, num, den).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(rest, docs, profiles, k, num, den)
+    more = _verified(rest, docs, profiles, k, num, den).union(_linked_to_crowds(open_rows, crowds, docs, k, num, den))
 
     alike = members.where("doc <> head").select(F.col("head").alias("a"), F.col("doc").alias("b"))
     # Rows of one id with different texts are in several classes and tie these together.

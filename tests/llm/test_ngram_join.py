@@ -60,6 +60,23 @@ def test_turns_only_save_work(spark):
     assert result(ngram_join.join_documents(docs, hub_orders=(1,))) == brute(rows)
 
 
+def test_large_components_are_compared_as_a_whole(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWD", 2)
+    monkeypatch.setattr(ngram_join, "VISITORS", 3)
+    monkeypatch.setattr(ngram_join, "CELL_SHINGLES", 150)
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+        rows.append((i, " ".join(words)))
+    found = result(ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hub_orders=(1,)))
+    assert found == brute(rows)
+    assert 1 < len({c for _, _, c in found}) < 120
+
+
 def test_odd_rows(spark, odd_docs):
     found = ngram_join.join_documents(odd_docs).collect()
     assert len(found) == odd_docs.count()
