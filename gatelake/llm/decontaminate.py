@@ -26,7 +26,7 @@ from gatelake.llm import words
 from gatelake.llm.common import bounded_broadcast, keep
 
 BLOCKS, BLOCK_BITS = 16, 8
-GATE_BITS = 1 << 24
+GATE_BITS = 1 << 21
 _SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 
 
@@ -96,21 +96,30 @@ def _needed(window: int, item: int, num: int, den: int) -> int:
 
 
 def _windows_of(hashes: np.ndarray, k: int, sizes: list[int], gate: np.ndarray, num: int, den: int):
-    """(start, item size, words, shingles, shingle start) of a document's windows that can match an item of that size."""
+    """(start, item size, words, shingles, shingles in the window) of the windows that can match an item of that size."""
     shingles = words.windows(hashes, k)
+    hits = gate[_gate_slots(shingles)]
+    total, smallest = None, sizes[0]
+    # What is needed grows with the size of item and window, so the smallest item sets the least.
+    if smallest >= k and np.count_nonzero(hits) < _needed(max(1, min(smallest, len(hashes)) - k + 1), smallest - k + 1, num, den):
+        return
     for size in sizes:
         width = min(size, len(hashes))
-        s = shingles if width >= k or len(hashes) < k else words.windows(hashes, width)
-        inside = max(1, width - k + 1) if width >= k else 1
+        inside = max(1, width - k + 1)
         need = _needed(inside, max(1, size - k + 1), num, den)
         if need > inside:
             continue
-        hits = gate[_gate_slots(s)]
-        if int(hits.sum()) < need:
+        if width < min(k, len(hashes)):  # windows of fewer words than a shingle are sequences of their own
+            s = words.windows(hashes, width)
+            for start in np.flatnonzero(gate[_gate_slots(s)]):
+                yield int(start), size, width, s, 1
+            continue
+        if total is None:
+            total = np.concatenate(([0], np.cumsum(hits)))
+        if total[-1] < need:
             continue
-        total = np.concatenate(([0], np.cumsum(hits)))
         for start in np.flatnonzero(total[inside:] - total[:-inside] >= need):
-            yield int(start), size, width, s, inside
+            yield int(start), size, width, shingles, inside
 
 
 def _window_rows(docs: DataFrame, k: int, sizes: list[int], gate, num: int, den: int) -> DataFrame:
@@ -130,7 +139,7 @@ def _window_rows(docs: DataFrame, k: int, sizes: list[int], gate, num: int, den:
                     part.clear()
                 return done
             for row, hashes in _row_words(batch.column(1)):
-                if not len(hashes) or not marked[_gate_slots(words.windows(hashes, k))].any() and sizes[0] >= k:
+                if not len(hashes):
                     continue
                 for start, size, width, s, inside in _windows_of(hashes, k, sizes, marked, num, den):
                     part = s[start:start + inside]
