@@ -28,8 +28,6 @@ FEET_TEXT = rf"(?U)(10|20|30|40|45|48|53){BLANK}*(?:FT|FEET)"
 PREFIX = r"^[A-Z]{3}[UJZ][0-9]{6}\z"
 NUMBER = r"^[A-Z]{3}[UJZ][0-9]{7}\z"
 LENGTHS = {"1": "10 FT", "2": "20 FT", "3": "30 FT", "4": "40 FT", "L": "45 FT", "M": "48 FT", "N": "53 FT"}
-TEXT_LIMIT = 4096  # longest text the validator accepts
-NORMALIZED_LIMIT = 256  # width of the stored normalised text
 # --------------------------------------------------------------------------------------------------
 
 _OPEN, _CLOSE = "\ue000", "\ue001"  # private-use marks around a repaired code
@@ -113,12 +111,17 @@ def _reading(upper: Column) -> Column:
             F.size(f) == 1, F.concat(F.lit("N"), F.get(f, F.lit(0))))),
         tagged("S", _only_alnum(F.regexp_extract(upper, SIX_DIGIT_NUMBER, 1))),
         tagged("C", _only_alnum(F.regexp_extract(upper, SIZE_CODE, 0))),
-        F.concat(F.lit("T"), F.substring(_only_alnum(upper), 1, NORMALIZED_LIMIT)))
+        F.concat(F.lit("T"), _only_alnum(upper)))
+
+
+def _body(reading: Column) -> Column:
+    """The reading without its kind letter."""
+    return F.substring(reading, 2, 2**31 - 1)
 
 
 def _judgement(corrected: Column, reading: Column, total: Column) -> Column:
     """Validation of a reading whose weighted sum is ``total`` (null when it is not number-shaped)."""
-    kind, text = F.substring(reading, 1, 1), F.substring(reading, 2, NORMALIZED_LIMIT)
+    kind, text = F.substring(reading, 1, 1), _body(reading)
     derived = kind == "S"
     digit = F.when(derived, total % 11 % 10).otherwise(F.substring(text, 11, 1).cast("int"))
     number = F.when(derived, F.concat(text, digit.cast("string"))).otherwise(text)
@@ -144,21 +147,26 @@ def _judgement(corrected: Column, reading: Column, total: Column) -> Column:
     return bound(repair, outcome)
 
 
-def validation(text: Column, text_limit: int = TEXT_LIMIT) -> Column:
-    """Struct of the validation of a text.
+def validation(text: Column) -> Column:
+    """Struct of the validation of a whole text.
 
     The corrected text is what was judged. A check digit that was computed because only six digits were
     legible is flagged by ``check_digit_derived``.
     """
     def summed(corrected: Column, reading: Column) -> Column:
-        body = F.substring(reading, 2, NORMALIZED_LIMIT)
+        body = _body(reading)
         total = F.when((F.substring(reading, 1, 1) == "S") | body.rlike(NUMBER), weighted_sum(body))
         return bound(total, lambda t: _judgement(corrected, reading, t))
 
-    return bound(fix_size_code(F.substring(text, 1, text_limit)),
+    return bound(fix_size_code(text),
                   lambda corrected: bound(_reading(F.upper(corrected)), lambda reading: summed(corrected, reading)))
 
 
-def with_validation(reads: DataFrame, text: str = "raw_text", text_limit: int = TEXT_LIMIT) -> DataFrame:
-    """Append the validation columns of ``text`` to every row; the text as read stays in its own column."""
-    return reads.withColumn("_validation", validation(F.col(text), text_limit)).select(*reads.columns, "_validation.*")
+def with_validation(reads: DataFrame, text: str = "raw_text", text_limit: int | None = None) -> DataFrame:
+    """Append the validation columns of ``text`` to every row; the text as read stays in its own column.
+
+    With ``text_limit`` only so many characters are judged, and ``truncated`` marks the rows that have more.
+    """
+    judged = F.col(text) if text_limit is None else F.substring(text, 1, text_limit)
+    added = ["_validation.*"] if text_limit is None else ["_validation.*", (F.length(text) > text_limit).alias("truncated")]
+    return reads.withColumn("_validation", validation(judged)).select(*reads.columns, *added)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gatelake.functions.clock import to_us
 from gatelake.functions.geometry import box, clipped, iou
 from gatelake.operators import kernels
-from gatelake.operators.ordered import bucket, fold_rows, mark_chain, newest_per_group, numbered, with_segments
+from gatelake.operators.ordered import bucket, fold_rows, join_null_safe, mark_chain, newest_per_group, numbered, with_segments
 from gatelake.session import materialize
 from gatelake.params import CLASS_ALIASES, DEFAULTS, OCR_CLASSES, TARGET_CLASSES, GateParams, micros
 
@@ -74,15 +74,25 @@ def iou_pairs(detections: DataFrame, stride: int = 1) -> DataFrame:
         *keys, "prev_index", "det_index", iou(box("p_"), box()).alias("iou"))
 
 
+def considered_frames(raw: DataFrame, cameras: DataFrame) -> DataFrame:
+    """Rows of the frames that are looked at: a camera with ``frame_skip`` n passes every (n + 1)th sequence number on.
+
+    Detector and tracker never see the others, so this comes before tracking.
+    """
+    return enrich_with_camera(raw, cameras, ["frame_skip"]).where(
+        F.col("sequence") % (F.coalesce("frame_skip", F.lit(0)) + 1) == 0).select(*raw.columns)
+
+
 def track_objects(detections: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
-    """Append track_id, hits and first_seen.
+    """Append track_id, hits and first_seen. A detection that comes twice counts once.
 
     Only boxes of one class compete for a track, and after a pause longer than the track expiry no track is
     left, so (camera, source, class, segment) groups fold independently. Ids count the track starts of a
     source in frame order.
     """
     by = [*SOURCE, "class_name", "segment_us"]
-    timed = detections.withColumn("_us", to_us(F.col("frame_timestamp")))
+    once = detections.dropDuplicates([*SOURCE, "sequence", "det_index"])
+    timed = once.withColumn("_us", to_us(F.col("frame_timestamp")))
     cut = with_segments(timed, [*SOURCE, "class_name"], "_us", p.track_ttl_us)
     folded = fold_rows(cut, by, ["_us", "sequence", "det_index"],
                        kernels.tracking_fold(by, p.track_ttl_us, p.match_iou),
@@ -90,7 +100,7 @@ def track_objects(detections: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
     folded = materialize(folded, "folded-tracks")
     start = ["start_us", "start_sequence", "start_index"]
     starts = numbered(folded.where("hits = 1").select(*SOURCE, *start), SOURCE, start, micros(3600), "track_id")
-    return folded.join(starts, [*SOURCE, *start]).select(
+    return join_null_safe(folded, starts, [*SOURCE, *start]).select(
         *detections.columns, F.col("track_id").cast("bigint").alias("track_id"), "hits",
         F.timestamp_micros("start_us").cast("timestamp_ntz").alias("first_seen"))
 
@@ -137,25 +147,25 @@ def sample_min_spacing(rows: DataFrame, keys: list[str], interval_seconds: float
     return chosen.select(*rows.columns)
 
 
-def ocr_candidates(directed: DataFrame, cameras: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
-    """Detections to read: stable tracks of readable classes whose direction is settled, sampled in time."""
-    ready = enrich_with_camera(directed, cameras, ["frame_skip"]).where(
-        (F.col("sequence") % (F.coalesce("frame_skip", F.lit(0)) + 1) == 0)
-        & (F.col("hits") >= p.min_track_hits)
-        & F.col("class_name").isin(*OCR_CLASSES)
-        & ~(F.col("has_line") & (F.col("track_direction") == "UNKNOWN"))).drop("frame_skip")
+def ocr_candidates(directed: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
+    """Detections to read, of tracks over the considered frames: stable tracks of readable classes whose direction is settled, sampled in time."""
+    ready = directed.where(
+        (F.col("hits") >= p.min_track_hits) & F.col("class_name").isin(*OCR_CLASSES)
+        & ~(F.col("has_line") & (F.col("track_direction") == "UNKNOWN")))
     return sample_min_spacing(ready, TRACK, p.ocr_interval_seconds, p.ocr_max_attempts, ("sequence", "det_index"))
 
 
-def dropped_frames(frames: DataFrame, first_sequence: int = 1) -> DataFrame:
+def dropped_frames(frames: DataFrame, first_sequence: int | None = None) -> DataFrame:
     """Frames per source that were superseded before anything consumed them.
 
-    Summing the jumps between consumed sequence numbers telescopes to last minus number consumed.
+    Summing the jumps between consumed sequence numbers telescopes to last minus first plus one minus number consumed.
+    ``first_sequence`` is the number that sources start with; give it only if the rows hold the sources from their
+    start, as the frames before the first consumed one count as dropped then.
     """
+    first = F.min("sequence") if first_sequence is None else F.lit(first_sequence)
     return frames.groupBy(*SOURCE).agg(
-        F.max("sequence").alias("last_sequence"), F.countDistinct("sequence").alias("consumed")).select(
-        *SOURCE, "consumed",
-        (F.col("last_sequence") - F.lit(first_sequence - 1) - F.col("consumed")).alias("dropped"))
+        F.countDistinct("sequence").alias("consumed"), (F.max("sequence") - first + 1).alias("_span")).select(
+        *SOURCE, "consumed", (F.col("_span") - F.col("consumed")).alias("dropped"))
 
 
 def overlay_asof(frames: DataFrame, inferences: DataFrame, max_age_seconds: float = 0.3) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelake.functions.clock import iso_z
+from gatelake.functions.clock import iso_z, to_us
 from gatelake.functions.iso6346 import feet_size, stand_alone_size_code
 from gatelake.operators.associate import stable_id
 
@@ -35,19 +35,19 @@ def evidence_rows(assignments: DataFrame) -> DataFrame:
         "site_id", stable_id("detection", F.col("origin_key")).alias("id"), "event_id", "camera_id", "origin_key",
         "track_id", "class_name", F.col("detection_confidence").alias("confidence"), "bbox",
         F.col("frame_timestamp").alias("timestamp"))
+    others = F.filter("all_detections", lambda x: x["class_name"] != F.col("class_name"))
+    named = F.transform(others, lambda x: F.struct(
+        F.concat_ws(":", "origin_key", x["class_name"], F.get(x["bbox"], F.lit(0)).cast("int")).alias("name"), x.alias("item")))
+    # A name holds its origin, so only detections of one row can share it.
+    names = F.transform(named, lambda x: x["name"])
+    first = F.filter(named, lambda x, i: F.array_position(names, x["name"]) == i + 1)
     extra = assignments.select(
-        "site_id", "event_id", "track_id", "camera_id", "frame_timestamp", F.col("origin_key").alias("_origin"),
-        F.col("class_name").alias("_class"), F.posexplode("all_detections").alias("_at", "_extra"),
-    ).where(F.col("_extra.class_name") != F.col("_class")).select(
-        "site_id", "event_id", "camera_id",
-        F.concat_ws(":", "_origin", "_extra.class_name", F.get("_extra.bbox", F.lit(0)).cast("int")).alias("origin_key"),
-        "track_id", F.col("_extra.class_name").alias("class_name"), F.col("_extra.confidence").alias("confidence"),
-        F.col("_extra.bbox").alias("bbox"), F.col("frame_timestamp").alias("timestamp"), "_at")
-    rest = ["event_id", "camera_id", "track_id", "class_name", "confidence", "bbox", "timestamp"]
-    named = extra.groupBy("site_id", "origin_key").agg(F.min(F.struct("_at", *rest)).alias("_first")).select(
-        "site_id", "origin_key", *[F.col(f"_first.{c}").alias(c) for c in rest]).withColumn(
-        "id", stable_id("detection", F.col("origin_key")))
-    return primary.select(DETECTION_COLUMNS).unionByName(named.select(DETECTION_COLUMNS))
+        "site_id", "event_id", "camera_id", "track_id", F.col("frame_timestamp").alias("timestamp"),
+        F.explode(first).alias("_x")).select(
+        "site_id", stable_id("detection", F.col("_x.name")).alias("id"), "event_id", "camera_id",
+        F.col("_x.name").alias("origin_key"), "track_id", F.col("_x.item.class_name").alias("class_name"),
+        F.col("_x.item.confidence").alias("confidence"), F.col("_x.item.bbox").alias("bbox"), "timestamp")
+    return primary.select(DETECTION_COLUMNS).unionByName(extra.select(DETECTION_COLUMNS))
 
 
 def ocr_rows(assignments: DataFrame) -> DataFrame:
@@ -87,18 +87,23 @@ def audit_log(assignments: DataFrame) -> DataFrame:
         F.create_map(F.lit("camera_id"), "camera_id", F.lit("gate_id"), "gate_id").alias("context"))
 
 
-def fk_violations(detections: DataFrame, cameras: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """Detections whose camera or event does not exist, labelled by the broken relation."""
-    columns = ["site_id", "id", "camera_id", "event_id"]
-    checks = [detections.join(cameras.select("site_id", "camera_id"), ["site_id", "camera_id"], "left_anti").select(
-        *columns, F.lit("detections.camera_id").alias("relation"))]
-    if events is not None:
-        parents = events.select("site_id", F.col("id").alias("event_id"))
-        checks.append(detections.join(parents, ["site_id", "event_id"], "left_anti").select(
-            *columns, F.lit("detections.event_id").alias("relation")))
-    result = checks[0]
-    for check in checks[1:]:
-        result = result.unionByName(check)
+def fk_violations(cameras: DataFrame, events: DataFrame, detections: DataFrame, ocr: DataFrame, snapshots: DataFrame,
+                  logs: DataFrame, detection_parents: DataFrame | None = None) -> DataFrame:
+    """(site_id, id, key, relation) of every row whose reference names nothing; a null reference names nothing wrongly.
+
+    ``detection_parents`` are the detections that reads may refer to, all of them if not given.
+    """
+    parents = {"camera_id": cameras.select("site_id", F.col("camera_id").alias("key")),
+               "event_id": events.select("site_id", F.col("id").alias("key")),
+               "detection_id": (detection_parents or detections).select("site_id", F.col("id").alias("key"))}
+    result = None
+    for name, table, column in (
+            ("detections", detections, "camera_id"), ("detections", detections, "event_id"), ("ocr_results", ocr, "detection_id"),
+            ("snapshots", snapshots, "event_id"), ("snapshots", snapshots, "camera_id"), ("system_logs", logs, "event_id")):
+        broken = (table.where(F.col(column).isNotNull()).select("site_id", "id", F.col(column).alias("key"))
+                  .join(parents[column], ["site_id", "key"], "left_anti")
+                  .select("site_id", "id", "key", F.lit(f"{name}.{column}").alias("relation")))
+        result = broken if result is None else result.unionByName(broken)
     return result
 
 
@@ -112,68 +117,80 @@ def orphan_images(files: DataFrame, snapshots: DataFrame) -> DataFrame:
         F.when(F.col("named").isNull(), "UNREFERENCED_FILE").otherwise("MISSING_FILE").alias("problem"))
 
 
-def event_sizes(detections: DataFrame, ocr: DataFrame, feet_label: str = "FEET") -> DataFrame:
-    """Container size and size code per event, from its first read that parses, else from a feet detection."""
+def _sized_reads(ocr: DataFrame) -> DataFrame:
+    """Reads with the size they show, its code, and their place in time; null where they show none."""
     size = F.coalesce(feet_size(F.col("normalized_text")), feet_size(F.col("corrected_text")))
     code = F.coalesce(stand_alone_size_code(F.col("normalized_text")), stand_alone_size_code(F.col("corrected_text")))
-    parsed = ocr.select("site_id", "detection_id", size.alias("_size"), code.alias("_code"),
-                        F.struct(F.col("timestamp"), F.col("id").alias("ocr_id")).alias("_at")).where("_size is not null")
+    sized = ocr.withColumn("_size", size)
+    return sized.withColumn("_sized", F.when(F.col("_size").isNotNull(), F.struct(
+        F.struct(F.col("timestamp"), F.col("id").alias("ocr_id")).alias("at"), F.col("_size").alias("size"),
+        code.alias("code")))).drop("_size")
+
+
+def event_sizes(detections: DataFrame, ocr: DataFrame, feet_label: str = "FEET") -> DataFrame:
+    """Container size and size code per event, from its first read that parses, else from a feet detection."""
+    parsed = _sized_reads(ocr).select("site_id", "detection_id", "_sized").where("_sized is not null")
     links = detections.select("site_id", F.col("id").alias("detection_id"), "event_id",
                               (F.lower("class_name") == "feet").alias("_feet"))
     grouped = links.join(parsed, ["site_id", "detection_id"], "left").groupBy("site_id", "event_id").agg(
-        F.min(F.when(F.col("_size").isNotNull(), F.struct("_at", "_size", "_code"))).alias("_first"),
-        F.bool_or("_feet").alias("_feet"))
+        F.min("_sized").alias("_first"), F.bool_or("_feet").alias("_feet"))
     return grouped.select(
         "site_id", "event_id",
-        F.coalesce(F.col("_first._size"), F.when(F.col("_feet"), F.lit(feet_label))).alias("container_size"),
-        F.col("_first._code").alias("size_code"))
-
-
-def _gathered(rows: DataFrame, key: str, fields: list[str], name: str, part_rows: int) -> DataFrame:
-    """Item arrays per key in (time, id) order. A key with more than ``part_rows`` rows is spread over numbered parts of about that size."""
-    counts = rows.groupBy("site_id", key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > part_rows).select(
-        "site_id", key, F.ceil(F.col("_n") / part_rows).cast("bigint").alias("_parts"))
-    spread = rows.join(counts, ["site_id", key], "left").withColumn(
-        "part", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))).cast("int"))
-    items = F.sort_array(F.collect_list(F.struct("timestamp", "id", *fields)))
-    return spread.groupBy("site_id", key, "part").agg(F.transform(items, lambda i: F.struct(
-        iso_z(i["timestamp"]).alias("timestamp"), i["id"].alias("id"), *[i[f].alias(f) for f in fields])).alias(name))
+        F.coalesce(F.col("_first.size"), F.when(F.col("_feet"), F.lit(feet_label))).alias("container_size"),
+        F.col("_first.code").alias("size_code"))
 
 
 def event_documents(events: DataFrame, detections: DataFrame, ocr: DataFrame, snapshots: DataFrame,
-                    part_rows: int = 10_000) -> DataFrame:
+                    slice_seconds: int = 3600) -> DataFrame:
     """One nested document per event with its evidence in (time, id) order and ISO times.
 
-    An ordinary event is one document, part 0. Evidence beyond ``part_rows`` items goes to further parts of
-    the same event, so no row grows without bound and nothing is left out.
+    Evidence is filed by its time since the event in slices of fixed length, so a detection, its read and its image
+    are in the same document, and an ordinary event, whose evidence is seconds apart, is one document, part 0. All
+    evidence goes through one grouping: it is put together in one table of tagged rows first.
     """
+    def tagged(rows: DataFrame, name: str, fields: list[str], *more) -> DataFrame:
+        return rows.select("site_id", "event_id", F.col("timestamp").alias("_at"),
+                           F.struct("timestamp", "id", *fields).alias(name), *more)
+
+    fields = {
+        "detections": ["camera_id", "origin_key", "track_id", "class_name", "confidence", "bbox"],
+        "ocr_results": ["detection_id", "raw_text", "normalized_text", "confidence", "valid_format", "valid_check_digit",
+                        "validation_status"],
+        "snapshots": ["camera_id", "image_path"],
+    }
     links = detections.select("site_id", F.col("id").alias("detection_id"), "event_id")
-    ocr_linked = ocr.join(links, ["site_id", "detection_id"])
-    keyed = [
-        _gathered(detections, "event_id", ["camera_id", "origin_key", "track_id", "class_name", "confidence", "bbox"],
-                  "detections", part_rows),
-        _gathered(ocr_linked, "event_id", ["detection_id", "raw_text", "normalized_text", "confidence", "valid_format",
-                                           "valid_check_digit", "validation_status"], "ocr_results", part_rows),
-        _gathered(snapshots, "event_id", ["camera_id", "image_path"], "snapshots", part_rows),
-    ]
-    children = keyed[0]
-    for other in keyed[1:]:
-        children = children.join(other, ["site_id", "event_id", "part"], "full_outer")
-    sizes = event_sizes(detections, ocr, "FEET DETECTED")
+    reads = _sized_reads(ocr).join(links, ["site_id", "detection_id"])
+    rows = tagged(detections, "detections", fields["detections"], (F.lower("class_name") == "feet").alias("_feet"))
+    rows = rows.unionByName(tagged(reads, "ocr_results", fields["ocr_results"], "_sized"), allowMissingColumns=True)
+    rows = rows.unionByName(tagged(snapshots, "snapshots", fields["snapshots"]), allowMissingColumns=True)
     heads = events.select(
-        "site_id", F.col("id").alias("event_id"), "gate_id", iso_z(F.col("timestamp")).alias("timestamp"),
-        "container_number", "event_type", "status", F.to_date("timestamp").alias("event_date"))
-    joined = heads.join(sizes, ["site_id", "event_id"], "left").join(children, ["site_id", "event_id"], "left")
-    filled = {"part": F.coalesce("part", F.lit(0))}
-    for name in ("detections", "ocr_results", "snapshots"):
-        filled[name] = F.coalesce(name, F.array())
-    return joined.withColumns(filled)
+        "site_id", F.col("id").alias("event_id"), "gate_id", "timestamp", "container_number", "event_type", "status")
+    placed = heads.join(rows, ["site_id", "event_id"], "left").withColumn("part", F.coalesce(F.floor(
+        F.abs(to_us(F.col("_at")) - to_us(F.col("timestamp"))) / (slice_seconds * 1_000_000)), F.lit(0)).cast("int"))
+    single = ["gate_id", "timestamp", "container_number", "event_type", "status"]
+    parts = placed.groupBy("site_id", "event_id", "part").agg(
+        *[F.first(c).alias(c) for c in single], F.min("_sized").alias("_sized"),
+        F.bool_or(F.coalesce("_feet", F.lit(False))).alias("_feet"),
+        *[F.sort_array(F.collect_list(name)).alias(name) for name in fields])
+    event = Window.partitionBy("site_id", "event_id")
+    size = F.min("_sized").over(event)
+    whole = parts.withColumn("_sized", size).withColumn("_feet", F.max("_feet").over(event))
+
+    def shown(name: str):
+        return F.transform(name, lambda i: F.struct(
+            iso_z(i["timestamp"]).alias("timestamp"), i["id"].alias("id"), *[i[f].alias(f) for f in fields[name]])).alias(name)
+
+    return whole.select(
+        "site_id", "event_id", "gate_id", iso_z(F.col("timestamp")).alias("timestamp"), "container_number", "event_type",
+        "status", F.to_date("timestamp").alias("event_date"),
+        F.coalesce(F.col("_sized.size"), F.when(F.col("_feet"), F.lit("FEET DETECTED"))).alias("container_size"),
+        F.col("_sized.code").alias("size_code"), "part", *[shown(name) for name in fields])
 
 
 def write_event_documents(documents: DataFrame, path: str) -> None:
-    """JSON lines, one folder per event day."""
-    documents.repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(64))).write.mode("overwrite").partitionBy(
-        "event_date").json(path)
+    """JSON lines, one folder per event day. Only the days that the documents are of are written anew."""
+    dealt = documents.repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(64)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").json(path)
 
 
 def event_table_rows(events: DataFrame) -> DataFrame:

@@ -60,13 +60,14 @@ class OpenEvents:
 
     def assign(self, us, number, new_id):
         """Event of the observation: (event_id, created, promoted, event_us)."""
-        floor = us - self.window_us
-        if self.events and self.events[0][0] < floor:
-            self.events = [e for e in self.events if e[0] >= floor]
+        floor, ceiling = us - self.window_us, us + self.window_us
         if number is None:
-            match = self.events[-1] if self.events else None
+            match = self._latest(lambda e: floor <= e[0] <= ceiling)
         else:
-            match = self._latest(number) or self._latest(None)
+            match = (self._latest(lambda e: e[1] == number and floor <= e[0] <= ceiling)
+                     or self._latest(lambda e: e[1] is None and floor <= e[0] <= ceiling))
+        if self.events and self.events[0][0] < floor - self.window_us:
+            self.events = [e for e in self.events if e[0] >= floor - self.window_us]
         if match is None:
             self.events.append([us, number, new_id])
             return new_id, True, False, us
@@ -75,8 +76,8 @@ class OpenEvents:
             match[1] = number
         return match[2], False, promoted, match[0]
 
-    def _latest(self, number):
-        return next((e for e in reversed(self.events) if e[1] == number), None)
+    def _latest(self, fits):
+        return next((e for e in reversed(self.events) if fits(e)), None)
 
 
 def association_fold(by, window_us):

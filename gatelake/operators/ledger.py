@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelake.functions.clock import iso_z_millis
 from gatelake.operators.associate import stable_id
-from gatelake.operators.ordered import newest_per_group
+from gatelake.operators.ordered import exact_quantiles, join_null_safe, newest_per_group
 from gatelake.schemas import JOB_VALIDATION
 
 # Seconds before a failed read is tried again; delivery back-off and its limits.
@@ -108,6 +108,10 @@ def outbox_schedule(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> Data
 
 
 def outbox_counts(schedule: DataFrame) -> DataFrame:
-    """Deliveries per state and the mean latency of the delivered ones."""
-    return schedule.groupBy("site_id", "delivery_state").agg(
-        F.count(F.lit(1)).alias("deliveries"), F.sum("latency_us").alias("latency_us"))
+    """Deliveries per state, and mean, p50 and p95 of the latency of the delivered ones."""
+    keys = ["site_id", "delivery_state"]
+    counts = schedule.groupBy(*keys).agg(F.count(F.lit(1)).alias("deliveries"), F.sum("latency_us").alias("_sum"),
+                                         F.count("latency_us").alias("_timed"))
+    ranks = exact_quantiles(schedule, keys, F.col("latency_us"), {"p50_us": 0.5, "p95_us": 0.95})
+    return join_null_safe(counts, ranks, keys, "left").select(
+        *keys, "deliveries", (F.col("_sum") / F.col("_timed")).alias("mean_us"), "p50_us", "p95_us")

@@ -6,31 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelake.functions.clock import to_us
-from gatelake.operators.ordered import bucket, newest_per_group
+from gatelake.operators.ordered import bucket, exact_quantiles, newest_per_group
 from gatelake.params import micros
 
-SAMPLE_BUFFER = 1000  # fixed value: newest samples kept per key
-
 
 def counters(log: DataFrame) -> DataFrame:
     return log.groupBy("site_id", "key").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
-def latency_quantiles(samples: DataFrame, keep: int = SAMPLE_BUFFER) -> DataFrame:
-    """Count, p50 and p95 in milliseconds of the newest samples per key.
+def latency_quantiles(samples: DataFrame, keep: int | None = None) -> DataFrame:
+    """Count, p50 and p95 in milliseconds of all samples per key, or of the newest ``keep`` if a number is given.
 
-    The quantile is the sorted sample at index floor((n - 1) * q): no interpolation. A hot key is cut down in
-    salted parts first, and at most ``keep`` values per key are sorted.
+    The quantile is the sorted sample at index floor((n - 1) * q): no interpolation. With ``keep`` a hot key is cut
+    down in salted parts first.
     """
     keys = ["site_id", "key"]
-    newest = newest_per_group(samples, keys, [F.desc("ts"), F.desc("sample_id")], keep, salt=F.col("sample_id"))
-    sorted_values = newest.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("samples"), F.sort_array(F.collect_list(F.col("seconds") * 1000)).alias("_v"))
-
-    def at(q: float):
-        return F.get("_v", F.floor((F.col("samples") - 1) * F.lit(q)).cast("int"))
-
-    return sorted_values.select(*keys, "samples", at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"))
+    rows = samples if keep is None else newest_per_group(
+        samples, keys, [F.desc("ts"), F.desc("sample_id")], keep, salt=F.col("sample_id"))
+    return exact_quantiles(rows, keys, F.col("seconds") * 1000, {"p50_ms": 0.5, "p95_ms": 0.95})
 
 
 def rolling_fps(stamps: DataFrame, window_seconds: float = 5.0) -> DataFrame:

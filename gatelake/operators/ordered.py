@@ -9,6 +9,7 @@ equi-join on key and bucket, which spreads a hot key over its buckets.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,38 @@ def bucket(ts_us: Column, width_us: int) -> Column:
     return F.floor(ts_us / F.lit(width_us)).cast("bigint")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key, so rows with an unknown key are kept."""
+    other = right.select(*[F.col(k).alias(f"_other_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys))
+    return left.join(other, same, how).drop(*[f"_other_{k}" for k in keys])
+
+
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: Column, quantiles: dict[str, float]) -> DataFrame:
+    """(keys, samples, one column per quantile): the sorted value at index floor((n - 1) * q), over all rows.
+
+    Equal values are counted first, counts are added up per range of values (64 ranges to an octave, so their number
+    is bounded), and only the ranges that hold a wanted rank are gone through in order. Null values do not count.
+    """
+    v, size = F.col("_v"), F.floor(F.log2(1 + F.abs(F.col("_v"))) * 64)
+    span = F.when(F.isnan(v), F.lit(2**62)).when(v < 0, -size).otherwise(size).cast("bigint")
+    counted = rows.select(*keys, value.cast("double").alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(
+        F.count(F.lit(1)).alias("_n")).withColumn("_span", span)
+    whole = Window.partitionBy(*keys)
+    before = F.sum("_c").over(whole.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    spans = counted.groupBy(*keys, "_span").agg(F.sum("_n").alias("_c")).select(
+        *keys, "_span", "_c", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_c").over(whole).alias("samples"))
+    wanted = spans.select("*", F.explode(F.array(*[F.struct(
+        F.lit(name).alias("name"), F.floor((F.col("samples") - 1) * F.lit(q)).alias("at")) for name, q in quantiles.items()
+    ])).alias("_q")).where("_q.at >= _before and _q.at < _before + _c")
+    inside = Window.partitionBy(*keys, "_span", "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = join_null_safe(counted, wanted, [*keys, "_span"]).withColumn(
+        "_upto", F.col("_before") + F.sum("_n").over(inside))
+    hit = reached.where("_q.at < _upto and _q.at >= _upto - _n")
+    return hit.groupBy(*keys).agg(F.max("samples").alias("samples"), *[
+        F.max(F.when(F.col("_q.name") == name, F.col("_v"))).alias(name) for name in quantiles])
+
+
 def with_segments(df: DataFrame, keys: Sequence[str], ts: str, gap_us: int) -> DataFrame:
     """Append ``segment_us``, the start of the row's segment.
 
@@ -36,7 +69,7 @@ def with_segments(df: DataFrame, keys: Sequence[str], ts: str, gap_us: int) -> D
     segments = spans.withColumn("_opens", F.when(opens, F.col("_lo"))).select(
         *keys, "_bucket",
         F.last("_opens", ignorenulls=True).over(running.rowsBetween(Window.unboundedPreceding, 0)).alias("segment_us"))
-    return rows.join(segments, [*keys, "_bucket"]).drop("_bucket")
+    return join_null_safe(rows, segments, [*keys, "_bucket"]).drop("_bucket")
 
 
 def fold_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], fold: Callable, added: str) -> DataFrame:
@@ -63,7 +96,7 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], width_us:
     offsets = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")).select(
         *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    return rows.join(offsets, [*keys, "_bucket"]).withColumn(
+    return join_null_safe(rows, offsets, [*keys, "_bucket"]).withColumn(
         name, F.col("_before") + F.row_number().over(inside)).drop("_bucket", "_before")
 
 

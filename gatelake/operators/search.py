@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatelake.operators.evidence import event_sizes
+
 PAGE_MAX = 200  # fixed value: largest page a caller may ask for
 
 
@@ -36,13 +38,24 @@ def matching_events(events: DataFrame, detections: DataFrame, container: str | N
     return result
 
 
-def search_events(events: DataFrame, detections: DataFrame, container: str | None = None,
+def search_events(events: DataFrame, detections: DataFrame, ocr: DataFrame | None = None, container: str | None = None,
                   camera_id: str | None = None, event_type: str | None = None, status: str | None = None,
                   limit: int = 50, offset: int = 0) -> DataFrame:
-    """One page of matching events, newest first, equal times by id."""
+    """One page of matching events, newest first, equal times by id; with ``ocr`` each has its size and size code.
+
+    Sizes are looked up for the events of the page only.
+    """
     limit, offset = _checked(limit, offset)
     found = matching_events(events, detections, container, camera_id, event_type, status)
-    return found.orderBy(F.desc("timestamp"), "id", "site_id").offset(offset).limit(limit)
+    order = [F.desc("timestamp"), "id", "site_id"]
+    page = found.orderBy(*order).offset(offset).limit(limit)
+    if ocr is None:
+        return page
+    shown = page.select("site_id", F.col("id").alias("event_id"))
+    evidence = detections.join(shown, ["site_id", "event_id"], "left_semi")
+    reads = ocr.join(evidence.select("site_id", F.col("id").alias("detection_id")), ["site_id", "detection_id"], "left_semi")
+    sizes = event_sizes(evidence, reads).withColumnRenamed("event_id", "id")
+    return page.join(sizes, ["site_id", "id"], "left").orderBy(*order)
 
 
 def count_events(events: DataFrame, detections: DataFrame, **filters) -> DataFrame:
@@ -56,10 +69,10 @@ def recent_ocr(ocr: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
 
 
 def recent_detections(detections: DataFrame, limit: int = 50, camera_id: str | None = None,
-                      buffer: int = 300) -> DataFrame:
-    """Newest detections of a camera among the newest ``buffer`` of all cameras."""
+                      buffer: int | None = None) -> DataFrame:
+    """Newest detections of a camera; with ``buffer`` only those among the newest so many of all cameras."""
     order = [F.desc("frame_timestamp"), F.desc("site_id"), F.desc("camera_id"), F.desc("sequence"), F.desc("det_index")]
-    newest = detections.orderBy(*order).limit(buffer)
+    newest = detections if buffer is None else detections.orderBy(*order).limit(buffer)
     if camera_id is not None:
         newest = newest.where(F.col("camera_id") == camera_id)
     return newest.orderBy(*order).limit(limit)

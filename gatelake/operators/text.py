@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelake.functions import iso6346
 from gatelake.functions.ocr_text import generated_confidence, generated_text
-from gatelake.operators.ordered import newest_per_group
+from gatelake.operators.ordered import join_null_safe
 
 LINE_HEIGHT = 30  # fixed value: fragments whose tops share a multiple of this are on one line
 
@@ -43,24 +43,27 @@ def clean_generated_text(texts: DataFrame) -> DataFrame:
     return cleaned.withColumn("text_confidence", generated_confidence(F.col("generated"), F.col("cleaned")))
 
 
-def assemble_fragments(fragments: DataFrame, text_limit: int = iso6346.TEXT_LIMIT) -> DataFrame:
-    """Text of a crop from its fragments in reading order, and the least confidence among them.
+def assemble_fragments(fragments: DataFrame, crops: DataFrame | None = None, text_limit: int | None = None) -> DataFrame:
+    """Text of a crop from its fragments in reading order, the least confidence among them, and their number.
 
-    Every fragment after the first adds at least the blank before it, so the accepted text length also
-    bounds how many fragments can take part; a crop with more is cut down in salted parts first.
+    With ``crops`` every crop has a row; one without fragments has an empty text at confidence 0. With ``text_limit``
+    the text is cut there and ``truncated`` says whether something was cut. One aggregate for crops of all sizes.
     """
     keys = ["site_id", "crop_id"]
     vertical = F.col("crop_h") > F.col("crop_w") * 1.5
-    placed = fragments.select(
-        *keys, "ordinal", F.coalesce("text", F.lit("")).alias("text"), "confidence",
-        F.when(vertical, F.col("top_y")).otherwise(F.floor(F.col("top_y") / LINE_HEIGHT).cast("double")).alias("_row"),
-        F.when(vertical, F.lit(0.0)).otherwise(F.col("left_x")).alias("_column"))
-    sizes = placed.groupBy(*keys).agg(F.min("confidence").alias("confidence"), F.count(F.lit(1)).alias("fragments"))
-    crowded = sizes.where(F.col("fragments") > text_limit + 1).select(*keys)
-    few = placed.join(crowded, keys, "left_anti").unionByName(newest_per_group(
-        placed.join(crowded, keys, "left_semi"), keys,
-        [F.col("_row"), F.col("_column"), F.col("ordinal")], text_limit + 1, salt=F.col("ordinal")))
-    joined = few.groupBy(*keys).agg(F.sort_array(F.collect_list(
-        F.struct("_row", "_column", "ordinal", "text"))).alias("_parts"))
-    text = iso6346.fix_size_code(F.substring(F.array_join(F.transform("_parts", lambda f: f["text"]), " "), 1, text_limit))
-    return joined.select(*keys, text.alias("text")).join(sizes, keys)
+    part = F.struct(
+        F.when(vertical, F.col("top_y")).otherwise(F.floor(F.col("top_y") / LINE_HEIGHT).cast("double")).alias("row"),
+        F.when(vertical, F.lit(0.0)).otherwise(F.col("left_x")).alias("column"), "ordinal",
+        F.coalesce("text", F.lit("")).alias("text"))
+    gathered = fragments.select(*keys, "confidence", part.alias("_part")).groupBy(*keys).agg(
+        F.sort_array(F.collect_list("_part")).alias("_parts"), F.min("confidence").alias("confidence"),
+        F.count(F.lit(1)).alias("fragments"))
+    joined = gathered.withColumn("_text", F.array_join(F.transform("_parts", lambda f: f["text"]), " "))
+    cut = F.col("_text") if text_limit is None else F.substring("_text", 1, text_limit)
+    added = [] if text_limit is None else [(F.length("_text") > text_limit).alias("truncated")]
+    result = joined.select(*keys, iso6346.fix_size_code(cut).alias("text"), "confidence", "fragments", *added)
+    if crops is None:
+        return result
+    defaults = {"text": F.lit(""), "confidence": F.lit(0.0), "fragments": F.lit(0), "truncated": F.lit(False)}
+    every = join_null_safe(crops.select(*keys).distinct(), result, keys, "left")
+    return every.withColumns({c: F.coalesce(c, defaults[c]) for c in result.columns if c not in keys})

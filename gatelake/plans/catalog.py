@@ -89,7 +89,9 @@ def upsert_cameras(s, sf):
 def fk_violations(s, sf):
     store = _store(s, sf)
     known = d.cameras(s).where("not (site_id = 'S2' and camera_id = 'gate-out-4')")
-    return evidence.fk_violations(store.detections, known, store.events.where("status = 'CONFIRMED'"))
+    return evidence.fk_violations(
+        known, store.events.where("status = 'CONFIRMED'"), store.detections, store.ocr, store.snapshots,
+        evidence.audit_log(store.assignments), detection_parents=store.detections.where("track_id % 11 <> 0"))
 
 
 @query
@@ -157,7 +159,7 @@ def clean_generated_text(s, sf):
 
 @query
 def assemble_fragments(s, sf):
-    return text.assemble_fragments(d.ocr_fragments(s, sf))
+    return text.assemble_fragments(d.ocr_fragments(s, sf), d.ocr_crops(s, sf))
 
 
 # Detections ---------------------------------------------------------------------------------------
@@ -214,13 +216,13 @@ def sample_min_spacing(s, sf):
 @query
 def ocr_candidates(s, sf):
     directed = materialize(_directed(s, sf), "directed")
-    return detect.ocr_candidates(directed, d.cameras(s)).select(
+    return detect.ocr_candidates(directed).select(
         "site_id", "camera_id", "source_id", "track_id", "sequence", "det_index", "hits", "track_direction")
 
 
 @query
 def dropped_frames(s, sf):
-    return detect.dropped_frames(d.raw_detections(s, sf), first_sequence=0)
+    return detect.dropped_frames(d.raw_detections(s, sf))
 
 
 # Confirmation and association ---------------------------------------------------------------------
@@ -325,7 +327,7 @@ def overlay_nearby(s, sf):
 @query
 def search_events(s, sf):
     store = _store(s, sf)
-    return search.search_events(store.events, store.detections, camera_id="gate-in-1", event_type="ENTRY",
+    return search.search_events(store.events, store.detections, store.ocr, camera_id="gate-in-1", event_type="ENTRY",
                                 status="CONFIRMED", limit=50, offset=10)
 
 
@@ -462,7 +464,7 @@ def stream_tracks(s, sf):
 @query
 def stream_confirm(s, sf):
     emitted = streams.replay(
-        confirm.first_attempts(d.reads(s, sf)), "frame_timestamp", "stream-confirm",
+        d.reads(s, sf), "frame_timestamp", "stream-confirm",
         lambda arriving, path: streams.run_available(streams.stream_confirm(text.validate_reads(arriving)), path))
     return emitted.select("site_id", "origin_key", "sequence", "frame_timestamp", "normalized_text", "confidence",
                           "confirmed", "container_number", "attempts")

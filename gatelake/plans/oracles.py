@@ -132,7 +132,7 @@ STEPS["w_read_texts"] = rf"""
                         '[^A-Z0-9]', '', 'g') AS six,
          regexp_replace(regexp_extract(sep, '(^|[^A-Z0-9])([1-4LMN][0-9]\s*[GVRHBUTP]\s*[0-9A-Z])($|[^A-Z0-9])', 2),
                         '[^A-Z0-9]', '', 'g') AS size_text,
-         substr(regexp_replace(upper(corrected_text), '[^A-Z0-9]', '', 'g'), 1, 256) AS squeezed
+         substr(regexp_replace(upper(corrected_text), '[^A-Z0-9]', '', 'g'), 1) AS squeezed
   FROM (SELECT *, {_SEPARATED} AS sep FROM w_texts)"""
 STEPS["w_named_texts"] = f"""
   SELECT *, CASE WHEN len(full_numbers) > 1 THEN '' WHEN len(full_numbers) = 1 THEN full_numbers[1]
@@ -321,6 +321,10 @@ STEPS["w_frames"] = """
   SELECT site_id, camera_id, source_id, sequence, frame_timestamp, epoch_us(frame_timestamp) AS us,
          count(label) AS n_detections
   FROM w_raw GROUP BY ALL"""
+# Tracks over all frames, and over those that the frame skip of each camera lets through.
+STEPS["w_considered"] = """
+  SELECT c.* FROM w_clean c JOIN (VALUES ('gate-in-1', 1), ('gate-in-2', 2), ('gate-in-3', 3), ('gate-in-4', 1), ('gate-out-1', 2),
+    ('gate-out-2', 3), ('gate-out-3', 1), ('gate-out-4', 2)) s(camera_id, every) USING (camera_id) WHERE sequence % every = 0"""
 # These tables hold at most one detection of a class per frame, so a frame extends at most one track per class.
 STEPS["w_det_rows"] = """
   SELECT *, epoch_us(frame_timestamp) AS us,
@@ -356,12 +360,15 @@ STEPS["w_tracked"] = """
   SELECT c.*, w.hits, i.track_id, make_timestamp(i.first_us) AS first_seen, w.us
   FROM w_track_walk w JOIN w_track_ids i USING (site_id, camera_id, source_id, class_name, start)
   JOIN w_clean c USING (site_id, camera_id, source_id, class_name, sequence, det_index)"""
+for _name in ("w_det_rows", "w_track_walk", "w_track_ids", "w_tracked"):
+    STEPS[f"{_name}_considered"] = re.sub(r"\b(w_det_rows|w_track_walk|w_track_ids|w_tracked)\b", r"\1_considered",
+                                          STEPS[_name]).replace("w_clean", "w_considered")
 STEPS["w_sides"] = """
   SELECT t.*, c.direction, c.line_axis, c.positive_crossing,
          CASE WHEN c.line_axis IS NULL THEN NULL
               WHEN (x1 + x2) / (2 * width) - 0.5::DOUBLE > 0.05::DOUBLE THEN 1
               WHEN (x1 + x2) / (2 * width) - 0.5::DOUBLE < -0.05::DOUBLE THEN -1 ELSE 0 END AS side
-  FROM w_tracked t LEFT JOIN w_cameras c USING (site_id, camera_id)"""
+  FROM w_tracked_considered t LEFT JOIN w_cameras c USING (site_id, camera_id)"""
 STEPS["w_side_before"] = """
   SELECT *, last_value(nullif(side, 0) IGNORE NULLS) OVER (
               PARTITION BY site_id, camera_id, source_id, track_id ORDER BY us, sequence
@@ -434,22 +441,21 @@ STEPS["w_schedule"] = """
                     WHEN o_orderkey % 7 > 0 THEN 'RETRY' ELSE 'QUEUED' END AS delivery_state
         FROM orders)"""
 
-RECURSIVE = ("w_walk", "w_visit_walk", "w_track_walk", "w_cand_walk", "w_rate_walk")
+RECURSIVE = ("w_walk", "w_visit_walk", "w_track_walk", "w_track_walk_considered", "w_cand_walk", "w_rate_walk")
 
 
-def newest_quantiles(source: str, key: str, ts: str, tie: str, seconds: str) -> str:
+def quantiles(source: str, key: str, seconds: str) -> str:
     return f"""
       SELECT site_id, key, count(*) AS samples, list_sort(list(ms))[CAST(floor((count(*) - 1) * 0.5::DOUBLE) AS INTEGER) + 1] AS p50_ms,
              list_sort(list(ms))[CAST(floor((count(*) - 1) * 0.95::DOUBLE) AS INTEGER) + 1] AS p95_ms
-      FROM (SELECT site_id, {key} AS key, ({seconds}) * 1000 AS ms,
-                   row_number() OVER (PARTITION BY site_id, {key} ORDER BY {ts} DESC, {tie} DESC) AS rn FROM {source})
-      WHERE rn <= 1000 GROUP BY site_id, key"""
+      FROM (SELECT site_id, {key} AS key, ({seconds}) * 1000 AS ms FROM {source}) GROUP BY site_id, key"""
 
 
 def registry_rules() -> str:
     rules = [
+        ("required", "id IS NULL OR name IS NULL OR gate_id IS NULL OR source_env IS NULL"),
         ("id_pattern", "NOT regexp_full_match(id, '[A-Za-z0-9_-]{1,64}')"),
-        ("id_unique", "same > 1"),
+        ("id_unique", "id IS NOT NULL AND same > 1"),
         ("gate_id", "length(gate_id) < 1 OR length(gate_id) > 64"),
         ("source_env", "NOT regexp_full_match(source_env, '[A-Z][A-Z0-9_]+') OR length(source_env) > 100"),
         ("capture_fps", "capture_fps <= 0 OR capture_fps > 120"),
@@ -458,19 +464,25 @@ def registry_rules() -> str:
         ("ocr_roi", "NOT (rx1 >= 0 AND rx1 < rx2 AND rx2 <= 1)"),
         ("line_position", "line_position <= 0 OR line_position >= 1"),
         ("line_deadband", "line_deadband >= 0.5::DOUBLE"),
+        ("name", "length(name) > 100"),
+        ("role", "role <> 'LEFT'"),
+        ("direction", "direction <> 'ENTRY'"),
         ("max_views", "views > 8"),
-        ("max_sources", "views > 32"),
+        ("max_sources", "sources > 32"),
     ]
     return "[" + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in rules) + "]"
 
 
 STEPS["w_registry"] = """
-  SELECT *, count(*) OVER (PARTITION BY site_id, id) AS same, count(*) OVER (PARTITION BY site_id) AS views FROM (
+  SELECT *, count(*) OVER (PARTITION BY site_id, id) AS same, count(*) OVER (PARTITION BY site_id) AS views,
+         count(source_env) OVER (PARTITION BY site_id) AS sources FROM (
     SELECT 'S' || ((c_custkey + c_nationkey % 3) // 8) AS site_id,
            CASE WHEN c_custkey % 50 = 7 THEN 'cam ' || c_custkey WHEN c_custkey % 40 = 3 THEN 'cam-' || (c_custkey - 1)
-                ELSE 'cam-' || c_custkey END AS id,
-           c_name AS name, CASE WHEN c_custkey % 60 = 11 THEN '' ELSE c_mktsegment END AS gate_id,
-           'CAMERA_' || c_custkey || '_RTSP' AS source_env, CAST(c_custkey % 130 AS DOUBLE) AS capture_fps,
+                WHEN c_custkey % 45 = 1 THEN NULL ELSE 'cam-' || c_custkey END AS id,
+           c_name AS name, CASE c_custkey % 60 WHEN 11 THEN '' WHEN 12 THEN NULL ELSE c_mktsegment END AS gate_id,
+           CASE WHEN c_custkey % 70 = 13 THEN NULL ELSE 'CAMERA_' || c_custkey || '_RTSP' END AS source_env,
+           CASE WHEN c_custkey % 33 = 2 THEN 'TOP' ELSE 'LEFT' END AS role,
+           CASE WHEN c_custkey % 35 = 4 THEN 'IN' ELSE 'ENTRY' END AS direction, CAST(c_custkey % 130 AS DOUBLE) AS capture_fps,
            CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 70 AS DOUBLE) END AS inference_fps,
            c_custkey % 125 AS frame_skip, (c_custkey % 3) / 10.0::DOUBLE AS rx1, (c_custkey % 11) / 10.0::DOUBLE AS rx2,
            (c_custkey % 21) / 20.0::DOUBLE AS line_position, (c_custkey % 6) / 10.0::DOUBLE AS line_deadband
@@ -504,19 +516,27 @@ Q["upsert_cameras"] = f"""
                       'CAMERA_' || c_custkey AS source_env, c_acctbal > 0 AS enabled,
                       make_timestamp({READS_EPOCH_US} + c_custkey * 1000000) AS stamp FROM customer),
        inc AS (SELECT 'S' || (s_suppkey * 23 // 8) AS site_id, 'cam-' || (s_suppkey * 23) AS id, s_name AS name,
-                      'lane-new' AS gate_id, 'CAMERA_' || (s_suppkey * 23) AS source_env, s_acctbal > 0 AS enabled FROM supplier)
+                      'lane-new' AS gate_id, 'CAMERA_' || (s_suppkey * 23) AS source_env, s_acctbal > 0 AS enabled
+               FROM (SELECT s_suppkey, s_acctbal, s_name || CASE WHEN s_suppkey % 5 = 0 THEN '-b' ELSE '' END AS s_name FROM supplier))
   SELECT coalesce(inc.site_id, cur.site_id) AS site_id, coalesce(inc.id, cur.id) AS id, coalesce(inc.name, cur.name) AS name,
          coalesce(inc.gate_id, cur.gate_id) AS gate_id, coalesce(inc.source_env, cur.source_env) AS source_env,
          coalesce(inc.enabled, cur.enabled) AS enabled, coalesce(cur.stamp, TIMESTAMP '2026-03-01 00:00:00') AS created_at,
          CASE WHEN inc.id IS NOT NULL THEN TIMESTAMP '2026-03-01 00:00:00' ELSE cur.stamp END AS updated_at
   FROM cur FULL OUTER JOIN inc ON cur.site_id = inc.site_id AND cur.id = inc.id"""
-Q["fk_violations"] = """
-  SELECT site_id, id, camera_id, event_id, 'detections.camera_id' AS relation FROM w_dets d
-  WHERE NOT EXISTS (SELECT 1 FROM w_cameras c WHERE c.site_id = d.site_id AND c.camera_id = d.camera_id
-                     AND NOT (c.site_id = 'S2' AND c.camera_id = 'gate-out-4'))
-  UNION ALL
-  SELECT site_id, id, camera_id, event_id, 'detections.event_id' FROM w_dets d
-  WHERE NOT EXISTS (SELECT 1 FROM w_events e WHERE e.site_id = d.site_id AND e.id = d.event_id AND status = 'CONFIRMED')"""
+Q["fk_violations"] = f"""
+  WITH refs AS (
+    SELECT site_id, id, camera_id AS key, 'detections.camera_id' AS relation FROM w_dets UNION ALL
+    SELECT site_id, id, event_id, 'detections.event_id' FROM w_dets UNION ALL
+    SELECT site_id, id, detection_id, 'ocr_results.detection_id' FROM w_ocr UNION ALL
+    SELECT site_id, id, event_id, 'snapshots.event_id' FROM w_snaps UNION ALL
+    SELECT site_id, id, camera_id, 'snapshots.camera_id' FROM w_snaps UNION ALL
+    SELECT site_id, {sid('log', 'origin_key')}, event_id, 'system_logs.event_id' FROM w_assigned),
+  parents AS (
+    SELECT site_id, camera_id AS key, 'camera_id' AS kind FROM w_cameras WHERE NOT (site_id = 'S2' AND camera_id = 'gate-out-4')
+    UNION SELECT site_id, id, 'event_id' FROM w_events WHERE status = 'CONFIRMED'
+    UNION SELECT site_id, id, 'detection_id' FROM w_dets WHERE track_id % 11 <> 0)
+  SELECT * FROM refs r WHERE NOT EXISTS (
+    SELECT 1 FROM parents p WHERE p.site_id = r.site_id AND p.key = r.key AND p.kind = split_part(r.relation, '.', 2))"""
 _DOC_PARTS = f"""
   d AS MATERIALIZED (SELECT site_id, event_id, CAST(to_json(list({{'timestamp': {iso_z('timestamp')}, 'id': id, 'camera_id': camera_id,
           'origin_key': origin_key, 'track_id': track_id, 'class_name': class_name, 'confidence': confidence,
@@ -570,12 +590,18 @@ Q["clean_generated_text"] = rf"""
                    THEN regexp_extract(upper(flat), '[A-Z]{{3,4}}\s*[0-9]{{6,7}}') ELSE trim(flat) END AS picked
     FROM (SELECT *, translate(generated, E'\n-', '  ') AS flat FROM w_generated)))"""
 Q["assemble_fragments"] = f"""
-  SELECT site_id, crop_id, replace({fixed_size("replace(joined, ' ', '  ')")}, '  ', ' ') AS text, confidence, fragments FROM (
-    SELECT site_id, crop_id, substr(string_agg(text, ' ' ORDER BY place, across, ordinal), 1, 4096) AS joined,
-           min(confidence) AS confidence, count(*) AS fragments
-    FROM (SELECT *, CASE WHEN crop_h > 150 THEN top_y ELSE floor(top_y / 30) END AS place,
-                 CASE WHEN crop_h > 150 THEN 0 ELSE left_x END AS across FROM w_fragments)
-    GROUP BY site_id, crop_id)"""
+  WITH f AS (
+    SELECT crop_id, replace({fixed_size("replace(joined, ' ', '  ')")}, '  ', ' ') AS text, confidence, fragments FROM (
+      SELECT crop_id, string_agg(text, ' ' ORDER BY place, across, ordinal) AS joined,
+             min(confidence) AS confidence, count(*) AS fragments
+      FROM (SELECT *, CASE WHEN crop_h > 150 THEN top_y ELSE floor(top_y / 30) END AS place,
+                   CASE WHEN crop_h > 150 THEN 0 ELSE left_x END AS across FROM w_fragments)
+      GROUP BY crop_id)),
+  c AS (SELECT 'S' || (o_orderkey % 4) AS site_id, o_orderkey AS crop_id FROM orders UNION
+        SELECT 'S' || (o_orderkey % 4), -o_orderkey FROM orders WHERE o_orderkey % 50 = 0)
+  SELECT c.site_id, c.crop_id, coalesce(text, '') AS text, coalesce(confidence, 0.0::DOUBLE) AS confidence,
+         coalesce(fragments, 0) AS fragments
+  FROM c LEFT JOIN f USING (crop_id)"""
 Q["clean_detections"] = "SELECT * FROM w_clean"
 Q["ocr_region"] = """
   SELECT * EXCLUDE (roi_y), CASE WHEN right_px > left_px AND bottom_px > top_px THEN 'OK' ELSE 'REJECTED' END AS status FROM (
@@ -610,7 +636,7 @@ Q["ocr_candidates"] = """
     FROM w_cand_walk WHERE taken) WHERE n <= 4"""
 Q["dropped_frames"] = """
   SELECT site_id, camera_id, source_id, count(*) AS consumed, CAST(sum(jump) AS BIGINT) AS dropped FROM (
-    SELECT *, sequence - coalesce(lag(sequence) OVER (PARTITION BY site_id, camera_id, source_id ORDER BY sequence), -1) - 1 AS jump
+    SELECT *, sequence - coalesce(lag(sequence) OVER (PARTITION BY site_id, camera_id, source_id ORDER BY sequence), sequence - 1) - 1 AS jump
     FROM (SELECT DISTINCT site_id, camera_id, source_id, sequence FROM w_raw))
   GROUP BY site_id, camera_id, source_id"""
 Q["confirm_reads"] = """
@@ -671,14 +697,14 @@ Q["overlay_nearby"] = """
 _FOUND = """
   FROM w_events e WHERE event_type = 'ENTRY' AND status = 'CONFIRMED' AND EXISTS (
     SELECT 1 FROM w_dets d WHERE d.site_id = e.site_id AND d.event_id = e.id AND d.camera_id = 'gate-in-1')"""
-Q["search_events"] = f"SELECT * {_FOUND} ORDER BY timestamp DESC, id, site_id LIMIT 50 OFFSET 10"
+Q["search_events"] = f"""
+  WITH p AS (SELECT * {_FOUND} ORDER BY timestamp DESC, id, site_id LIMIT 50 OFFSET 10)
+  SELECT p.*, z.container_size, z.size_code FROM p LEFT JOIN w_event_sizes z ON z.site_id = p.site_id AND z.event_id = p.id"""
 Q["count_events"] = f"SELECT count(*) AS total {_FOUND}"
 Q["event_sizes"] = "SELECT * FROM w_event_sizes"
 Q["recent_ocr"] = "SELECT * FROM w_ocr ORDER BY timestamp DESC, id DESC LIMIT 50 OFFSET 25"
 Q["recent_detections"] = """
-  SELECT * EXCLUDE (width, height) FROM (
-    SELECT * FROM w_clean ORDER BY frame_timestamp DESC, site_id DESC, camera_id DESC, sequence DESC, det_index DESC LIMIT 300)
-  WHERE camera_id = 'gate-in-3'
+  SELECT * EXCLUDE (width, height) FROM w_clean WHERE camera_id = 'gate-in-3'
   ORDER BY frame_timestamp DESC, site_id DESC, camera_id DESC, sequence DESC, det_index DESC LIMIT 20"""
 Q["rows_for_ids"] = f"""
   SELECT a.site_id, a.id, coalesce(e.status, 'MISSING') AS status
@@ -716,12 +742,15 @@ Q["outbox_payloads"] = f"""
   FROM w_assigned WHERE confirmed"""
 Q["outbox_schedule"] = "SELECT * FROM w_schedule"
 Q["outbox_counts"] = """
-  SELECT site_id, delivery_state, count(*) AS deliveries, CAST(sum(latency_us) AS BIGINT) AS latency_us
+  SELECT site_id, delivery_state, count(*) AS deliveries, CAST(sum(latency_us) AS DOUBLE) / count(latency_us) AS mean_us,
+         list_sort(list(CAST(latency_us AS DOUBLE)) FILTER (latency_us IS NOT NULL))[
+             CAST(floor((count(latency_us) - 1) * 0.5::DOUBLE) AS INTEGER) + 1] AS p50_us,
+         list_sort(list(CAST(latency_us AS DOUBLE)) FILTER (latency_us IS NOT NULL))[
+             CAST(floor((count(latency_us) - 1) * 0.95::DOUBLE) AS INTEGER) + 1] AS p95_us
   FROM w_schedule GROUP BY site_id, delivery_state"""
 Q["counters"] = """
   SELECT 'S' || (event_id % 4) AS site_id, event_type AS key, count(*) AS occurrences FROM events GROUP BY ALL"""
-Q["latency_quantiles"] = newest_quantiles(
-    "(SELECT 'S' || (event_id % 4) AS site_id, * FROM events)", "event_type", "ts", "event_id", "value")
+Q["latency_quantiles"] = quantiles("(SELECT 'S' || (event_id % 4) AS site_id, * FROM events)", "event_type", "value")
 Q["rolling_fps"] = """
   SELECT site_id, camera_id, sequence, us AS frame_us, frames_in_window, frames_in_window / 5.0::DOUBLE AS fps FROM (
     SELECT *, count(*) OVER (PARTITION BY site_id, camera_id ORDER BY us RANGE BETWEEN 4999999 PRECEDING AND CURRENT ROW)
@@ -745,8 +774,8 @@ Q["event_summary"] = """
          count(*) FILTER (status = 'NEEDS_REVIEW') AS in_review, count(DISTINCT container_number) AS numbers,
          count(*) FILTER (status = 'NEEDS_REVIEW') / count(*)::DOUBLE AS review_rate
   FROM w_events GROUP BY ALL"""
-Q["event_latency"] = newest_quantiles(
-    "w_assigned", "CASE WHEN created THEN 'events_created' ELSE 'evidence_associated' END", "frame_timestamp", "origin_key",
+Q["event_latency"] = quantiles(
+    "w_assigned", "CASE WHEN created THEN 'events_created' ELSE 'evidence_associated' END",
     "(epoch_us(frame_timestamp) - epoch_us(started_at)) / 1000000.0::DOUBLE")
 
 # Streams give what the batch form gives.

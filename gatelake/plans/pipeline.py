@@ -59,7 +59,8 @@ def event_tables(assigned: DataFrame) -> EventTables:
 
 
 def directed_tracks(raw: DataFrame, cameras: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
-    tracked = detect.track_objects(detect.clean_detections(raw, p), p)
+    """Tracks over the frames that each camera's frame skip lets through."""
+    tracked = detect.track_objects(detect.clean_detections(detect.considered_frames(raw, cameras), p), p)
     return detect.line_crossing_direction(tracked, cameras)
 
 

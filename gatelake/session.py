@@ -45,12 +45,6 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out when a scan has too few splits to keep the cores busy, as with one large row group."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder once and continue from the written table.
 

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelake.functions.iso6346 import check_digit
-from gatelake.session import spread
 
 # Start of the derived timelines (UTC) in epoch microseconds, and owner codes.
 READS_EPOCH_US = 1_767_225_600_000_000  # 2026-01-01
@@ -87,7 +86,7 @@ def raw_detections_of(events: DataFrame) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_discount")
-    return reads_of(spread(table(spark, sf_dir, "lineitem").select(*used)))
+    return reads_of(table(spark, sf_dir, "lineitem").select(*used).repartition("l_orderkey"))
 
 
 def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +102,7 @@ def cameras(spark: SparkSession) -> DataFrame:
         "if(cam < 4, 'ENTRY', 'EXIT') as direction",
         "array(0D, if(cam % 2 = 1, 0.5D, 0D), 1D, 1D) as ocr_roi",
         "if(cam >= 4, 'x', cast(null as string)) as line_axis", "0.5D as line_position", "0.05D as line_deadband",
-        "if(cam = 7, 'ENTRY', 'EXIT') as positive_crossing", "0 as frame_skip")
+        "if(cam = 7, 'ENTRY', 'EXIT') as positive_crossing", "cam % 3 as frame_skip")
 
 
 def camera_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +111,10 @@ def camera_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                        "c_acctbal").selectExpr(
         "concat('S', (k + c_nationkey % 3) div 8) as site_id",
         "case when k % 50 = 7 then concat('cam ', k) when k % 40 = 3 then concat('cam-', k - 1) "
-        "else concat('cam-', k) end as id",
-        "c_name as name", "if(k % 60 = 11, '', c_mktsegment) as gate_id", "concat('CAMERA_', k, '_RTSP') as source_env",
+        "when k % 45 = 1 then cast(null as string) else concat('cam-', k) end as id",
+        "c_name as name", "case k % 60 when 11 then '' when 12 then null else c_mktsegment end as gate_id",
+        "if(k % 70 = 13, cast(null as string), concat('CAMERA_', k, '_RTSP')) as source_env",
+        "if(k % 33 = 2, 'TOP', 'LEFT') as role", "if(k % 35 = 4, 'IN', 'ENTRY') as direction",
         "c_acctbal > 0 as enabled", "cast(k % 130 as double) as capture_fps",
         "if(k % 4 = 0, cast(null as double), cast(k % 70 as double)) as inference_fps",
         "cast(k % 125 as int) as frame_skip",
@@ -130,7 +131,9 @@ def registered_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incoming_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey * 23 as k", "s_name", "s_acctbal").selectExpr(
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey * 23 as k", "explode(if(s_suppkey % 5 = 0, array(s_name, concat(s_name, '-b')), array(s_name))) as s_name",
+        "s_acctbal").selectExpr(
         "concat('S', k div 8) as site_id", "concat('cam-', k) as id", "s_name as name", "'lane-new' as gate_id",
         "concat('CAMERA_', k) as source_env", "s_acctbal > 0 as enabled")
 
@@ -192,6 +195,13 @@ def ocr_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "(100 - 5 * cast(round(100 * l_discount) as int)) / 100D as confidence")
 
 
+def ocr_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops of orders; every fiftieth order has one more, on which nothing was found."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        "concat('S', o_orderkey % 4) as site_id",
+        "explode(if(o_orderkey % 50 = 0, array(o_orderkey, -o_orderkey), array(o_orderkey))) as crop_id")
+
+
 def generated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a generative reader says about a crop: a sentence, a bare code, digits only, words only, or nothing."""
     source = reads(spark, sf_dir)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatelake.operators.ordered import join_null_safe
 from gatelake.schemas import DETECTION_ROWS, JOB_METADATA, JOB_VALIDATION
 
 # Limits of the camera registry.
 ID_PATTERN = r"^[A-Za-z0-9_-]{1,64}\z"
 SOURCE_ENV_PATTERN = r"^[A-Z][A-Z0-9_]+\z"
 MAX_VIEWS, MAX_SOURCES = 8, 32
+DOMAINS = {
+    "role": ("UNASSIGNED", "FRONT_TOP", "LEFT", "RIGHT", "REAR"), "direction": ("ENTRY", "EXIT", "UNKNOWN"),
+    "source_type": ("rtsp", "file"), "line_axis": ("x", "y"), "positive_crossing": ("ENTRY", "EXIT"),
+}
 
 
 def load_detections(spark: SparkSession, path: str, streaming: bool = False, max_files: int = 64) -> DataFrame:
@@ -41,12 +48,14 @@ def parse_ocr_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def camera_registry_check(cameras: DataFrame) -> DataFrame:
-    """Every view with the list of rules it breaks."""
+    """Every view with the list of rules it breaks; a rule on a value that is missing does not apply, but ``required`` does."""
     roi = [F.get("ocr_roi", F.lit(i)) for i in range(4)]
-    counts = cameras.groupBy("site_id", "id").agg(F.count(F.lit(1)).alias("_same"))
+    counts = cameras.where("id is not null").groupBy("site_id", "id").agg(F.count(F.lit(1)).alias("_same"))
     views = cameras.groupBy("site_id").agg(F.count(F.lit(1)).alias("_views"),
                                            F.countDistinct("source_env").alias("_sources"))
+    required = [F.col(c).isNull() for c in ("id", "name", "gate_id", "source_env", "ocr_roi")]
     rules = [
+        ("required", reduce(lambda a, b: a | b, required)),
         ("id_pattern", ~F.col("id").rlike(ID_PATTERN)),
         ("id_unique", F.col("_same") > 1),
         ("gate_id", (F.length("gate_id") < 1) | (F.length("gate_id") > 64)),
@@ -58,20 +67,25 @@ def camera_registry_check(cameras: DataFrame) -> DataFrame:
                       & (roi[1] >= 0) & (roi[1] < roi[3]) & (roi[3] <= 1))),
         ("line_position", (F.col("line_position") <= 0) | (F.col("line_position") >= 1)),
         ("line_deadband", (F.col("line_deadband") < 0) | (F.col("line_deadband") >= 0.5)),
+        ("name", F.length("name") > 100),
+        *[(c, ~F.col(c).isin(*allowed)) for c, allowed in DOMAINS.items() if c in cameras.columns],
         ("max_views", F.col("_views") > MAX_VIEWS),
         ("max_sources", F.col("_sources") > MAX_SOURCES),
     ]
     broken = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in rules]), lambda x: x.isNotNull())
-    return cameras.join(counts, ["site_id", "id"]).join(views, ["site_id"]).select(
-        "site_id", "id", "name", broken.alias("violations"))
+    counted = join_null_safe(join_null_safe(cameras, counts, ["site_id", "id"], "left"), views, ["site_id"])
+    return counted.select("site_id", "id", "name", broken.alias("violations"))
 
 
 def upsert_cameras(current: DataFrame, incoming: DataFrame, now: str) -> DataFrame:
-    """Insert or overwrite by site and id; the creation time survives, the update time is ``now``."""
+    """Insert or overwrite by site and id; the creation time survives, the update time is ``now``.
+
+    Of several incoming rows of one id the last in the order of their columns counts. All incoming columns are stored.
+    """
     keys = ["site_id", "id"]
     stamp = F.lit(now).cast("timestamp_ntz")
     fields = [c for c in incoming.columns if c not in keys]
-    new = incoming.select(*keys, F.struct(*fields).alias("_new"))
+    new = incoming.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("_new"))
     old = current.select(*keys, F.struct(*fields).alias("_old"), "created_at", "updated_at")
     both = old.join(new, keys, "full_outer")
     return both.select(

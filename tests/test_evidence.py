@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from gatelake.operators import associate, evidence, ledger, search
 from gatelake.params import GateParams
@@ -28,15 +29,19 @@ def store(spark, n):
     return events, detections, ocr, snapshots
 
 
-def test_document_is_one_part_until_it_is_too_large(spark, tmp_path):
+def test_documents_are_cut_by_time_only(spark, tmp_path):
     one = evidence.event_documents(*store(spark, 9)).collect()
     assert [r.part for r in one] == [0]
     times = [d.timestamp for d in one[0].detections]
     assert times[:3] == ["2026-01-01T00:00:00Z", "2026-01-01T00:00:00.500000Z", "2026-01-01T00:00:01Z"]
     assert one[0].container_size == "FEET DETECTED"
-    many = evidence.event_documents(*store(spark, 900), part_rows=100)
+    many = evidence.event_documents(*store(spark, 900), slice_seconds=100)
     rows = many.collect()
-    assert len(rows) > 1
+    assert sorted((r.part, len(r.detections), len(r.ocr_results), len(r.snapshots)) for r in rows) == [
+        (i, 200, 200, 200) for i in range(4)] + [(4, 100, 100, 100)]
+    assert {r.container_size for r in rows} == {"FEET DETECTED"}
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 4
     assert sorted(d.id for r in rows for d in r.detections) == sorted(f"d{i}" for i in range(900))
     assert sum(len(r.ocr_results) for r in rows) == sum(len(r.snapshots) for r in rows) == 900
     evidence.write_event_documents(many, str(tmp_path / "docs"))
@@ -116,3 +121,29 @@ def test_work_folder_follows_the_session():
     assert "gatelake-" in work_dir(FakeConf("local[2]"), "x")
     with pytest.raises(RuntimeError):
         work_dir(FakeConf("yarn"), "x")
+
+
+def test_registry_keeps_rows_with_missing_values(spark):
+    schema = ("site_id string, id string, name string, gate_id string, source_env string, capture_fps double, inference_fps double, "
+              "frame_skip int, ocr_roi array<double>, line_position double, line_deadband double, role string")
+    good = ("S", "a", "n", "g", "CAM_1", 15.0, None, 0, [0.0, 0.0, 1.0, 1.0], 0.5, 0.1, "LEFT")
+    rows = [good, ("S", None, *good[2:]), ("S", "b", "n", None, *good[4:]), ("S", "c", *good[2:11], "TOP"), (None, *good[1:])]
+    found = {(r.site_id, r.id): r.violations for r in tables.camera_registry_check(spark.createDataFrame(rows, schema)).collect()}
+    assert found == {("S", "a"): [], ("S", None): ["required"], ("S", "b"): ["required"], ("S", "c"): ["role"], (None, "a"): []}
+
+
+def test_the_last_of_repeated_incoming_rows_counts(spark):
+    schema = "site_id string, id string, name string"
+    current = spark.createDataFrame([("S", "a", "old")], schema).selectExpr(
+        "*", "timestamp_ntz'2026-01-01' as created_at", "timestamp_ntz'2026-01-01' as updated_at")
+    incoming = spark.createDataFrame([("S", "a", "one"), ("S", "a", "two"), ("S", "b", "x")], schema)
+    rows = tables.upsert_cameras(current, incoming, "2026-02-01 00:00:00").collect()
+    assert sorted((r.id, r.name, r.created_at.month) for r in rows) == [("a", "two", 1), ("b", "x", 2)]
+
+
+def test_only_written_days_are_replaced(spark, tmp_path):
+    path = str(tmp_path / "days")
+    documents = evidence.event_documents(*store(spark, 4))
+    evidence.write_event_documents(documents.withColumn("event_date", F.lit("2025-12-31").cast("date")), path)
+    evidence.write_event_documents(documents, path)
+    assert spark.read.json(path).select("event_date").distinct().count() == 2

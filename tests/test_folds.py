@@ -229,7 +229,45 @@ def test_line_crossing(spark):
 
 def test_dropped_frames(spark):
     frames = spark.createDataFrame([("S", "c", "s", 100)], "site_id string, camera_id string, source_id string, sequence long")
-    assert detect.dropped_frames(frames).first().dropped == 99
+    assert detect.dropped_frames(frames, first_sequence=1).first().dropped == 99
+    assert detect.dropped_frames(frames).first().dropped == 0
+
+
+def test_skipped_frames_are_never_tracked(spark):
+    rows = [("S", "c", "s", n, at(n), 640, 360, 0, "container", 0.9, 10.0, 10.0, 90.0, 90.0) for n in range(8)]
+    cams = spark.createDataFrame([("S", "c", 1)], "site_id string, camera_id string, frame_skip int")
+    seen = detect.considered_frames(spark.createDataFrame(rows, DETS), cams)
+    tracked = {r.sequence: r.hits for r in detect.track_objects(seen.union(seen)).collect()}
+    assert tracked == {0: 1, 2: 2, 4: 3, 6: 4}
+
+
+def test_unknown_keys_are_kept(spark):
+    rows = [("S", None, "s", n, at(n), 640, 360, 0, "container", 0.9, 10.0, 10.0, 90.0, 90.0) for n in range(3)]
+    tracked = detect.track_objects(spark.createDataFrame(rows, DETS)).collect()
+    assert sorted(r.hits for r in tracked) == [1, 2, 3]
+
+
+def test_late_observation_does_not_join_a_later_event():
+    from gatelake.operators.kernels import OpenEvents
+    events = OpenEvents(30_000_000)
+    assert events.assign(200_000_000, None, "a")[1]
+    assert events.assign(10_000_000, None, "b") == ("b", True, False, 10_000_000)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_quantiles_use_all_samples(spark, seed):
+
+
+    from gatelake.operators.metrics import latency_quantiles
+    rng = random.Random(seed)
+    rows = [("S", rng.choice(["a", None]), at(0), i, rng.choice([0.0, 1.5, rng.random() * 10 ** rng.randint(-4, 4), -rng.random()]))
+            for i in range(3000)] + [("S", "one", at(0), 0, 2.0), ("S", "a", at(0), 1, None)]
+    df = spark.createDataFrame(rows, "site_id string, key string, ts timestamp_ntz, sample_id long, seconds double")
+    got = {r.key: (r.samples, r.p50_ms, r.p95_ms) for r in latency_quantiles(df).collect()}
+    for key in ("a", None, "one"):
+        values = sorted(r[4] * 1000 for r in rows if r[1] == key and r[4] is not None)
+        assert got[key] == (len(values), values[int((len(values) - 1) * 0.5)], values[int((len(values) - 1) * 0.95)])
+    assert {r.key: r.samples for r in latency_quantiles(df, keep=10).collect()}[None] == 10
 
 
 def test_cleaning_and_region(spark):

@@ -27,7 +27,7 @@ VALIDATION = [
     ("", "", "INVALID_FORMAT"), ("CSQU3054383 MSCU6639870", "", "AMBIGUOUS"), ("45C1", "45G1", "VALID_SIZE_CODE"),
     ("CSQU3054383 csqu-305438-3", "CSQU3054383", "VALID"), ("CS:QU3054383", "CSQU3054383", "VALID"),
     ("CSQU 3054383", "CSQU3054383", "VALID"), ("CXYU5090704", "GXYU5090704", "VALID"),
-    ("x" * 300, "X" * 256, "INVALID_FORMAT"),
+    ("x" * 5000, "X" * 5000, "INVALID_FORMAT"),
 ]
 
 
@@ -39,6 +39,12 @@ def test_validation(spark):
     assert all(r.valid_check_digit == (r.validation_status == "VALID") for r in rows)
 
 
+def test_text_limit_is_optional_and_marked(spark):
+    df = spark.createDataFrame([("CSQU3054383 MSCU6639870",), ("CSQU3054383",)], "raw_text string")
+    rows = iso6346.with_validation(df, text_limit=11).collect()
+    assert [(r.validation_status, r.truncated) for r in rows] == [("VALID", True), ("VALID", False)]
+
+
 def test_filter_on_validation_stays_small(spark):
     df = spark.createDataFrame([("CSQU3054383",), ("none",)], "raw_text string")
     assert text.validate_reads(df).where("valid_check_digit and validation_status = 'VALID'").count() == 1
@@ -68,8 +74,12 @@ def test_fragments_follow_the_reading_direction(spark, h, expected):
 def test_crowded_crop_is_cut_like_its_whole_text(spark):
     df = spark.range(500).selectExpr("'S' as site_id", "1L as crop_id", "100 as crop_w", "80 as crop_h", "id as ordinal",
                                      "cast(id as double) as left_x", "0D as top_y", "'Q' as text", "0.5D as confidence")
-    whole = " ".join("Q" * 500)[:40]
-    assert text.assemble_fragments(df, text_limit=40).first().text == whole
+    whole = " ".join("Q" * 500)
+    cut = text.assemble_fragments(df, text_limit=40).first()
+    assert cut.text == whole[:40] and cut.truncated
+    crops = spark.createDataFrame([("S", 1), ("S", 2), (None, 3)], "site_id string, crop_id long")
+    rows = {r.crop_id: (r.text, r.confidence, r.fragments) for r in text.assemble_fragments(df, crops).collect()}
+    assert rows == {1: (whole, 0.5, 500), 2: ("", 0.0, 0), 3: ("", 0.0, 0)}
 
 
 def test_generated_text(spark):
