@@ -14,6 +14,7 @@ from gatelake.operators import associate, confirm, detect, evidence, ledger, met
 from gatelake.plans import pipeline
 from gatelake.session import materialize, work_dir
 from gatelake.sources import driver_tables as d
+from gatelake.sources import store as event_store
 from gatelake.sources import tables
 from gatelake.streaming import streams
 
@@ -338,6 +339,15 @@ def count_events(s, sf):
                                status="CONFIRMED")
 
 
+@query
+def search_store(s, sf):
+    tables_of = _store(s, sf)
+    path = work_dir(s, "event-store")
+    event_store.write_events(tables_of.events, tables_of.detections, tables_of.ocr, tables_of.snapshots, path)
+    stored = event_store.read_events(s, path, since="2026-01-01", until="2026-01-02")
+    return search.search_events(stored.events, stored.detections, stored.ocr, container="tclu0316764", limit=200).drop("day")
+
+
 @query
 def event_sizes(s, sf):
     store = _store(s, sf)

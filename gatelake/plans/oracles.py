@@ -700,6 +700,10 @@ _FOUND = """
 Q["search_events"] = f"""
   WITH p AS (SELECT * {_FOUND} ORDER BY timestamp DESC, id, site_id LIMIT 50 OFFSET 10)
   SELECT p.*, z.container_size, z.size_code FROM p LEFT JOIN w_event_sizes z ON z.site_id = p.site_id AND z.event_id = p.id"""
+Q["search_store"] = """
+  WITH p AS (SELECT * FROM w_events WHERE container_number = 'TCLU0316764' AND timestamp < TIMESTAMP '2026-01-03'
+             ORDER BY timestamp DESC, id, site_id LIMIT 200)
+  SELECT p.*, z.container_size, z.size_code FROM p LEFT JOIN w_event_sizes z ON z.site_id = p.site_id AND z.event_id = p.id"""
 Q["count_events"] = f"SELECT count(*) AS total {_FOUND}"
 Q["event_sizes"] = "SELECT * FROM w_event_sizes"
 Q["recent_ocr"] = "SELECT * FROM w_ocr ORDER BY timestamp DESC, id DESC LIMIT 50 OFFSET 25"

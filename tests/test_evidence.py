@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatelake.operators import associate, evidence, ledger, search
 from gatelake.params import GateParams
 from gatelake.session import work_dir
+from gatelake.sources import store as event_store
 from gatelake.sources import tables
 
 T0 = dt.datetime(2026, 1, 1)
@@ -147,3 +148,20 @@ def test_only_written_days_are_replaced(spark, tmp_path):
     evidence.write_event_documents(documents.withColumn("event_date", F.lit("2025-12-31").cast("date")), path)
     evidence.write_event_documents(documents, path)
     assert spark.read.json(path).select("event_date").distinct().count() == 2
+
+
+def test_stored_events_are_pruned_by_day_and_written_again_unchanged(spark, tmp_path):
+    path = str(tmp_path / "store")
+    events, detections, ocr, snapshots = store(spark, 6)
+    later = events.selectExpr("site_id", "'f' as id", "gate_id", "timestamp + interval 1 day as timestamp", "container_number",
+                              "event_type", "status")
+    for _ in range(2):
+        event_store.write_events(events.union(later), detections, ocr, snapshots, path, files_per_day=2)
+    whole = event_store.read_events(spark, path)
+    assert [t.count() for t in (whole.events, whole.detections, whole.ocr, whole.snapshots)] == [2, 6, 6, 6]
+    event_store.write_events(later, detections.limit(0), ocr.limit(0), snapshots.limit(0), path)
+    assert event_store.read_events(spark, path).detections.count() == 6
+    one = event_store.read_events(spark, path, since="2026-01-02")
+    assert [r.id for r in one.events.collect()] == ["f"] and one.detections.count() == 0
+    plan = one.events._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan
