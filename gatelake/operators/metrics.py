@@ -64,13 +64,14 @@ def fleet_status(camera_status: DataFrame, spool: DataFrame, models_ready: bool
 
 
 def event_summary(events: DataFrame) -> DataFrame:
-    """Events per lane, direction, status and hour."""
+    """Events per lane, direction and hour, the share in review, and the share that repeats a number of that hour."""
     return events.groupBy(
         "site_id", "gate_id", "event_type", F.date_trunc("hour", F.col("timestamp").cast("timestamp")).cast(
             "timestamp_ntz").alias("hour")).agg(
         F.count(F.lit(1)).alias("events"), F.count_if(F.col("status") == "NEEDS_REVIEW").alias("in_review"),
-        F.countDistinct("container_number").alias("numbers")).withColumn(
-        "review_rate", F.col("in_review") / F.col("events"))
+        F.countDistinct("container_number").alias("numbers"), F.count("container_number").alias("_numbered")).withColumns({
+        "review_rate": F.col("in_review") / F.col("events"),
+        "duplicate_rate": (F.col("_numbered") - F.col("numbers")) / F.col("events")}).drop("_numbered")
 
 
 def event_latency(assignments: DataFrame) -> DataFrame:

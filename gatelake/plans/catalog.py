@@ -72,7 +72,10 @@ def load_detections(s, sf):
 
 @query
 def parse_ocr_jobs(s, sf):
-    return tables.parse_ocr_jobs(_jobs(s, sf)).withColumn("bbox", F.to_json("bbox"))
+    parsed = tables.parse_ocr_jobs(_jobs(s, sf)).withColumns({c: F.to_json(c) for c in ("bbox", "ocr_roi")})
+    other = F.get("all_detections", F.lit(0))
+    return parsed.withColumns({"other_class": other["class_name"], "other_bbox": F.to_json(other["bbox"])}).drop(
+        "all_detections", "read_text")
 
 
 @query

@@ -503,6 +503,9 @@ Q["parse_ocr_jobs"] = """
          CASE WHEN NOT bad_metadata THEN frame_timestamp END AS frame_timestamp,
          CASE WHEN NOT bad_metadata THEN 'src0' END AS source_id,
          CASE WHEN NOT bad_metadata THEN 1 END AS detections_on_frame,
+         CASE WHEN NOT bad_metadata THEN '[0.0,0.0,1.0,1.0]' END AS ocr_roi, origin || '/crop.png' AS crop,
+         origin || '/frame.png' AS image, CASE WHEN NOT bad_metadata THEN 'feet' END AS other_class,
+         CASE WHEN NOT bad_metadata THEN '[12.0,60.0,40.0,78.0]' END AS other_bbox,
          CASE WHEN has_validation THEN normalized_text END AS normalized_text,
          CASE WHEN has_validation THEN validation_status END AS validation_status,
          CASE WHEN has_validation THEN valid_check_digit END AS valid_check_digit,
@@ -776,7 +779,8 @@ Q["fleet_status"] = """
 Q["event_summary"] = """
   SELECT site_id, gate_id, event_type, date_trunc('hour', timestamp) AS hour, count(*) AS events,
          count(*) FILTER (status = 'NEEDS_REVIEW') AS in_review, count(DISTINCT container_number) AS numbers,
-         count(*) FILTER (status = 'NEEDS_REVIEW') / count(*)::DOUBLE AS review_rate
+         count(*) FILTER (status = 'NEEDS_REVIEW') / count(*)::DOUBLE AS review_rate,
+         (count(container_number) - count(DISTINCT container_number)) / count(*)::DOUBLE AS duplicate_rate
   FROM w_events GROUP BY ALL"""
 Q["event_latency"] = quantiles(
     "w_assigned", "CASE WHEN created THEN 'events_created' ELSE 'evidence_associated' END",

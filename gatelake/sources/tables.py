@@ -28,7 +28,10 @@ def load_detections(spark: SparkSession, path: str, streaming: bool = False, max
 
 
 def parse_ocr_jobs(jobs: DataFrame) -> DataFrame:
-    """Typed columns of the JSON documents of a spool row; ``damaged`` marks rows whose JSON does not parse."""
+    """Typed columns of the JSON documents of a spool row; ``damaged`` marks rows whose JSON does not parse.
+
+    Everything a replay of the spool needs is there: region, crop and image, and all detections of the frame.
+    """
     parsed = jobs.select(
         "*", F.from_json("metadata", JOB_METADATA).alias("_m"), F.from_json("validation", JOB_VALIDATION).alias("_v"))
     moment = lambda c: F.try_to_timestamp(c).cast("timestamp_ntz")
@@ -40,7 +43,8 @@ def parse_ocr_jobs(jobs: DataFrame) -> DataFrame:
         F.col("_m.detection.camera_id").alias("camera_id"), F.col("_m.detection.class_name").alias("class_name"),
         F.col("_m.detection.confidence").alias("detection_confidence"), F.col("_m.detection.bbox").alias("bbox"),
         moment(F.col("_m.frame.timestamp")).alias("frame_timestamp"), F.col("_m.frame.source_id").alias("source_id"),
-        F.size("_m.all_detections").alias("detections_on_frame"),
+        F.size("_m.all_detections").alias("detections_on_frame"), F.col("_m.all_detections").alias("all_detections"),
+        F.col("_m.roi").alias("ocr_roi"), "crop", "image", F.col("_v.raw_text").alias("read_text"),
         F.col("_v.normalized_text").alias("normalized_text"), F.col("_v.validation_status").alias("validation_status"),
         F.col("_v.valid_check_digit").alias("valid_check_digit"), F.col("_v.confidence").alias("read_confidence"),
         (F.col("_m.frame.sequence").isNull()
