@@ -9,18 +9,17 @@ from gatelake.session import materialize, work_dir
 
 __all__ = ["bounded_broadcast", "drop_table", "keep", "materialize", "read_table", "work_dir"]
 
-#: Rows of a narrow table (a few numbers each) up to which it is sent to every executor instead of shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Rows up to which a table is sent to every executor instead of shuffled: of a few numbers each, and of short texts or lists.
+BROADCAST_ROWS, BROADCAST_WIDE_ROWS = 2_000_000, 200_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_broadcast(narrow: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a narrow stored table for broadcast if its counted rows are within the bound; else leave it to a shuffle."""
-    count = narrow.count() if rows is None else rows
-    return F.broadcast(narrow) if count <= BROADCAST_ROWS else narrow
+def bounded_broadcast(stored: DataFrame, wide: bool = False) -> DataFrame:
+    """Mark a stored table for broadcast if its counted rows are within the bound; else leave it to a shuffle."""
+    return F.broadcast(stored) if stored.count() <= (BROADCAST_WIDE_ROWS if wide else BROADCAST_ROWS) else stored
 
 
 def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:

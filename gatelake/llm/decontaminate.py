@@ -208,7 +208,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
              .dropDuplicates(["doc", "start", "size", "item_id", "f1", "f2"]))
     texts = items.select(F.col("item_id").alias("of_item"), F.col("size").alias("of_size"), F.col("f1").alias("of_1"),
                          F.col("f2").alias("of_2"), F.col("shingles").alias("item_shingles"))
-    near_items = found.join(bounded_broadcast(texts), F.col("item_id").eqNullSafe(F.col("of_item")) & (
+    near_items = found.join(bounded_broadcast(texts, wide=True), F.col("item_id").eqNullSafe(F.col("of_item")) & (
         F.col("size") == F.col("of_size")) & (F.col("g1") == F.col("of_1")) & (F.col("g2") == F.col("of_2")))
     checked = _similarity(near_items.select("doc", "item_id", "start", "n_words", "shingles", "item_shingles"))
     hit = checked.where(den * F.col("common") >= num * F.col("total"))

@@ -214,7 +214,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     members = keyed.select("vec_id", "key").distinct()
     classes = members.groupBy("key").agg(F.min("vec_id").alias("head"), F.count("*").alias("weight"))
     members, _ = keep(members.join(classes, "key"), "vector-classes")
-    heads = keyed.join(bounded_broadcast(members.where("vec_id = head").select("key", "head", "weight")), "key")
+    heads = keyed.join(bounded_broadcast(members.where("vec_id = head").select("key", "head", "weight"), wide=True), "key")
     heads = heads.where("vec_id = head").dropDuplicates(["key", "head"]).select(F.col("head").alias("doc"), "weight", "v")
     stored, _ = keep(_bucket_rows(heads, tables, probes, seed), "vector-codes")
 

@@ -91,7 +91,7 @@ def _slices(docs: DataFrame, asked: DataFrame) -> DataFrame:
                      pa.array(counts, pa.int32()), pa.array(parts, pa.binary())], names=["doc", "first", "n", "bytes"])
     lists = asked.groupBy("doc").agg(F.collect_set(F.struct("first", "n")).alias("ranges"))
     lists, _ = keep(lists, "asked-lines")
-    return docs.join(bounded_broadcast(lists), "doc").select("doc", "text", "ranges").mapInArrow(
+    return docs.join(bounded_broadcast(lists, wide=True), "doc").select("doc", "text", "ranges").mapInArrow(
         run, "doc long, first int, n int, bytes binary")
 
 
@@ -142,7 +142,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "ranges", lambda r: F.sequence(r["first"], r["first"] + r["n"] - 1))))).alias("_cut")), "cut-lines")
     # The rows travel as one struct, so no column name of theirs can meet one of ours.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    joined = rows.join(bounded_broadcast(cuts), F.col("_row")[id_col].cast("long") == F.col("_cut_doc"), "left")
+    joined = rows.join(bounded_broadcast(cuts, wide=True), F.col("_row")[id_col].cast("long") == F.col("_cut_doc"), "left")
     lines = F.split(F.col("_row")[text_col], "\n", -1)
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut"))
     left = F.array_join(F.transform(rest, lambda i: F.element_at(lines, i + 1)), "\n")

@@ -201,9 +201,7 @@ class Encoder:
             value = self._decide((fresh >> 20).astype(np.int32), (fresh & 0xFFFFF).astype(np.int32))
             out[new] = value[back]
             at = (words.mix(fresh.view(np.uint64)) & np.uint64(_MEMO - 1)).astype(np.int64)
-            last = np.zeros(_MEMO, np.int32)
-            last[at] = np.arange(len(at))
-            chosen = last[at] == np.arange(len(at))
+            _, chosen = np.unique(at, return_index=True)
             self.memo_key[at[chosen]], self.memo_value[at[chosen]] = fresh[chosen], value[chosen]
         return out
 
