@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelake.session import materialize, work_dir
 
-__all__ = ["bounded_broadcast", "drop_table", "keep", "materialize", "read_table", "work_dir"]
+__all__ = ["bounded_broadcast", "drop_table", "keep", "materialize", "read_table", "small_batches", "work_dir"]
 
 #: Rows up to which a table is sent to every executor instead of shuffled: of a few numbers each, and of short texts or lists.
 BROADCAST_ROWS, BROADCAST_WIDE_ROWS = 2_000_000, 200_000
@@ -22,6 +22,14 @@ def bounded_broadcast(stored: DataFrame, wide: bool = False) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= (BROADCAST_WIDE_ROWS if wide else BROADCAST_ROWS) else stored
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Let Spark hand whole texts to Python a thousand at a time, if the session has no setting of its own."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, "1000")
+    return df
+
+
 def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write a table to the shared folder; the rows read back and the path, for drop_table."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelake.llm import words
-from gatelake.llm.common import bounded_broadcast, keep
+from gatelake.llm.common import bounded_broadcast, keep, small_batches
 
 BLOCKS, BLOCK_BITS = 16, 8
 GATE_BITS = 1 << 21
@@ -150,7 +150,7 @@ def _window_rows(docs: DataFrame, k: int, sizes: list[int], gate, num: int, den:
                     if len(out[0]) >= 4096:
                         yield flush()
             yield flush()
-    return docs.mapInArrow(run, "doc long, start int, size int, n_words int, f1 long, f2 long, shingles array<long>")
+    return small_batches(docs).mapInArrow(run, "doc long, start int, size int, n_words int, f1 long, f2 long, shingles array<long>")
 
 
 def _similarity(pairs: DataFrame) -> DataFrame:

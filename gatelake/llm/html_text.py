@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatelake.llm.common import small_batches
+
 
 def _set(text: str) -> frozenset[str]:
     return frozenset(text.split())
@@ -386,4 +388,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
                 texts = [render(v.as_py()) for v in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["page_id", "text"])
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, text string")
+    return small_batches(rows).mapInArrow(run, "page_id long, text string")

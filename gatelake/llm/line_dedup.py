@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelake.llm import words
-from gatelake.llm.common import bounded_broadcast, keep
+from gatelake.llm.common import bounded_broadcast, keep, small_batches
 
 _CHUNK = "doc long, first int, n int, size int, hash long"
 
@@ -68,7 +68,7 @@ def _chunk_rows(docs: DataFrame, **how: int) -> DataFrame:
                     [batch.column(0).slice(at, end - at).take(pa.array(row)), pa.array(first, pa.int32()),
                      pa.array(n, pa.int32()), pa.array(size, pa.int32()), pa.array(chunk.view(np.int64))],
                     names=["doc", "first", "n", "size", "hash"])
-    return docs.mapInArrow(run, _CHUNK)
+    return small_batches(docs).mapInArrow(run, _CHUNK)
 
 
 def _slices(docs: DataFrame, asked: DataFrame) -> DataFrame:

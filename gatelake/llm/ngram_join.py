@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelake.llm import words
-from gatelake.llm.common import bounded_broadcast, drop_table, keep
+from gatelake.llm.common import bounded_broadcast, drop_table, keep, small_batches
 from gatelake.llm.components import components
 
 #: Bins of the shingle frequency table that sets the rare-first order: 128 KB, whatever the corpus.
@@ -75,7 +75,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.list_(pa.int32())), pa.array([sketch.tobytes()], pa.binary())],
             names=["doc", "n_shingles", "d1", "d2", "ranges", "sketch"])
-    return docs.mapInArrow(run, _PROFILE)
+    return small_batches(docs).mapInArrow(run, _PROFILE)
 
 
 def _frequencies(sketches: DataFrame) -> np.ndarray:

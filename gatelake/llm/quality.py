@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelake.llm import words
+from gatelake.llm.common import small_batches
 
 FEATURES = (
     "log_bytes", "log_words", "bytes_per_word", "upper", "digits", "sentence_marks", "exclamations", "pipes", "symbols",
@@ -186,7 +187,7 @@ def _with_features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(
                     pa.list_(pa.float64()))], names=["doc", "x"])
-    return docs.mapInArrow(run, "doc long, x array<double>")
+    return small_batches(docs).mapInArrow(run, "doc long, x array<double>")
 
 
 def held_out(id_col: str) -> F.Column:
@@ -226,5 +227,5 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
             values = shared.value.score(features(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "score"])
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, score double").select(
+    return small_batches(texts).mapInArrow(run, "doc_id long, score double").select(
         "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

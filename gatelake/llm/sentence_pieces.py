@@ -23,15 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelake.llm import words
+from gatelake.llm.common import small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 _SPACE = "▁"
 _UNKNOWN = -2
 _FAR = np.int32(1 << 30)
 _MEMO = 1 << 20
 #: Segments whose pieces a worker remembers; beyond that it starts anew.
-_REMEMBERED = 1_500_000
+_REMEMBERED = 400_000
 
 
 @dataclass
@@ -385,7 +386,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", tex
                      pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(ids)), pa.array(same & ~marked[first:end])],
                     names=["doc_id", "n_tokens", "token_ids", "round_trip"])
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_tokens int, token_ids array<int>, round_trip boolean")
+    return small_batches(texts).mapInArrow(run, "doc_id long, n_tokens int, token_ids array<int>, round_trip boolean")
 
 
 def decode(tokens: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
@@ -413,4 +414,4 @@ def decode(tokens: DataFrame, model_path: str = MODEL, id_col: str = "doc_id", i
                     names=["doc_id", "text"])
     pieces_unknown = pieces.unknown_id
     rows = tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, text string")
+    return small_batches(rows).mapInArrow(run, "doc_id long, text string")

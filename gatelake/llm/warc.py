@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelake.llm.common import bounded_broadcast, keep, work_dir
+from gatelake.llm.common import bounded_broadcast, keep, small_batches, work_dir
 
 SEPARATOR = b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -115,7 +115,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-    (rows.join(bounded_broadcast(keepers, wide=True), "digest", "left").select("page_id", "url", "payload", "digest", "keeper")
+    (small_batches(rows).join(bounded_broadcast(keepers, wide=True), "digest", "left").select("page_id", "url", "payload", "digest", "keeper")
      .mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
      .write.option("lineSep", SEPARATOR.decode()).option("compression", "gzip").text(path))
 
