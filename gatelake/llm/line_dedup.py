@@ -38,8 +38,11 @@ def _chunks(data, offsets, rules: int, every: int, window: int, long_line: int,
     blanks = np.flatnonzero(words.SPACES[data])
     is_long = np.searchsorted(blanks, ends) - np.searchsorted(blanks, starts) >= long_line
     rolling = np.zeros(count, np.uint64)
+    within = np.arange(count) - np.repeat(row_first[:-1], np.diff(row_first))
     for back in range(min(window, count)):
-        rolling[back:] += hashes[:count - back] * np.uint64(pow(int(words._STEP), back + 1, 1 << 64))
+        # Lines of the text before, which happens to be in the same block, are not part of the window.
+        own = within[back:] >= back
+        rolling[back:][own] += (hashes[:count - back] * np.uint64(pow(int(words._STEP), back + 1, 1 << 64)))[own]
     forced = is_long.copy()
     forced[:-1] |= is_long[1:]
     forced[row_first[1:] - 1] = True

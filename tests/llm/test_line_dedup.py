@@ -2,7 +2,9 @@
 
 import random
 
-from gatelake.llm import line_dedup
+import pyarrow as pa
+
+from gatelake.llm import line_dedup, words
 
 
 def line(rng, words=9):
@@ -74,6 +76,19 @@ def test_equal_hashes_are_compared_byte_by_byte(spark):
     assert [bytes(r.bytes).decode() for r in slices] == [rows[0][1]]
 
 
+def test_neighbours_in_a_block_do_not_matter():
+    rng = random.Random(4)
+    texts = ["\n".join(line(rng) for _ in range(rng.randint(1, 9))) for _ in range(50)]
+
+    def chunks(some):
+        out = []
+        for _, _, data, offsets in words.text_blocks(pa.array(some)):
+            row, *rest = line_dedup._chunks(data, offsets, 6, 2, 2, 49, 64)
+            out += [(some[r], *map(int, x)) for r, *x in zip(row, *rest, strict=True)]
+        return sorted(out)
+    assert chunks(texts) == sorted(c for t in texts for c in chunks([t]))
+
+
 def test_odd_rows(spark, odd_docs):
     found = line_dedup.remove_repeats(odd_docs)
     assert set(found.columns) == {*odd_docs.columns, "cut_lines"}
