@@ -1,9 +1,11 @@
 """Removal of globally repeated multi-line passages by content-defined chunks of lines.
 
 A rolling hash over the hashes of neighbouring lines decides where a chunk of lines ends, so the cuts inside a repeated
-passage do not depend on what stands before it. Several independent cut rules run side by side; a passage that one
-rule joins to its surroundings is cut free by another. An unwrapped paragraph (a line with ``long_line`` blanks or
-more) is several lines on the page, and so is a chunk of its own under every rule.
+passage do not depend on what stands before it. Several independent cut rules run side by side. A passage of few lines
+may still be joined to its surroundings by all of them, so anchors that do not depend on any surroundings are added: from
+every line on, and up to every line, the fewest lines (two at least) that have ``min_bytes``. Each line of a repeated
+passage of two lines and ``min_bytes`` or more is in an anchor that lies inside the passage. An unwrapped paragraph (a
+line with ``long_line`` blanks or more) is several lines on the page, and so is a chunk of its own under every rule.
 """
 
 from __future__ import annotations
@@ -30,8 +32,18 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.concatenate(([0], np.cumsum(per_row)))
 
 
+def _anchors(starts, ends, row_first, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the shortest spans of two lines and ``min_bytes`` from each line on, and up to each line."""
+    line = np.arange(len(starts))
+    row = np.repeat(np.arange(len(row_first) - 1), np.diff(row_first))
+    last = np.maximum(np.searchsorted(ends, starts + min_bytes), line + 1)
+    first = np.minimum(np.searchsorted(starts, ends - min_bytes, "right") - 1, line - 1)
+    on, up_to = last < row_first[row + 1], first >= row_first[row]
+    return np.concatenate((line[on], first[up_to])), np.concatenate((last[on], line[up_to]))
+
+
 def _chunks(data, offsets, rules: int, every: int, window: int, long_line: int, min_bytes: int):
-    """(row, first line, lines, bytes, hash) of the chunks of all rules, each once."""
+    """(row, first line, lines, bytes, hash) of the chunks of all rules and the anchors, each once."""
     starts, ends, row_first = _lines(data, offsets)
     count = len(starts)
     hashes = words.span_hashes(data, starts, ends)
@@ -50,6 +62,8 @@ def _chunks(data, offsets, rules: int, every: int, window: int, long_line: int,
     for rule in range(rules):
         last = np.flatnonzero(forced | (words.mix(rolling + np.uint64((rule + 1) * int(words._BASE) % (1 << 64))) % np.uint64(every) == 0))
         spans.append(np.concatenate(([0], last[:-1] + 1)) * np.int64(count) + last)
+    first, last = _anchors(starts, ends, row_first, min_bytes)
+    spans.append(first * np.int64(count) + last)
     spans = np.unique(np.concatenate(spans))
     first, last = spans // count, spans % count
     size = ends[last] - starts[first]

@@ -56,6 +56,28 @@ def test_planted_passages(spark):
     assert own <= {x for _, _, t, _ in found for x in t.split("\n")}
 
 
+def test_short_passages_are_cut_whole(spark):
+    rng = random.Random(5)
+    passages = [[line(rng, 30) for _ in range(2)], [line(rng, 40), "", line(rng, 20)], [line(rng, 20) for _ in range(3)],
+                [line(rng, 11) for _ in range(5)], [line(rng, 6) for _ in range(10)], ["a b c d e f"] + [line(rng, 1) for _ in range(50)],
+                ["Title", line(rng, 60), "End"]]
+    passages = [p if len(p) > 3 else [x + f" v{copy}" if x else x for x in p] for p in passages for copy in range(12)]
+    passages = [[f"{x}{i}" if x else x for x in p] for i, p in enumerate(passages)]
+    rows, held = [], []
+    for i, passage in enumerate(passages):
+        assert len(" ".join(passage).split()) > 50
+        for _ in range(2 if i % 3 else 9):
+            before, after = ([line(rng) for _ in range(rng.randint(0, 4))] for _ in range(2))
+            held.append((i, len(rows), range(len(before), len(before) + len(passage))))
+            rows.append((len(rows), "\n".join(before + passage + after)))
+    found = run(spark, rows)
+    earlier_lines(found)
+    for i in range(len(passages)):
+        _, *others = [(doc, lines) for p, doc, lines in held if p == i]
+        assert all(found[doc][3] == set(lines) for doc, lines in others), (i, others)
+    assert sum(len(lines) for *_, lines in found) == sum(len(x) for i, d, x in held) - sum(map(len, passages))
+
+
 def test_copies_and_single_lines(spark):
     rng = random.Random(2)
     text = "\n".join(line(rng) for _ in range(6))
