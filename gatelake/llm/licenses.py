@@ -7,6 +7,8 @@ are a line of their own. Built-in column functions only.
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +53,65 @@ _MIT = ("Permission is hereby granted, free of charge, to any person obtaining a
         "and this permission notice shall be included in all copies or substantial portions of the Software.\n\n" + _AS_IS)
 _GRANT = ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted")
 _KEEP = ", provided that the above copyright notice and this permission notice appear in all copies.\n"
+#: Licences whose whole text is a file of license_texts, in its current wording. Fixed values.
+TEXTS = ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSL-1.0", "Zlib")
+_END = "END OF TERMS AND CONDITIONS"
+#: (licence, names of it in notices, its SPDX forms). Fixed values.
+NAMES = (
+    ("MIT", ("MIT License",), ("MIT",)),
+    ("Apache-2.0", ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"), ("Apache-2.0",)),
+    ("ISC", ("ISC License",), ("ISC",)), ("0BSD", ("BSD Zero Clause License", "Zero-Clause BSD License"), ("0BSD",)),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "Simplified BSD License"), ("BSD-2-Clause",)),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "New BSD License", "Modified BSD License"), ("BSD-3-Clause",)),
+    ("MPL-2.0", ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0"), ("MPL-2.0",)),
+    ("Unlicense", ("Unlicense",), ("Unlicense",)), ("Zlib", ("zlib License",), ("Zlib",)),
+    ("BSL-1.0", ("Boost Software License, Version 1.0", "Boost Software License 1.0"), ("BSL-1.0",)),
+    ("EPL-2.0", ("Eclipse Public License 2.0", "Eclipse Public License, version 2.0"), ("EPL-2.0",)),
+)
+_GNU = (("GPL-2.0", "General", "GPL", "2"), ("GPL-3.0", "General", "GPL", "3"), ("LGPL-2.1", "Lesser General", "LGPL", "2.1"),
+        ("LGPL-3.0", "Lesser General", "LGPL", "3"), ("AGPL-3.0", "Affero General", "AGPL", "3"))
+_CC = (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+       ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+       ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+_NOTICES = ("Released under {}.", "Licensed under {}.", "Distributed under {}.", "This project is licensed under {}.",
+            "This work is licensed under {}.", "This software is licensed under {}.")
+
+
+def _whole_texts() -> list[tuple[str, str]]:
+    """The files of license_texts, and those with instructions after the terms also without them."""
+    found = []
+    for name in TEXTS:
+        text = pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()
+        found.append((name, text))
+        if _END in text:
+            found.append((name, text[:text.index(_END) + len(_END)]))
+    return found
+
+
+def _notices() -> list[tuple[str, str]]:
+    """Notices and SPDX lines of the licences in NAMES, of the GNU licences and of Creative Commons."""
+    named, spdx = [(a, f"the {n}") for a, names, _ in NAMES for n in names], [(a, x) for a, _, forms in NAMES for x in forms]
+    for name, kind, short, version in _GNU:
+        plain = version + ".0" * ("." not in version)
+        for either, tail in ((name, ""), (name + "-or-later", " or later"), (name + "-or-later", " or any later version"),
+                             (name + "-only", " only")):
+            full = {f"GNU {kind} Public License, {word} {v}" for word in ("version", "v") for v in {version, plain}}
+            named += [(either, f"{article}{n}{tail}") for article in ("the ", "")
+                      for n in sorted({*full, f"GNU {short} v{version}", f"GNU {short} v{plain}", f"{short}-{plain}"})]
+        spdx += [(name, name), (name + "-only", name + "-only"), (name + "-or-later", name + "-or-later")]
+    for short, long in _CC:
+        for version, law in (("4.0", "International"), ("3.0", "Unported")):
+            name, full = f"CC-{short}-{version}", f"Creative Commons {long} {version} {law}"
+            named += [(name, x) for x in (f"CC {short} {version}", f"a CC {short} {version} License", f"the CC {short} {version} License",
+                                          full, f"a {full} License", f"the {full} License")]
+            spdx.append((name, name))
+    named += [("CC0-1.0", x) for x in ("CC0 1.0", "CC0 1.0 Universal", "the Creative Commons CC0 1.0 Universal License")]
+    spdx.append(("CC0-1.0", "CC0-1.0"))
+    return [(a, t.format(x)) for a, x in named for t in _NOTICES] + [(a, f"SPDX-License-Identifier: {x}") for a, x in spdx]
+
+
 #: (licence, text or notice). Fixed values.
-KNOWN = (
+KNOWN = tuple({text: (name, text) for name, text in (
     ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("MIT", "The MIT License (MIT)\n" + _MIT),
     ("ISC", _GRANT + _KEEP + _ISC), ("ISC", "ISC License\n" + _GRANT + _KEEP + _ISC),
     ("0BSD", _GRANT + ".\n" + _ISC), ("BSD-2-Clause", _BSD + _BSD_END), ("BSD-3-Clause", _BSD + _BSD_3 + _BSD_END),
@@ -64,7 +123,8 @@ KNOWN = (
     ("Apache-2.0", "Released under the Apache License, Version 2.0."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"), ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-)
+    *_whole_texts(), *_notices(),
+)}.values())
 
 
 def canonical_lines(text: Column) -> Column:
