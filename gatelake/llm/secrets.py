@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from gatelake.llm.common import small_batches
 
 KINDS = ("assign", "access", "hex", "novel")
-_ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+_NAMES = "password|passwd|secret|token|api_?key"
+_ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                      re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
@@ -28,8 +29,7 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|credential|private|bearer|authorization|signature|session|cookie|"
                         r"access.?key|api.?key|client.?key|account.?key", re.ASCII | re.IGNORECASE)
 #: Any text with a span has one of these; RE2 looks for them in whole columns at once.
-_MAY = (r"(?i)password|passwd|secret|token|api_?key|passw|passphrase|pwd|credential|private|bearer|authorization|signature|"
-        r"session|cookie|access.?key|client.?key|account.?key", r"AKIA[A-Z0-9]{12}", r"[0-9a-f]{32}")
+_MAY = (f"(?i){_NAMES}|{_SENSITIVE.pattern}", r"AKIA[A-Z0-9]{12}", r"[0-9a-f]{32}")
 #: Text that primes the compressor. Fixed values.
 DICTIONARY = """
 import from class def function return public private protected static final void string int long boolean null true false
