@@ -86,7 +86,7 @@ def _gate(items: DataFrame) -> np.ndarray:
             for value in batch.column(0):
                 bits |= np.frombuffer(value.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
-    row = items.select("shingles").mapInArrow(mark, "bits binary").coalesce(1).mapInArrow(join, "bits binary").first()
+    row = items.select("shingles").mapInArrow(mark, "bits binary").repartition(32).coalesce(1).mapInArrow(join, "bits binary").first()
     return np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
 
 
@@ -205,7 +205,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     apart = F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) + F.bit_count(F.col("f2").bitwiseXOR(F.col("g2")))
     found = (windows.select("doc", "start", "size", "f1", "f2", "shingles", "n_words", blocks)
              .join(bounded_broadcast(posted), ["size", "block", "value"]).where(apart <= radius)
-             .dropDuplicates(["doc", "start", "size", "item_id", "f1", "f2"]))
+             .dropDuplicates(["doc", "start", "size", "item_id", "f1", "f2", "g1", "g2"]))
     texts = items.select(F.col("item_id").alias("of_item"), F.col("size").alias("of_size"), F.col("f1").alias("of_1"),
                          F.col("f2").alias("of_2"), F.col("shingles").alias("item_shingles"))
     near_items = found.join(bounded_broadcast(texts, wide=True), F.col("item_id").eqNullSafe(F.col("of_item")) & (

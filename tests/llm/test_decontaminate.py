@@ -65,3 +65,14 @@ def test_odd_rows(spark, odd_docs):
     assert {(1, 1), (2, 1), (8, 8), (9, 8), (None, 8), (8, None)} <= pairs and not {3, 4, 5} & {d for d, _ in pairs}
     assert decontaminate.find_passages(odd_docs.limit(0), bench).count() == 0
     assert decontaminate.find_passages(odd_docs, bench.limit(0)).count() == 0
+
+
+def test_different_items_of_one_id_each_match(spark):
+    rng = random.Random(11)
+    texts = [[" ".join(f"w{rng.randrange(10_000)}" for _ in range(12)) for _ in range(2)] for _ in range(20)]
+    ids = [i if i < 15 else None for i in range(20)]
+    items = [(ids[i], text) for i, both in enumerate(texts) for text in both]
+    docs = [(100 * j + i, "before " + both[j] + " after") for i, both in enumerate(texts) for j in range(2)]
+    found = decontaminate.find_passages(spark.createDataFrame(docs, "doc_id long, text string"),
+                                        spark.createDataFrame(items, "item_id long, text string"), radius=127).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(doc, ids[doc % 100]) for doc, _ in docs}
