@@ -262,10 +262,10 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     posted = _posted(docs.where("doc is not null"), k, num, den, order).join(
         bounded_broadcast(copies), ["doc", "d1", "d2"], "left_anti")
     rows = posted.select("doc", "n", F.posexplode("posted").alias("pos", "token"))
-    token = Window.partitionBy("token").orderBy("doc")
-    same = rows.select("token", "doc", "n", "pos", F.lag("doc").over(token).alias("before"),
-                       F.lead("doc").over(token).alias("after"))
-    repeated, rows_path = keep(same.where("before <> doc or after <> doc").select("token", "doc", "n", "pos"), "postings")
+    # A token that two ids have keeps all its rows, also those of several texts of one id.
+    token = Window.partitionBy("token")
+    same = rows.select("token", "doc", "n", "pos", F.min("doc").over(token).alias("low"), F.max("doc").over(token).alias("high"))
+    repeated, rows_path = keep(same.where("low <> high").select("token", "doc", "n", "pos"), "postings")
 
     open_rows, path = repeated.withColumn("c", F.col("doc")), rows_path
     links = tried = None

@@ -85,3 +85,20 @@ def test_odd_rows(spark, odd_docs):
     assert [by_id[i].n_shingles for i in (3, 4, 5)] == [0, 0, 0] and by_id[4].component_id == 4
     assert all(r.component_id is None for r in found if r.doc_id is None)
     assert ngram_join.join_documents(odd_docs.limit(0)).count() == 0
+
+
+def test_texts_of_one_id_keep_their_own_postings(spark):
+    rng = random.Random(12)
+
+    def some(n):
+        return [f"w{rng.randrange(1_000_000)}" for _ in range(n)]
+    common = some(110)
+    rows = [(10_000 + i, " ".join(common + some(60))) for i in range(12)]
+    for i in range(24):
+        text = some(104)
+        near = text[:50] + some(1) + text[51:]
+        both = [(2 * i, " ".join(text)), (2 * i, " ".join(text + common))]
+        rows += both[::1 if i % 2 else -1] + [(2 * i + 1, " ".join(near))]
+    found = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    component = {r.doc_id: r.component_id for r in found}
+    assert all(component[2 * i + 1] == component[2 * i] == 2 * i for i in range(24))
