@@ -3,14 +3,15 @@
 import pytest
 
 import __spark_entry__ as entry
+from gatelake.plans import catalog, oracles
 from tests.compare import differences, duck
 
-SQL = entry.oracle_sql()
+SQL = oracles.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.REGISTRY))
 def test_query_equals_sql(spark, sf_dir, name):
-    result = entry.queries()[name](spark, sf_dir)
+    result = catalog.REGISTRY[name](spark, sf_dir)
     assert name in SQL
     plan = result._jdf.queryExecution().executedPlan().toString()
     for unwanted in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
