@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelake.llm import (decontaminate, embedding_dedup, html_text, licenses, line_dedup, ngram_join, quality,
+from gatelake.llm import (decontaminate, embedding_dedup, html_text, licenses, line_dedup, merkle, ngram_join, quality,
                           secrets, sentence_pieces, warc)
 from gatelake.llm.common import read_table
 
@@ -80,3 +80,11 @@ SELECT page_id, CAST(octet_length(encode(p.html)) AS BIGINT) AS payload_bytes, s
   CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN keeper <> page_id THEN keeper END AS refers_to
 FROM p LEFT JOIN f ON p.html = f.html"""
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op13_merkle_manifest"] = merkle.oracle_sql()
