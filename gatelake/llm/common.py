@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelake.session import materialize, work_dir
 
-__all__ = ["bounded_broadcast", "drop_table", "keep", "materialize", "read_table", "small_batches", "work_dir"]
+__all__ = ["bounded_broadcast", "crc32_sql", "drop_table", "keep", "materialize", "read_table", "small_batches", "work_dir"]
 
 #: Rows up to which a table is sent to every executor instead of shuffled: of a few numbers each, and of short texts or lists.
 BROADCAST_ROWS, BROADCAST_WIDE_ROWS = 2_000_000, 200_000
@@ -42,3 +42,11 @@ def drop_table(spark: SparkSession, path: str) -> None:
     """Remove a stored table that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def crc32_sql(digits: str) -> str:
+    """CRC-32 of the decimal digits of a number, bit by bit, for engines without the function."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    codes = f"list_transform(range(1, len({digits}) + 1), lambda i: CAST(ascii(substr({digits}, i, 1)) AS BIGINT))"
+    bits = f"list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: {step})"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda crc, b: {bits}), 4294967295)"

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelake.llm import ranked
-from gatelake.llm.common import keep
+from gatelake.llm.common import crc32_sql, keep
 from gatelake.operators.ordered import join_null_safe
 
 _PATH = "array<struct<left string, right string>>"
@@ -156,14 +156,6 @@ def document_manifest(docs: DataFrame, columns: Sequence[str] = ("doc_id", "sour
     return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-#: CRC-32 of the decimal digits of a number, bit by bit, for engines without the function.
-def crc32_sql(digits: str) -> str:
-    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
-    codes = f"list_transform(range(1, len({digits}) + 1), lambda i: CAST(ascii(substr({digits}, i, 1)) AS BIGINT))"
-    bits = f"list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: {step})"
-    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda crc, b: {bits}), 4294967295)"
-
-
 def _field_sql(value: str) -> str:
     return f"CASE WHEN {value} IS NULL THEN '-' ELSE octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value} END"
 

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelake.llm import (decontaminate, embedding_dedup, html_text, licenses, line_dedup, merkle, ngram_join, quality,
-                          secrets, sentence_pieces, warc)
+from gatelake.llm import (decontaminate, embedding_dedup, html_text, licenses, line_dedup, merkle, ngram_join, prefix_trie,
+                          quality, secrets, sentence_pieces, warc)
 from gatelake.llm.common import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,11 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op13_merkle_manifest"] = merkle.oracle_sql()
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+SQL["op12_prefix_trie"] = prefix_trie.oracle_sql()
