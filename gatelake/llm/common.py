@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from gatelake.session import materialize, work_dir
 
-__all__ = ["bounded_broadcast", "crc32_sql", "drop_table", "keep", "materialize", "read_table", "small_batches", "work_dir"]
+__all__ = ["bounded_broadcast", "crc32_sql", "drop_table", "keep", "materialize", "read_table", "small_batches", "small_table",
+           "work_dir"]
 
 #: Rows up to which a table is sent to every executor instead of shuffled: of a few numbers each, and of short texts or lists.
 BROADCAST_ROWS, BROADCAST_WIDE_ROWS = 2_000_000, 200_000
+#: Bytes on disk up to which a table is sent to every executor.
+BROADCAST_BYTES = 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,12 @@ def bounded_broadcast(stored: DataFrame, wide: bool = False) -> DataFrame:
     return F.broadcast(stored) if stored.count() <= (BROADCAST_WIDE_ROWS if wide else BROADCAST_ROWS) else stored
 
 
+def small_table(stored: DataFrame) -> DataFrame:
+    """Mark a stored table for broadcast if its files have at most BROADCAST_BYTES; else leave it to a shuffle."""
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(stored) if size <= BROADCAST_BYTES else stored
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Let Spark hand whole texts to Python a thousand at a time, if the session has no setting of its own."""
     name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gatelake.llm import (decontaminate, embedding_dedup, html_text, licenses, line_dedup, merkle, ngram_join, prefix_trie,
-                          quality, secrets, sentence_pieces, warc)
+                          quality, secrets, sentence_pieces, substring_dedup, warc)
 from gatelake.llm.common import read_table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_prefix_trie"] = prefix_trie.oracle_sql()
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op11_substring_dedup"] = substring_dedup.oracle_sql()
