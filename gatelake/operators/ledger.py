@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,8 +78,8 @@ def spool_status(jobs: DataFrame, max_bytes: int = SPOOL_MAX_BYTES, width: int =
     return totals.join(first, "site_id", "left")
 
 
-def outbox_payloads(assignments: DataFrame, device_id: str = "device-0") -> DataFrame:
-    """Delivery document of every confirmed observation. An unknown direction is delivered as ENTRY."""
+def outbox_payloads(assignments: DataFrame, device_id: str = "device-0", kept: Sequence[str] = ()) -> DataFrame:
+    """Delivery document of every confirmed observation, and its ``kept`` columns. An unknown direction is delivered as ENTRY."""
     number = F.nullif(F.col("normalized_text"), F.lit(""))
     event_type = F.when(F.col("direction").isin("ENTRY", "EXIT"), F.col("direction")).otherwise("ENTRY")
     owner = F.upper(F.substring("normalized_text", 1, 4))
@@ -89,7 +91,7 @@ def outbox_payloads(assignments: DataFrame, device_id: str = "device-0") -> Data
             number.alias("trailerNumber"), event_type.alias("eventType"), F.lit(device_id).alias("deviceId"),
             F.col("detection_confidence").alias("confidence")), {"ignoreNullFields": "false"}).alias("payload"),
         F.when(owner.rlike(r"^[A-Z]{4}\z"), owner).otherwise("UNKN").alias("scac"),
-        F.col("direction").alias("direction_raw"))
+        F.col("direction").alias("direction_raw"), *kept)
 
 
 def outbox_schedule(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:

@@ -470,39 +470,63 @@ def event_latency(s, sf):
 
 @query
 def stream_tracks(s, sf):
-    return streams.replay(_clean(s, sf), "frame_timestamp", "stream-tracks",
-                          lambda arriving, path: streams.run_available(streams.stream_tracks(arriving), path))
+    tracked, _ = streams.replay(_clean(s, sf), "frame_timestamp", "stream-tracks",
+                                lambda rows, path: streams.run_available(streams.stream_tracks(rows), path))
+    return tracked
 
 
 @query
 def stream_confirm(s, sf):
-    emitted = streams.replay(
+    emitted, _ = streams.replay(
         d.reads(s, sf), "frame_timestamp", "stream-confirm",
-        lambda arriving, path: streams.run_available(streams.stream_confirm(text.validate_reads(arriving)), path))
+        lambda rows, path: streams.run_available(streams.stream_confirm(text.validate_reads(rows)), path))
     return emitted.select("site_id", "origin_key", "sequence", "frame_timestamp", "normalized_text", "confidence",
                           "confirmed", "container_number", "attempts")
 
 
+def _streamed_events(s, sf, table):
+    rows = pipeline.observations(d.reads(s, sf)).select("site_id", "gate_id", "direction", "origin_key", "frame_timestamp",
+                                                        "confirmed", "container_number")
+    found, _ = streams.replay(rows, "frame_timestamp", "stream-events",
+                              lambda rows, path: streams.run_events(streams.stream_events(rows), path)[table])
+    return found.drop("version")
+
+
 @query
 def stream_events(s, sf):
-    return streams.replay(pipeline.observations(d.reads(s, sf)), "frame_timestamp", "stream-events",
-                          lambda arriving, path: streams.run_available(streams.stream_events(arriving), path))
+    return _streamed_events(s, sf, 0)
+
+
+@query
+def stream_gate_events(s, sf):
+    return _streamed_events(s, sf, 1)
 
 
 @query
 def stream_dedup(s, sf):
-    return streams.replay(d.reads(s, sf), "frame_timestamp", "stream-dedup",
-                          lambda arriving, path: streams.run_available(streams.stream_dedup(arriving), path))
+    once, _ = streams.replay(d.reads(s, sf), "frame_timestamp", "stream-dedup", delay="10 minutes",
+                             drive=lambda rows, path: streams.run_available(streams.stream_dedup(rows), path))
+    return once
 
 
 @query
 def stream_fps(s, sf):
     keys = ["site_id", "camera_id", "window_start"]
-    return streams.replay(detect.frames_of(d.raw_detections(s, sf)), "frame_timestamp", "stream-fps",
-                          lambda arriving, path: streams.run_updates(streams.stream_fps(arriving), path, keys))
+    rates, _ = streams.replay(detect.frames_of(d.raw_detections(s, sf)), "frame_timestamp", "stream-fps", delay=None,
+                              drive=lambda rows, path: streams.run_updates(streams.stream_fps(rows, delay="1 day"), path, keys))
+    return rates
+
+
+@query
+def stream_late_rows(s, sf):
+    """Reads of which some arrive three slices late: what the stream takes, and what it sets apart."""
+    columns = ["site_id", "origin_key", "sequence", "arrival"]
+    taken, late = streams.replay(
+        d.reads(s, sf), "frame_timestamp", "stream-late", late=F.expr("(track_id * 7 + sequence) % 10 = 0"),
+        drive=lambda rows, path: streams.run_available(rows.select(*columns), path))
+    return taken.withColumn("late", F.lit(False)).unionByName(late.select(*columns).withColumn("late", F.lit(True)))
 
 
 @query
 def stream_outbox(s, sf):
-    assigned = _assigned(s, sf)
-    return streams.replay(assigned, "frame_timestamp", "stream-outbox", streams.run_outbox, tail=assigned)
+    return streams.replay_outbox(_assigned(s, sf), "stream-outbox")

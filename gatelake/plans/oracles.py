@@ -792,6 +792,17 @@ Q["stream_confirm"] = """
   SELECT site_id, origin_key, sequence, frame_timestamp, normalized_text, confidence, confirmed, container_number, attempts
   FROM w_obs"""
 Q["stream_events"] = Q["associate_events"]
+Q["stream_gate_events"] = Q["gate_events"]
+# A row that comes three slices late is late unless the newest row before its slice is less than a slice ahead of it.
+Q["stream_late_rows"] = """
+  WITH timed AS (SELECT *, epoch_us(frame_timestamp) AS us, (track_id * 7 + sequence) % 10 = 0 AS held FROM w_reads),
+  cut AS (SELECT *, (us - min(us) OVER ()) // width AS own FROM timed,
+    (SELECT (max(us) - min(us)) // 3 + 1 AS width FROM timed)),
+  arrived AS (SELECT *, own + CASE WHEN held THEN 3 ELSE 0 END AS slice FROM cut),
+  newest AS (SELECT slice, max(us) AS us FROM arrived GROUP BY slice),
+  edges AS (SELECT a.slice, max(b.us) AS before FROM newest a JOIN newest b ON b.slice < a.slice GROUP BY 1)
+  SELECT site_id, origin_key, sequence, arrival, coalesce(us < before - width, false) AS late
+  FROM arrived LEFT JOIN edges USING (slice)"""
 Q["stream_dedup"] = "SELECT DISTINCT site_id, origin_key, sequence FROM w_reads"
 Q["stream_fps"] = """
   SELECT site_id, camera_id, make_timestamp(((us // 1000000) - back) * 1000000) AS window_start, count(*) AS frames

@@ -8,117 +8,69 @@ import sys
 import pandas as pd
 from pyspark import cloudpickle
 
-from gatelake.operators.kernels import OpenEvents, OpenTracks
-
-
-def _ordered(pdfs, by):
-    """Rows of one key in this micro-batch, in order; a micro-batch bounds how many there are."""
-    parts = list(pdfs)
-    rows = parts[0] if len(parts) == 1 else pd.concat(parts)
-    return rows if len(rows) == 1 else rows.sort_values(by, kind="stable")
-
-
-def _loaded(state, empty):
-    return json.loads(state.get[0]) if state.exists else empty
-
-
-def track_stream(ttl_us, match_iou):
-    """Continue the open tracks of a source frame by frame; ids count on across micro-batches."""
-
-    def fold(key, pdfs, state):
-        saved = _loaded(state, {"next": 1, "open": {}})
-        classes, ids = {}, {}
-        for name, tracks in saved["open"].items():
-            classes[name] = OpenTracks(ttl_us, match_iou)
-            for track_id, start, box, seen, hits in tracks:
-                classes[name].tracks.append([tuple(start), tuple(box), seen, hits])
-                ids[name, tuple(start)] = track_id
-        rows = []
-        for (us, sequence), frame in _ordered(pdfs, ["us", "sequence", "det_index"]).groupby(["us", "sequence"], sort=True):
-            us, sequence = int(us), int(sequence)
-            found = {}
-            for name, part in frame.groupby("class_name", sort=True):
-                tracks = classes.setdefault(name, OpenTracks(ttl_us, match_iou))
-                indexes = [int(i) for i in part["det_index"]]
-                boxes = [tuple(map(float, b)) for b in zip(part["x1"], part["y1"], part["x2"], part["y2"])]
-                for index, result in zip(indexes, tracks.frame(us, sequence, indexes, boxes)):
-                    found[index] = (name, *result)
-            for index in sorted(found):
-                name, start, hits = found[index]
-                if (name, start) not in ids:
-                    ids[name, start] = saved["next"]
-                    saved["next"] += 1
-                rows.append((*key, sequence, index, name, ids[name, start], hits, start[0]))
-        saved["open"] = {name: [[ids[name, t[0]], t[0], t[1], t[2], t[3]] for t in tracks.tracks]
-                         for name, tracks in classes.items()}
-        state.update((json.dumps(saved),))
-        yield pd.DataFrame(rows, columns=["site_id", "camera_id", "source_id", "sequence", "det_index", "class_name",
-                                          "track_id", "hits", "first_us"])
-
-    return fold
+from gatelake.streaming.inorder import bare
 
 
 def confirm_stream(confirmations, max_attempts, keep_ms):
-    """Collect the reads of an origin until one number leads or the attempts are used up."""
+    """Collect the reads of an origin until one number leads or the attempts are used up.
+
+    Reads wait until the watermark has passed them and are then taken by sequence, so the order of arrival does not
+    matter. An origin is forgotten ``keep_ms`` after its last read.
+    """
     columns = ["site_id", "origin_key", "camera_id", "gate_id", "direction", "track_id", "sequence", "us", "started_us",
                "raw_text", "corrected_text", "normalized_text", "confidence", "valid_format", "valid_check_digit",
                "validation_status", "check_digit_derived", "confirmed", "container_number", "attempts"]
     read_columns = columns[9:17]
     place_columns = columns[2:9]
+    used = ["us", "sequence", "arrival", "good", *place_columns, *read_columns]
+
+    def taken(key, saved, row, out):
+        """State after a read in order."""
+        if saved["closed"] or row["sequence"] in saved["sequences"]:
+            return saved
+        saved["sequences"].append(row["sequence"])
+        saved["reads"].append([row["good"], *[row[c] for c in read_columns]])
+        votes = {}
+        for good, *read in saved["reads"]:
+            if good:
+                votes.setdefault(read[2], []).append(read)
+        sizes = sorted((len(v) for v in votes.values()), reverse=True)
+        leads = sizes and sizes[0] >= confirmations and (len(sizes) == 1 or sizes[0] > sizes[1])
+        if not leads and len(saved["reads"]) < max_attempts:
+            return saved
+        number = next((n for n, v in votes.items() if len(v) == sizes[0]), None) if leads else None
+        chosen = max(votes[number], key=lambda r: r[3]) if leads else saved["reads"][-1][1:]
+        out.append((*key, *[row[c] for c in place_columns], *chosen, bool(leads), number or "", len(saved["reads"])))
+        return {**saved, "closed": True, "reads": [], "sequences": []}
 
     def fold(key, pdfs, state):
-        if state.hasTimedOut:
+        saved = json.loads(state.get[0]) if state.exists else {
+            "closed": False, "reads": [], "sequences": [], "waiting": [], "last_ms": 0}
+        complete_us = (state.getCurrentWatermarkMs() + 1) * 1000
+        for pdf in pdfs:
+            rows = zip(*(pdf[c] for c in used))
+            if saved["closed"]:
+                continue  # whatever comes changes nothing
+            saved["waiting"] += [[bare(v) for v in row] for row in rows]
+        ready = sorted((r for r in saved["waiting"] if r[0] < complete_us), key=lambda r: (r[1], r[2]))
+        saved["waiting"] = [r for r in saved["waiting"] if r[0] >= complete_us]
+        out = []
+        for row in ready:
+            saved["last_ms"] = max(saved["last_ms"], row[0] // 1000)
+            saved = taken(key, saved, dict(zip(used, row)), out)
+        if saved["closed"]:
+            saved["waiting"] = []
+        forget_ms = saved["last_ms"] + keep_ms
+        if not saved["waiting"] and forget_ms < complete_us // 1000:
             state.remove()
-            return
-        saved = _loaded(state, {"closed": False, "reads": [], "sequences": []})
-        out, last_ms = [], state.getCurrentWatermarkMs()
-        for row in _ordered(pdfs, ["sequence", "arrival"]).to_dict("records"):
-            last_ms = max(last_ms, int(row["us"]) // 1000)
-            if saved["closed"] or row["sequence"] in saved["sequences"]:
-                continue
-            saved["sequences"].append(int(row["sequence"]))
-            saved["reads"].append([bool(row["good"]), *[_bare(row[c]) for c in read_columns]])
-            votes = {}
-            for good, *read in saved["reads"]:
-                if good:
-                    votes.setdefault(read[2], []).append(read)
-            sizes = sorted((len(v) for v in votes.values()), reverse=True)
-            leads = sizes and sizes[0] >= confirmations and (len(sizes) == 1 or sizes[0] > sizes[1])
-            if not leads and len(saved["reads"]) < max_attempts:
-                continue
-            number = next((n for n, v in votes.items() if len(v) == sizes[0]), None) if leads else None
-            chosen = max(votes[number], key=lambda r: r[3]) if leads else saved["reads"][-1][1:]
-            out.append((*key, *[_bare(row[c]) for c in place_columns], *chosen, bool(leads), number or "", len(saved["reads"])))
-            saved = {"closed": True, "reads": [], "sequences": []}
-        state.update((json.dumps(saved),))
-        state.setTimeoutTimestamp(last_ms + keep_ms)
+        else:
+            state.update((json.dumps(saved),))
+            state.setTimeoutTimestamp(min(r[0] for r in saved["waiting"]) // 1000 + 1 if saved["waiting"] else
+                                      max(forget_ms, complete_us // 1000))
         if out:
             yield pd.DataFrame(out, columns=columns)
 
     return fold
 
 
-def event_stream(window_us):
-    """Assign observations to the events still open in their lane."""
-
-    def fold(key, pdfs, state):
-        events = OpenEvents(window_us)
-        events.events = _loaded(state, [])
-        rows = _ordered(pdfs, ["us", "origin_key"])
-        results = [events.assign(int(us), number if isinstance(number, str) else None, new_id)
-                   for us, number, new_id in zip(rows["us"], rows["container_number"], rows["observation_id"])]
-        state.update((json.dumps(events.events),))
-        ids, created, promoted, event_us = zip(*results)
-        yield rows.assign(event_id=ids, created=created, promoted=promoted, event_us=event_us)
-
-    return fold
-
-
-def _bare(value):
-    """Plain Python value of a cell, so that it can be stored as JSON."""
-    if value is None or value != value:
-        return None
-    return value.item() if hasattr(value, "item") else value
-
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,46 +1,58 @@
 """Structured Streaming forms of the stateful operators.
 
-Each ``stream_`` function takes a streaming DataFrame and returns one; each ``run_`` function drives a query
-over everything that has arrived and returns the written table. On the same input, in time order across
-micro-batches, the result equals that of the batch operator.
+Each ``stream_`` function takes rows on time (``arrivals.on_time``) and returns a streaming DataFrame; each ``run_`` function
+drives a query over everything that has arrived. Rows may arrive in any order within the delay: they wait until the
+watermark has passed them, so the result equals that of the batch operator. Rows that come later than that are set apart
+before (``arrivals.late_rows``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gatelake.functions.clock import from_us, to_us
 from gatelake.operators import ledger
 from gatelake.operators.associate import LANE, stable_id
 from gatelake.operators.confirm import ORIGIN
 from gatelake.operators.detect import SOURCE
-from gatelake.params import DEFAULTS, GateParams
+from gatelake.params import DEFAULTS, GateParams, micros
 from gatelake.session import work_dir
-from gatelake.streaming import folds
+from gatelake.streaming import arrivals, folds, inorder, versions
 
-STATE = "state string"
+#: Time slot in which rows of a key wait.
+SLOT_SECONDS = 10
+EVENT_KEY = ["site_id", "id"]
+
+
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for streams, with the state store that timers need; the caller's settings stay as they are."""
+    own = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
+        if (value := spark.conf.get(name, None)) is not None and value != own.conf.get(name, None):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.session.timeZone", "UTC")
+    own.conf.set("spark.sql.streaming.stateStore.providerClass",
+                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return own
 
 
 def stream_tracks(detections: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
-    """Track id, hits and first sight of cleaned detections; open tracks per source are the state."""
+    """Track id, hits and first sight of cleaned detections; open tracks and waiting rows per source are the state."""
     slim = detections.select(*SOURCE, "sequence", to_us(F.col("frame_timestamp")).alias("us"), "det_index", "class_name",
-                             "x1", "y1", "x2", "y2")
+                             "x1", "y1", "x2", "y2", "arrival_watermark")
     schema = ("site_id string, camera_id string, source_id string, sequence bigint, det_index int, class_name string, "
               "track_id bigint, hits bigint, first_us bigint")
-    tracked = slim.groupBy(*SOURCE).applyInPandasWithState(
-        folds.track_stream(p.track_ttl_us, p.match_iou), schema, STATE, "append", "NoTimeout")
+    tracked = slim.groupBy(*SOURCE).transformWithStateInPandas(
+        inorder.Tracks(micros(SLOT_SECONDS), p.track_ttl_us, p.match_iou), schema, "append", "eventTime")
     return tracked.withColumn("first_seen", from_us(F.col("first_us"))).drop("first_us")
 
 
-def stream_confirm(validated: DataFrame, p: GateParams = DEFAULTS, delay: str = "30 seconds") -> DataFrame:
-    """Observations from validated reads; an origin's state is kept four track expiries past the watermark."""
-    timed = validated.withColumn("event_time", F.col("frame_timestamp").cast("timestamp")).withWatermark(
-        "event_time", delay)
-    slim = timed.withColumns({
+def stream_confirm(validated: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
+    """Observations from validated reads; an origin's state is kept four track expiries past its last read."""
+    slim = validated.withColumns({
         "us": to_us(F.col("frame_timestamp")), "started_us": to_us(F.col("started_at")),
         "good": F.col("valid_check_digit") & (F.col("confidence") >= p.ocr_min_confidence),
     }).drop("frame_timestamp", "started_at")
@@ -51,7 +63,7 @@ def stream_confirm(validated: DataFrame, p: GateParams = DEFAULTS, delay: str =
               "attempts int")
     emitted = slim.groupBy(*ORIGIN).applyInPandasWithState(
         folds.confirm_stream(p.ocr_confirmations, p.ocr_max_attempts, 4 * p.track_ttl_us // 1000),
-        schema, STATE, "append", "EventTimeTimeout")
+        schema, "state string", "append", "EventTimeTimeout")
     return emitted.withColumns({
         "container_number": F.nullif(F.col("container_number"), F.lit("")),  # blank while in pandas
         "frame_timestamp": from_us(F.col("us")), "started_at": from_us(F.col("started_us")),
@@ -59,24 +71,33 @@ def stream_confirm(validated: DataFrame, p: GateParams = DEFAULTS, delay: str =
 
 
 def stream_events(observations: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
-    """Event of each observation; promotions show as flagged rows, which ``gate_events`` folds into events."""
+    """Event of each observation, and the version of the event if the observation starts it or gives it its number."""
     slim = observations.select(
         *LANE, "origin_key", to_us(F.col("frame_timestamp")).alias("us"), "confirmed", "container_number",
-        stable_id("event", F.col("origin_key")).alias("observation_id"))
-    schema = T.StructType(slim.schema.fields + T.StructType.fromDDL(
-        "event_id string, created boolean, promoted boolean, event_us bigint").fields)
-    assigned = slim.groupBy(*LANE).applyInPandasWithState(
-        folds.event_stream(p.dedup_us), schema, STATE, "append", "NoTimeout")
+        stable_id("event", F.col("origin_key")).alias("observation_id"), "arrival_watermark")
+    schema = ("site_id string, gate_id string, direction string, origin_key string, us bigint, confirmed boolean, "
+              "container_number string, event_id string, created boolean, promoted boolean, event_us bigint, version int")
+    assigned = slim.groupBy(*LANE).transformWithStateInPandas(
+        inorder.Events(micros(SLOT_SECONDS), p.dedup_us), schema, "append", "eventTime")
     return assigned.select(*LANE, "origin_key", from_us(F.col("us")).alias("frame_timestamp"), "confirmed",
-                           "container_number", "event_id", "created", "promoted",
-                           from_us(F.col("event_us")).alias("event_timestamp"))
+                           F.nullif("container_number", F.lit("")).alias("container_number"), "event_id", "created",
+                           "promoted", from_us(F.col("event_us")).alias("event_timestamp"),
+                           F.nullif("version", F.lit(0)).alias("version"))
+
+
+def event_versions(assigned: DataFrame) -> DataFrame:
+    """The event rows that a batch of assignments starts or changes, with their version."""
+    number = F.col("container_number")
+    return assigned.where("version is not null").select(
+        "site_id", F.col("event_id").alias("id"), "gate_id", F.col("event_timestamp").alias("timestamp"),
+        "container_number", F.col("direction").alias("event_type"),
+        F.when(number.isNotNull(), "CONFIRMED").otherwise("NEEDS_REVIEW").alias("status"), "version")
 
 
-def stream_dedup(reads: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Reads without the retries of the same origin and sequence inside the watermark."""
-    timed = reads.withColumn("event_time", F.col("frame_timestamp").cast("timestamp"))
-    return timed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(
-        ["site_id", "origin_key", "sequence"]).select("site_id", "origin_key", "sequence")
+def stream_dedup(reads: DataFrame) -> DataFrame:
+    """Reads without the retries of the same origin and sequence; the delay of the rows is how long one is remembered."""
+    return reads.dropDuplicatesWithinWatermark(["site_id", "origin_key", "sequence"]).select(
+        "site_id", "origin_key", "sequence")
 
 
 def stream_fps(frames: DataFrame, window: str = "5 seconds", slide: str = "1 second", delay: str = "10 seconds") -> DataFrame:
@@ -96,57 +117,91 @@ def run_available(stream: DataFrame, path: str) -> DataFrame:
 
 
 def run_updates(stream: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Like ``run_available`` for updating results: every version is kept with its batch, the last one wins.
+    """Like ``run_available`` for updating results: versions by batch, of which the last one of a key counts.
 
-    A batch that is repeated after a failure overwrites its own folder, so it counts once.
+    After each run the batches are folded into one base, so a reader goes through one row a key and what came since.
     """
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    stream.writeStream.outputMode("update").foreachBatch(keep).option(
+    spark = stream.sparkSession
+    stream.writeStream.outputMode("update").foreachBatch(
+        lambda batch, batch_id: versions.put(batch.withColumn("version", F.lit(batch_id).cast("long")), path, batch_id)).option(
         "checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    versions = stream.sparkSession.read.option("basePath", path).parquet(f"{path}/batch_id=*")
-    rest = [c for c in stream.columns if c not in keys]
-    latest = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_last"))
-    return latest.select(*keys, "_last.*")
+    schema = stream.withColumn("version", F.lit(0).cast("long")).schema
+    versions.compact(spark, path, schema, keys)
+    return versions.current(spark, path, schema, keys).drop("version")
 
 
-def run_outbox(assignments: DataFrame, path: str) -> DataFrame:
-    """Deliver confirmed observations to an outbox table once.
+def run_events(assigned: DataFrame, path: str, compact_after: int | None = 1) -> tuple[DataFrame, DataFrame]:
+    """Drive ``stream_events``: (assignments, current events). Each batch appends assignments and versions of events.
 
-    Each batch writes only deliveries not in the table yet, into a folder of its own that a repeated batch
-    overwrites, so a retry adds nothing.
+    A reader sees one row per event at any time: its last version. ``compact_after=None`` leaves the versions as they are.
     """
-    spark = assignments.sparkSession
-    stored = "site_id string, delivery_id string, batch_id bigint"
-
-    def deliver(batch: DataFrame, batch_id: int) -> None:
-        fresh = ledger.outbox_payloads(batch).dropDuplicates(["site_id", "delivery_id"])
-        if batch_id > 0:
-            done = spark.read.option("basePath", path).schema(stored).parquet(f"{path}/batch_id=*").where(
-                F.col("batch_id") < batch_id).select("site_id", "delivery_id")
-            fresh = fresh.join(done, ["site_id", "delivery_id"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    assignments.writeStream.foreachBatch(deliver).option("checkpointLocation", f"{path}-state").trigger(
+    spark = assigned.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/assignments/batch_id={batch_id}")
+        versions.put(event_versions(spark.read.schema(batch.schema).parquet(f"{path}/assignments/batch_id={batch_id}")),
+                     f"{path}/events", batch_id)
+
+    assigned.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(
         availableNow=True).start().awaitTermination()
-    return spark.read.option("basePath", path).parquet(f"{path}/batch_id=*").drop("batch_id")
+    schema = event_versions(spark.createDataFrame([], assigned.schema)).schema
+    if compact_after is not None:
+        versions.compact(spark, f"{path}/events", schema, EVENT_KEY)
+    all_rows = spark.read.schema(assigned.schema).option("basePath", f"{path}/assignments").parquet(f"{path}/assignments")
+    return all_rows.select(*assigned.columns), versions.current(spark, f"{path}/events", schema, EVENT_KEY)
 
 
-def replay(df: DataFrame, ts: str, name: str, drive: Callable[[DataFrame, str], DataFrame], slices: int = 3,
-           tail: DataFrame | None = None) -> DataFrame:
-    """Let a table arrive in time slices and drive a stream over each slice, resuming it from its checkpoint.
+def stream_outbox(assignments: DataFrame, memory: str = "7 days") -> DataFrame:
+    """Deliveries of confirmed observations, each once; what was delivered is forgotten ``memory`` behind the newest."""
+    timed = assignments.withColumn("event_time", F.col("frame_timestamp").cast("timestamp")).withWatermark("event_time", memory)
+    payloads = ledger.outbox_payloads(timed, kept=["event_time"])
+    return payloads.dropDuplicatesWithinWatermark(["site_id", "delivery_id"]).drop("event_time")
 
-    ``drive`` gets the arriving stream and the path of the result. ``tail`` is a table that arrives at the
-    end, such as rows a restarted producer sends again.
+
+def delayed(df: DataFrame, ts: str, slices: int, late: Column | None = None) -> tuple[DataFrame, int]:
+    """Rows with the ``_slice`` in which they arrive, and the width of a slice in microseconds.
+
+    Event time is cut into slices; every other row, by hash, arrives up to a whole slice late, so neighbouring slices are
+    thoroughly mixed and still no row is more than a width behind the newest one. Where ``late`` holds, a row comes three
+    slices late.
     """
-    spark: SparkSession = df.sparkSession
-    arrived, result = work_dir(spark, f"{name}-arrived"), work_dir(spark, name)
     us = to_us(F.col(ts))
     low, high = df.agg(F.min(us), F.max(us)).first()
-    width = (high - low) // slices + 1
-    parts = [df.where((us >= low + i * width) & (us < low + (i + 1) * width)) for i in range(slices)]
-    for part in parts + ([tail] if tail is not None else []):
-        part.write.mode("append").parquet(arrived)
-        table = drive(spark.readStream.schema(df.schema).parquet(arrived), result)
+    width = ((high or 0) - (low or 0)) // slices + 1
+    own = F.floor((us - F.lit(low or 0)) / width).cast("int")
+    swap = F.pmod(F.xxhash64(*df.columns), F.lit(2)).cast("int")
+    return df.withColumn("_slice", own + (swap if late is None else F.when(late, F.lit(3)).otherwise(F.lit(0)))), width
+
+
+def replay(df: DataFrame, ts: str, name: str, drive: Callable[[DataFrame, str], DataFrame], slices: int = 3,
+           delay: str | None = "1 millisecond", late: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Let a table arrive in slices out of order, drive a stream over each and then to the end: (result, late rows).
+
+    Every slice resumes both queries, the door and ``drive``, from their checkpoints. ``drive`` gets the rows on time and
+    the path of the result.
+    """
+    spark = stream_session(df.sparkSession)
+    arrived, door, result = (work_dir(spark, f"{name}-{part}") for part in ("arrived", "door", "result"))
+    slim, width = delayed(df, ts, slices, late)
+    slim.write.partitionBy("_slice").parquet(f"{arrived}-all")
+    came = spark.read.schema(slim.schema).parquet(f"{arrived}-all")
+    table = None
+    for i in range(slices + (1 if late is None else 4)):
+        came.where(F.col("_slice") == i).select(*df.columns).write.mode("append").parquet(arrived)
+        arrivals.split_late(spark.readStream.schema(df.schema).parquet(arrived), ts, width, door)
+        table = drive(arrivals.on_time(spark, door, df.schema, delay), result)
+    arrivals.end(spark, door, df.schema)
+    table = drive(arrivals.on_time(spark, door, df.schema, delay), result)
+    return table, arrivals.late_rows(spark, door, df.schema)
+
+
+def replay_outbox(assigned: DataFrame, name: str, slices: int = 3) -> DataFrame:
+    """Let assignments arrive in slices and then all once more, as after a restart of the producer."""
+    spark = stream_session(assigned.sparkSession)
+    arrived, result = (work_dir(spark, f"{name}-{part}") for part in ("arrived", "result"))
+    rows, _ = delayed(assigned, "frame_timestamp", slices)
+    table = None
+    for part in [rows.where(F.col("_slice") == i) for i in range(slices + 1)] + [rows]:
+        part.select(*assigned.columns).write.mode("append").parquet(arrived)
+        table = run_available(stream_outbox(spark.readStream.schema(assigned.schema).parquet(arrived)), result)
     return table
