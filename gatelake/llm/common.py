@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelake.session import materialize, work_dir
 
-__all__ = ["bounded_broadcast", "crc32_sql", "drop_table", "keep", "materialize", "read_table", "small_batches", "small_table",
+__all__ = ["bounded_broadcast", "crc32_sql", "drop_table", "keep", "keep_bucketed", "materialize", "read_table", "small_batches", "small_table",
            "work_dir"]
 
 #: Rows up to which a table is sent to every executor instead of shuffled: of a few numbers each, and of short texts or lists.
@@ -47,6 +47,16 @@ def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def keep_bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Like ``keep``, dealt out by the keys: joins on them shuffle the other side only."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Remove a stored table that nothing reads any more."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatelake.llm import words
-from gatelake.llm.common import keep, small_batches, small_table
+from gatelake.llm.common import keep, keep_bucketed, small_batches, small_table
 
 #: Windows of a document in one piece of a shard, words of a shard, and texts streamed through one copy of its automaton.
 PIECE, SHARD_WORDS, TURN = 2048, 1 << 16, 2048
@@ -84,7 +84,7 @@ def _asked(docs: DataFrame, asked: DataFrame, name: str) -> DataFrame:
     """(doc, td, text, asked): the rows of ``docs`` that something is asked of, with all that is asked."""
     rest = [c for c in asked.columns if c not in _ROW]
     lists, _ = keep(asked.groupBy(*_ROW).agg(F.collect_set(F.struct(*rest)).alias("asked")), name)
-    return docs.join(small_table(lists), _ROW).select(*_ROW, "text", "asked")
+    return docs.join(lists, _ROW).select(*_ROW, "text", "asked")
 
 
 def _opened(docs: DataFrame, regions: DataFrame, window: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _streamed(seats: DataFrame, window: int) -> DataFrame:
     return seats.mapInArrow(run, "doc long, td long, first int, end int")
 
 
-def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 12) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 8) -> DataFrame:
     """(doc, td, first, end): spans of words of ``docs`` (doc, td, text) that are covered by repeated windows."""
     regions, _ = keep(_regions(docs, window, gram), "regions")
     grams = regions.groupBy("a").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("g").alias("g0"),
@@ -284,7 +284,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = 12) -> DataFra
     return _streamed(seats.repartition(n, "shard", "turn").sortWithinPartitions("shard", "turn", "guest", "doc", "td", "at"), window)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 12) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 8) -> DataFrame:
     """``docs`` with the words of repeated windows taken out, and n_words, n_removed and ``removed``, the spans of words.
 
     Words are runs without ASCII white space; the kept ones are joined by one space. A null text stays null and has no
@@ -292,17 +292,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with a null id stays whole and nothing repeats it. Windows are judged on the texts as given, so a passage stays in its
     first document and goes in all others. Other columns pass through; columns with the names of the new ones are replaced.
     """
-    id_of = F.col(f"`{id_col}`").cast("long").alias("doc")
-    text_of = F.col(f"`{text_col}`").cast("string").alias("text")
-    slim = docs.select(id_of, F.xxhash64(text_of).alias("td"), text_of).where("doc is not null and text is not null")
-    spans = repeated_spans(slim, window, gram)
-    lists, _ = keep(spans.groupBy(*_ROW).agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("spans")), "removed-spans")
     added = ["n_words", "n_removed", "removed"]
-    rest = [c for c in docs.columns if c not in added]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_row"))
-    text = F.col("_row")[text_col].cast("string")
-    lists = small_table(lists.select(F.col("doc").alias("_doc"), F.col("td").alias("_td"), "spans"))
-    joined = rows.join(lists, (F.col("_row")[id_col].cast("long") == F.col("_doc")) & (F.xxhash64(text) == F.col("_td")), "left")
+    columns = [c for c in docs.columns if c not in added]
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in columns if c != text_col)).alias("rest")
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(text).alias("td"), text, rest)
+    judged = F.col("doc").isNotNull() & F.col("text").isNotNull()
+    # Texts are dealt out once; whatever is asked of them later comes to where they are.
+    held = keep_bucketed(rows.where(judged), _ROW, "texts")
+    spans = repeated_spans(held.select(*_ROW, "text"), window, gram)
+    lists, _ = keep(spans.groupBy(*_ROW).agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("spans")), "removed-spans")
+    none = F.lit(None).cast("array<struct<first:int,end:int>>").alias("spans")
+    joined = held.join(lists, _ROW, "left").select("rest", "text", "spans").union(rows.where(~judged).select("rest", "text", none))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,11 +331,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(kept, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()),
-                     pa.array(cut, kind)], names=["_row", "_kept", *added])
-    schema = joined.select("_row", text.alias("_kept"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
+                     pa.array(cut, kind)], names=["rest", "text", *added])
+    schema = joined.select("rest", "text", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"),
                            F.array().cast("array<struct<first:int,end:int>>").alias("removed")).schema
-    done = joined.select("_row", text.alias("_text"), "spans").mapInArrow(run, schema)
-    return done.select(*(F.col("_kept").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in rest), *added)
+    done = joined.mapInArrow(run, schema)
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in columns), *added)
 
 
 def oracle_sql(window: int = 50) -> str:
