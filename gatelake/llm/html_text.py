@@ -9,6 +9,7 @@ aligned in columns. Everything visible is emitted, once and in order; nesting of
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -52,14 +53,20 @@ IMPLIED = {
 _HEADINGS = _set("h1 h2 h3 h4 h5 h6")
 _IN_HEAD = _set("title script style meta link base template noscript head html")
 _TOKEN = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                    r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+                    r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _STYLE = re.compile(r"(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-#: Widest column that is padded; a longer cell stands as it is.
+_NUMBER = re.compile(r"-?[0-9]{1,9}")
+#: Columns are as wide as their longest cell up to here, or as their longest word; longer lines go on below.
 WIDEST = 60
 
 
+def number(text: str, missing: int) -> int:
+    """An attribute's value, if it is a plain number of at most nine digits."""
+    return int(text) if _NUMBER.fullmatch(text) else missing
+
+
 class Flow:
     """Lines of a block of text: collapsed white space, pending gaps, markers and indentation."""
 
@@ -125,28 +132,60 @@ class Flow:
 
 class _Table:
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
         self.captions: list[str] = []
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of cells (lines, columns covered) as aligned lines, two spaces between columns."""
-    widths: list[int] = []
+def wrapped(line: str, width: int) -> list[str]:
+    """The line cut at blanks into lines of at most ``width``."""
+    out, at = [], 0
+    while len(line) - at > width and (cut := line.rfind(" ", at + 1, at + width + 1)) > 0:
+        out.append(line[at:cut])
+        at = cut + 1
+    return [*out, line[at:]]
+
+
+def placed_cells(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """(column, columns covered, lines) of the cells of each row; cells of rows above keep their columns as far as they span."""
+    taken: dict[int, int] = {}  # column: rows it is still covered for
+    out = []
     for row in rows:
-        at = 0
-        for lines, span in row:
-            widths.extend([0] * (at + span - len(widths)))
-            if span == 1:
-                widths[at] = max(widths[at], min(WIDEST, max(map(len, lines), default=0)))
+        at, cells = 0, []
+        covered = {c for c, left in taken.items() if left > 0}
+        taken = {c: left - 1 for c, left in taken.items() if left > 1}
+        for lines, span, down in row:
+            while at in covered:
+                at += 1
+            cells.append((at, span, lines))
+            for column in range(at, at + span) if down > 1 else ():
+                taken[column] = max(taken.get(column, 0), down - 1)
             at += span
+        out.append(cells)
+    return out
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Rows of cells (lines, columns covered, rows covered) as aligned lines, two spaces between columns."""
+    widths: list[int] = []
+    placed = placed_cells(rows)
+
+    def needed(lines: list[str]) -> int:
+        longest = max(map(len, lines), default=0)
+        return longest if longest <= WIDEST else max(WIDEST, *(len(w) for line in lines for w in line.split(" ")))
+    cells = [cell for row in placed for cell in row]
+    widths.extend([0] * max((at + span for at, span, _ in cells), default=0))
+    for at, span, lines in sorted(cells, key=lambda c: c[1]):  # what a wide cell needs beyond its columns goes to the last one
+        room = sum(widths[at:at + span]) + 2 * (span - 1)
+        widths[at + span - 1] += max(0, needed(lines) - room)
+    edges = [0, *itertools.accumulate(w + 2 for w in widths)]
     out = []
-    for row in rows:
-        for n in range(max((len(lines) for lines, _ in row), default=0)):
-            at, line = 0, ""
-            for lines, span in row:
-                room = sum(widths[at:at + span]) + 2 * (span - 1)
-                line += (lines[n] if n < len(lines) else "").ljust(room) + "  "
-                at += span
+    for row in placed:
+        shown = [(at, [part for line in lines for part in wrapped(line, edges[at + span] - edges[at] - 2)])
+                 for at, span, lines in row]
+        for n in range(max((len(lines) for _, lines in shown), default=0)):
+            line = ""
+            for at, lines in shown:
+                line = line.ljust(edges[at]) + (lines[n] if n < len(lines) else "")
             out.append(line.rstrip())
     return out
 
@@ -210,7 +249,7 @@ class Page:
             keep_space = True
         state = None
         if tag in ("ul", "ol", "menu", "dir"):
-            state = [tag == "ol", int(attributes["start"]) if attributes.get("start", "").lstrip("-").isdigit() else 1]
+            state = [tag == "ol", number(attributes.get("start", ""), 1)]
         elif tag == "details":
             state = None if "open" in attributes else "closed"
         self.open.append([tag, hidden, visible, keep_space, state])
@@ -231,15 +270,15 @@ class Page:
             self.tables[-1].rows.append([])
         elif tag in ("td", "th", "caption") and self.tables:
             self.flows.append(Flow())
-            span = attributes.get("colspan", "1")
-            self.flow.span = min(int(span), 1000) if span.isdigit() and int(span) > 0 else 1
+            span, down = (number(attributes.get(name, ""), 1) for name in ("colspan", "rowspan"))
+            self.flow.span = min(span, 1000) if span > 0 else 1  # the largest values that HTML knows
+            self.flow.down = 65534 if down == 0 else min(max(down, 1), 65534)
         elif tag == "li":
             flow.block(0)
             parent = next((e[4] for e in reversed(self.open) if e[0] in ("ul", "ol", "menu", "dir")), None)
             marker = "- "
             if parent and parent[0]:
-                value = attributes.get("value", "")
-                parent[1] = int(value) if value.lstrip("-").isdigit() else parent[1]
+                parent[1] = number(attributes.get("value", ""), parent[1])
                 marker = f"{parent[1]}. "
                 parent[1] += 1
             flow.indents.append([marker if visible else None, len(marker)])
@@ -263,7 +302,7 @@ class Page:
             else:
                 if not table.rows:
                     table.rows.append([])
-                table.rows[-1].append((cell.whole(), cell.span))
+                table.rows[-1].append((cell.whole(), cell.span, cell.down))
         elif tag == "table" and self.tables:
             table = self.tables.pop()
             flow.block(1)

@@ -1,6 +1,7 @@
 """Layout by examples."""
 
 import re
+import time
 
 import pytest
 
@@ -52,3 +53,33 @@ def test_odd_rows(spark):
     found = sorted(((r.page_id or 0), len(r.text)) for r in extract_text(pages).collect())
     assert found == [(0, 0), (1, 1), (1, 1), (2, 0), (3, 499_999)]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_numbers_that_are_none_do_not_fail():
+    for value in ("--1", "²", "-", "", "9" * 5000, "1e3", "٣"):
+        assert render(f"<ol start='{value}'><li value='{value}'>a</ol><table><tr><td colspan='{value}' rowspan='{value}'>b</table>"
+                      ).split() == ["1.", "a", "b"]
+    assert render("<ol start=-3><li>a<li value=7>b</ol>").split() == ["-3.", "a", "7.", "b"]
+
+
+def test_open_quotes_take_linear_time():
+    started = time.perf_counter()
+    render("<a " * 350_000 + "'")
+    render("<a ' > x" * 100_000 + '"')
+    assert time.perf_counter() - started < 5
+    assert render("<p title=don't>seen</p>") == "seen"
+
+
+def test_cells_that_span_rows_and_columns_keep_the_others_in_place():
+    page = ("<table><tr><td rowspan=2>aa</td><td>b</td><td>c</td></tr><tr><td>dddd</td><td>e</td></tr>"
+            "<tr><td colspan=2>wider than both columns</td><td>f</td></tr></table>")
+    lines = [line for line in render(page).split("\n") if line]
+    assert lines[0].index("b") == lines[1].index("dddd") and lines[1].startswith("    ")
+    assert lines[0].index("c") == lines[1].index("e") == lines[2].index("f")
+
+
+def test_long_cells_go_on_below_and_words_keep_their_order():
+    words = [f"w{i}" for i in range(60)]
+    lines = render(f"<table><tr><td>{' '.join(words)}</td><td>end</td></tr></table>").split("\n")
+    assert max(map(len, lines)) <= 60 + 2 + 3 and [w for line in lines for w in line.split() if w != "end"] == words
+    assert lines[0].endswith("end")
