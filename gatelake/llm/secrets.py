@@ -7,6 +7,7 @@ a random key adds about as many bytes as it has.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -25,7 +26,9 @@ _ASSIGN = re.compile(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)
                      re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Shortest string that is weighed.
+MIN_LENGTH = 16
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 _SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|credential|private|bearer|authorization|signature|session|cookie|"
                         r"access.?key|api.?key|client.?key|account.?key", re.ASCII | re.IGNORECASE)
 #: Any text with a span has one of these; RE2 looks for them in whole columns at once.
@@ -70,18 +73,22 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, reach: int, least: float):
-    """Candidates with a letter and a digit near a sensitive word that compression can't explain and no base span meets."""
-    words = [m.end() for m in _SENSITIVE.finditer(text)]
-    at, found = 0, []
+    """Strings of MIN_LENGTH characters with a letter and a digit, at most ``reach`` before or behind a sensitive word, that
+    compression can't explain and no base span meets."""
+    words = [m.span() for m in _SENSITIVE.finditer(text)]
+    found = []
     if not words:
         return found
+    starts, ends = [w[0] for w in words], sorted(w[1] for w in words)
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
-        while at + 1 < len(words) and words[at + 1] <= start:
-            at += 1
-        own = m[0]
-        if not (words[at] <= start and start - words[at] <= reach) or own.isalpha() or own.isdigit() \
-                or not any(c.isdigit() for c in own) or not any(c.isalpha() for c in own):
+        # name=value: the name is not part of the string, but a word in it may make the value sensitive.
+        while (cut := text.find("=", start, end)) >= 0 and end - cut - 1 >= MIN_LENGTH:
+            start = cut + 1
+        own = text[start:end]
+        before, behind = bisect.bisect_right(ends, start) - 1, bisect.bisect_left(starts, end)
+        near = (before >= 0 and start - ends[before] <= reach) or (behind < len(starts) and starts[behind] - end <= reach)
+        if not near or not any(c.isdigit() for c in own) or not any(c.isalpha() for c in own):
             continue
         if any(s < end and start < e for s, _, e in base):
             continue

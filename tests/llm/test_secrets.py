@@ -102,3 +102,12 @@ def test_rows(spark, odd_docs):
     assert found[3].spans == "" and found[3].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert secrets.find_secrets(odd_docs).count() == odd_docs.count()
     assert secrets.find_secrets(odd_docs.limit(0)).count() == 0
+
+
+def test_names_and_words_on_both_sides():
+    value = "q9Zr7LmX2vTb4KsW8pYd"
+    for text in (f"private_key={value}", f"credential={value}", f"session_id={value}", f"access-key={value}", f"private_key: {value}",
+                 f"{value} is the session cookie"):
+        at = text.index(value)
+        assert secrets.novel_spans(text, [], secrets.Novelty(), 48, 0.7) == [(at, 3, at + len(value))], text
+    assert secrets.novel_spans(f"plain words and {value}", [], secrets.Novelty(), 48, 0.7) == []
