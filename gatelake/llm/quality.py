@@ -199,15 +199,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
           max_rows: int = 20_000) -> AdditiveModel:
     """Learn from at most ``max_rows`` labelled ids (the smallest hashes of those not held out).
 
-    Null labels and labels without a document are left out; an id with several labels or texts counts with its mean
-    label for each text. Only the bounded feature matrix reaches the driver.
+    Null labels and labels without a document are left out; an id with several labels counts with their mean, an id with
+    several texts with one of them, chosen by hash. Only the feature matrix of at most ``max_rows`` rows reaches the driver.
     """
     known = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
              .groupBy(F.col(id_col).cast("long").alias("doc")).agg(F.avg(label_col).alias("y")))
     chosen = known.orderBy(F.xxhash64("doc"), "doc").limit(max_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    rows = (_with_features(texts.join(F.broadcast(chosen.select("doc")), "doc", "left_semi"))
-            .join(F.broadcast(chosen), "doc").toPandas())
+    one_each = _with_features(texts.join(F.broadcast(chosen.select("doc")), "doc", "left_semi")).groupBy("doc").agg(
+        F.min_by("x", F.xxhash64("x")).alias("x"))
+    rows = one_each.join(F.broadcast(chosen), "doc").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     y = rows["y"].to_numpy(float)
     order = np.lexsort((*x.T, y, rows["doc"].to_numpy()))
