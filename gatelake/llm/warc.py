@@ -220,32 +220,34 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
     """(record_id, page_id, uri, content): every response with its whole payload.
 
     Segments meet under their origin's id, in order of their number; a record whose numbers have a gap or whose length
-    is not the declared total has a null payload, and so has broken chunk framing. Equal copies of a segment count once.
+    is not the declared total has a null payload, and so has broken chunk framing. Equal records, as repeated rows of a page
+    table give them, come out as often as their first segment stands in the archive.
     """
     single = records(spark, path, segmented=False).where("type = 'response'").select("record_id", "page_id", "uri", "content")
     parts = records(spark, path, segmented=True).groupBy("origin_id").agg(
         F.max("page_id").alias("page_id"), F.max("uri").alias("uri"), F.max("total").alias("total"),
-        F.array_sort(F.collect_set(F.struct("segment", "content"))).alias("parts"))
+        F.array_sort(F.collect_set(F.struct("segment", "content"))).alias("parts"), F.count_if(F.col("segment") == 1).alias("copies"))
     last = F.element_at("parts", -1)["segment"]
     # One joining pass over the parts, which are those of a single page.
     whole = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["content"])), ""))
     whole = F.when((last == F.size("parts")) & (F.octet_length(whole) == F.col("total")), whole)
-    joined = parts.select(F.col("origin_id").alias("record_id"), "page_id", "uri", whole.alias("content"))
+    joined = parts.select(F.col("origin_id").alias("record_id"), "page_id", "uri", whole.alias("content"),
+                          F.explode(F.array_repeat(F.lit(0), F.greatest("copies", F.lit(1)).cast("int"))).alias("_")).drop("_")
     return _payloads(single.unionByName(joined))
 
 
 def page_table(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every page in an archive.
 
-    A revisit has size and digest of the payload it refers to. Equal records of one page give one row.
+    A revisit has size and digest of the payload it refers to. Every record gives a row, equal ones too.
     """
     found = responses(spark, path).select("record_id", "page_id", F.octet_length("content").cast("long").alias("payload_bytes"),
                                           F.sha2("content", 256).alias("payload_digest"))
-    stored, _ = keep(found.distinct(), "responses")
+    stored, _ = keep(found, "responses")
     again, _ = keep(records(spark, path, segmented=False).where("type = 'revisit'")
-                    .select("record_id", "page_id", "refers_to").distinct(), "revisits")
+                    .select("record_id", "page_id", "refers_to"), "revisits")
     target = stored.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("kept"), "payload_bytes",
-                           "payload_digest")
+                           "payload_digest").distinct()
     revisits = again.join(target, "refers_to", "left").select(
         "page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("kept").alias("refers_to"))
     return stored.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"),
