@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelake.llm import words
@@ -131,15 +131,22 @@ def _sets_of(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, shingles array<long>")
 
 
+def _size(n: Column) -> Column:
+    """Size of the set that a posting's ``n`` names: the lower half; the upper half tells texts of one id apart."""
+    return n.bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def _may_link(met: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b, shared) of the pairs that meet in posted shingles and pass the length and the positional filter.
 
     In the common order, what both sets share beyond the last posted shingle they share stands behind it in either set.
     And beyond the shorter of the two posted parts nothing is left but the rest of that set.
     """
-    near = met.where(den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    size_a, size_b = (_size(F.col(n)) for n in ("n_a", "n_b"))
+    near = met.where(den * F.least(size_a, size_b) >= num * F.greatest(size_a, size_b))
     pairs = near.groupBy("a", "b", "n_a", "n_b").agg(
         F.count("*").alias("shared"), F.max("pos_a").alias("at_a"), F.max("pos_b").alias("at_b"))
+    pairs = pairs.withColumns({"n_a": size_a, "n_b": size_b})
     behind = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
     unposted = F.ceil(num * F.greatest("n_a", "n_b") / den) - 1
     most = F.col("shared") + F.least(behind, unposted)
@@ -261,7 +268,8 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     posted = _posted(docs.where("doc is not null"), k, num, den, order).join(
         bounded_broadcast(copies), ["doc", "d1", "d2"], "left_anti")
-    rows = posted.select("doc", "n", F.posexplode("posted").alias("pos", "token"))
+    named = F.shiftleft(F.col("d1").bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(F.col("n").cast("long")).alias("n")
+    rows = posted.select("doc", named, F.posexplode("posted").alias("pos", "token"))
     # A token that two ids have keeps all its rows, also those of several texts of one id.
     token = Window.partitionBy("token")
     same = rows.select("token", "doc", "n", "pos", F.min("doc").over(token).alias("low"), F.max("doc").over(token).alias("high"))
@@ -295,7 +303,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         open_rows, path = left, left_path
 
     crowds, _ = keep(open_rows.select("doc", "n", "c").distinct().groupBy("c").agg(
-        F.count("*").alias("size"), F.sum("n").alias("shingles")).where(F.col("size") >= CROWD), "crowds")
+        F.count("*").alias("size"), F.sum(_size(F.col("n"))).alias("shingles")).where(F.col("size") >= CROWD), "crowds")
     crowds = bounded_broadcast(crowds)
     scattered = open_rows.join(crowds.select("c"), "c", "left_anti")
     a, b = (scattered.select("token", *(F.col(x).alias(f"{x}_{side}") for x in ("doc", "n", "pos", "c"))) for side in "ab")

@@ -102,3 +102,12 @@ def test_texts_of_one_id_keep_their_own_postings(spark):
     found = ngram_join.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     component = {r.doc_id: r.component_id for r in found}
     assert all(component[2 * i + 1] == component[2 * i] == 2 * i for i in range(24))
+
+
+def test_texts_of_one_id_with_equally_many_shingles_are_told_apart(spark):
+    words = [f"w{i}" for i in range(40)]
+    other = [f"v{i}" for i in range(40)]
+    near = words[:37] + ["x", "y", "z"]
+    rows = [(1, " ".join(words)), (1, " ".join(other)), (2, " ".join(near)), (3, " ".join(other[:38] + ["x", "y"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.join_documents(df).collect()} == {1: 1, 2: 1, 3: 1}
