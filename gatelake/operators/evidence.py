@@ -187,10 +187,10 @@ def event_documents(events: DataFrame, detections: DataFrame, ocr: DataFrame, sn
         F.col("_sized.code").alias("size_code"), "part", *[shown(name) for name in fields])
 
 
-def write_event_documents(documents: DataFrame, path: str) -> None:
-    """JSON lines, one folder per event day. Only the days that the documents are of are written anew."""
-    dealt = documents.repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(64)))
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").json(path)
+def write_event_documents(documents: DataFrame, path: str, load: str = "all") -> None:
+    """JSON lines by event day and load. A load that is written again replaces itself on its days, and nothing else."""
+    dealt = documents.withColumn("load", F.lit(load)).repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(64)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date", "load").json(path)
 
 
 def event_table_rows(events: DataFrame) -> DataFrame:

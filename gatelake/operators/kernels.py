@@ -8,8 +8,10 @@ no installed copy of the package.
 
 from __future__ import annotations
 
+import bisect
 import sys
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 
@@ -27,8 +29,67 @@ def _append(batch, **arrays):
     return pa.RecordBatch.from_arrays(list(batch.columns) + list(arrays.values()), names=names)
 
 
+def _groups(batches, by):
+    """(key, row index arrays by batch) of the groups of sorted batches; only the open group is held."""
+    open_key, held = None, []
+    for batch in batches:
+        for at, key in enumerate(_keys(batch, by)):
+            if key != open_key:
+                if held:
+                    yield open_key, held
+                open_key, held = key, []
+            held.append((batch, at))
+    if held:
+        yield open_key, held
+
+
+def chain_map(by, ts, step_us, width_us):
+    """For every block of a key: where a chain that enters at one of its first rows leaves it.
+
+    ``by`` ends with the block. A chain enters at a row of the first ``step_us`` of the block or at the first one behind;
+    the last row it takes in the block follows from each by jumps of ``step_us``. A block is bounded in time and has every
+    time once.
+    """
+    def run(batches):
+        for key, held in _groups(batches, by):
+            times = np.array([batch.column(batch.schema.get_field_index(ts))[at].as_py() for batch, at in held], np.int64)
+            jump = np.minimum(np.searchsorted(times, times + step_us), len(times))
+            first = min(int(np.searchsorted(times, key[-1] * width_us + step_us)) + 1, len(times))
+            last = np.where(jump < len(times), jump, np.arange(len(times)))
+            while True:  # pointer doubling: a row that jumps out of the block points at itself
+                further = last[last]
+                if (further == last).all():
+                    break
+                last = further
+            source, at = held[0]
+            keys = [source.column(source.schema.get_field_index(n)).slice(at, 1) for n in by]
+            yield pa.RecordBatch.from_arrays(
+                [*keys, pa.array([times[:first].tolist()], pa.list_(pa.int64())),
+                 pa.array([times[last[:first]].tolist()], pa.list_(pa.int64()))], names=[*by, "entries", "exits"])
+
+    return run
+
+
+def chain_starts(by, step_us):
+    """Append ``start_us``, the last taken row before each block, from the maps of a key's blocks in order."""
+    def run(batches):
+        group, anchor = None, None
+        for batch in batches:
+            starts = []
+            for key, entries, exits in zip(_keys(batch, by), *_columns(batch, ["entries", "exits"])):
+                if key != group:
+                    group, anchor = key, None
+                starts.append(anchor)
+                at = 0 if anchor is None else bisect.bisect_left(entries, anchor + step_us)
+                if at < len(entries):
+                    anchor = exits[at]
+            yield _append(batch, start_us=pa.array(starts, pa.int64()))
+
+    return run
+
+
 def chain_fold(by, ts, step_us):
-    """Mark rows that lie at least ``step_us`` after the last marked row of their group."""
+    """Mark rows that lie at least ``step_us`` after the last marked row of their group, or after its ``start_us``."""
 
     def run(batches):
         group, anchor = None, None
@@ -36,10 +97,12 @@ def chain_fold(by, ts, step_us):
             if batch.num_rows == 0:
                 continue
             taken, anchors = [], []
-            for key, us in zip(_keys(batch, by), _columns(batch, [ts])[0]):
-                fresh = key != group or us - anchor >= step_us
+            for key, us, start in zip(_keys(batch, by), *_columns(batch, [ts, "start_us"])):
+                if key != group:
+                    group, anchor = key, start
+                fresh = anchor is None or us - anchor >= step_us
                 if fresh:
-                    group, anchor = key, us
+                    anchor = us
                 taken.append(fresh)
                 anchors.append(anchor)
             yield _append(batch, taken=pa.array(taken, pa.bool_()), anchor_us=pa.array(anchors, pa.int64()))

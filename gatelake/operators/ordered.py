@@ -78,14 +78,23 @@ def fold_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], fold: Call
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(fold, schema)
 
 
-def mark_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], step_us: int) -> DataFrame:
+def mark_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], step_us: int, block_steps: int = 1024) -> DataFrame:
     """Append ``taken`` and ``anchor_us``: greedy choice of rows at least ``step_us`` apart per key.
 
-    A row that far behind its predecessor is always taken, so the runs between such rows fold independently.
+    Time is cut into blocks of ``block_steps`` steps. A block is first reduced to a map from the row at which a chain may
+    enter it to the last row it takes there; the maps of a key, one row a block, are gone through in order; then every
+    block is marked from where the chain enters it. So no task holds or walks more than a block, pause or not.
     """
-    by = [*keys, "segment_us"]
-    rows = with_segments(df, keys, order[0], step_us - 1)
-    folded = fold_rows(rows, by, order, kernels.chain_fold(by, order[0], step_us), "taken boolean, anchor_us bigint")
+    width = step_us * block_steps
+    rows = df.withColumn("_block", bucket(F.col(order[0]), width))
+    by = [*keys, "_block"]
+    times = rows.select(*by, order[0]).distinct()
+    spans = T.StructType([*times.select(*by).schema.fields, *T.StructType.fromDDL("entries array<bigint>, exits array<bigint>").fields])
+    maps = times.repartition(*by).sortWithinPartitions(*by, order[0]).mapInArrow(
+        kernels.chain_map(by, order[0], step_us, width), spans)
+    entered = fold_rows(maps, keys, ["_block"], kernels.chain_starts(keys, step_us), "start_us bigint").select(*by, "start_us")
+    folded = fold_rows(join_null_safe(rows, entered, by), by, order, kernels.chain_fold(by, order[0], step_us),
+                       "taken boolean, anchor_us bigint")
     return folded.select(*df.columns, "taken", "anchor_us")
 
 

@@ -49,13 +49,16 @@ def search_events(events: DataFrame, detections: DataFrame, ocr: DataFrame | Non
     found = matching_events(events, detections, container, camera_id, event_type, status)
     order = [F.desc("timestamp"), "id", "site_id"]
     page = found.orderBy(*order).offset(offset).limit(limit)
-    if ocr is None:
-        return page
+    return page if ocr is None else with_sizes(page, detections, ocr).orderBy(*order)
+
+
+def with_sizes(page: DataFrame, detections: DataFrame, ocr: DataFrame) -> DataFrame:
+    """The events of a page with size and size code, which are looked up for them only."""
     shown = page.select("site_id", F.col("id").alias("event_id"))
     evidence = detections.join(shown, ["site_id", "event_id"], "left_semi")
     reads = ocr.join(evidence.select("site_id", F.col("id").alias("detection_id")), ["site_id", "detection_id"], "left_semi")
     sizes = event_sizes(evidence, reads).withColumnRenamed("event_id", "id")
-    return page.join(sizes, ["site_id", "id"], "left").orderBy(*order)
+    return page.join(sizes, ["site_id", "id"], "left")
 
 
 def count_events(events: DataFrame, detections: DataFrame, **filters) -> DataFrame:

@@ -5,6 +5,7 @@ Nested results are returned as JSON text, so that any engine can compare them.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -328,29 +329,43 @@ def overlay_nearby(s, sf):
 # Query surface ------------------------------------------------------------------------------------
 
 
+def _written_store(s, sf):
+    """The event store on disk, written once per application and input; searches only read it."""
+    def build():
+        store, path = _store(s, sf), work_dir(s, "event-store")
+        event_store.write_events(store.events, store.detections, store.ocr, store.snapshots, path)
+        return path
+    return event_store.kept_store(s, sf, build)
+
+
 @query
 def search_events(s, sf):
-    store = _store(s, sf)
+    store = event_store.read_events(s, _written_store(s, sf))
     return search.search_events(store.events, store.detections, store.ocr, camera_id="gate-in-1", event_type="ENTRY",
-                                status="CONFIRMED", limit=50, offset=10)
+                                status="CONFIRMED", limit=50, offset=10).drop("day")
 
 
 @query
 def count_events(s, sf):
-    store = _store(s, sf)
+    store = event_store.read_events(s, _written_store(s, sf))
     return search.count_events(store.events, store.detections, camera_id="gate-in-1", event_type="ENTRY",
                                status="CONFIRMED")
 
 
 @query
 def search_store(s, sf):
-    tables_of = _store(s, sf)
-    path = work_dir(s, "event-store")
-    event_store.write_events(tables_of.events, tables_of.detections, tables_of.ocr, tables_of.snapshots, path)
-    stored = event_store.read_events(s, path, since="2026-01-01", until="2026-01-02")
+    stored = event_store.read_events(s, _written_store(s, sf), since="2026-01-01", until="2026-01-02")
     return search.search_events(stored.events, stored.detections, stored.ocr, container="tclu0316764", limit=200).drop("day")
 
 
+@query
+def search_pages(s, sf):
+    """The second page of the confirmed entries of a camera, by the cursor of the first; empty if there is none."""
+    path, filters = _written_store(s, sf), {"camera_id": "gate-in-1", "event_type": "ENTRY", "status": "CONFIRMED"}
+    _, cursor = event_store.search_page(s, path, 20, sizes=False, **filters)
+    return event_store.search_page(s, path, 20, cursor or (dt.datetime.min, "", ""), **filters)[0].drop("day")
+
+
 @query
 def event_sizes(s, sf):
     store = _store(s, sf)

@@ -703,6 +703,7 @@ _FOUND = """
 Q["search_events"] = f"""
   WITH p AS (SELECT * {_FOUND} ORDER BY timestamp DESC, id, site_id LIMIT 50 OFFSET 10)
   SELECT p.*, z.container_size, z.size_code FROM p LEFT JOIN w_event_sizes z ON z.site_id = p.site_id AND z.event_id = p.id"""
+Q["search_pages"] = Q["search_events"].replace("LIMIT 50 OFFSET 10", "LIMIT 20 OFFSET 20")
 Q["search_store"] = """
   WITH p AS (SELECT * FROM w_events WHERE container_number = 'TCLU0316764' AND timestamp < TIMESTAMP '2026-01-03'
              ORDER BY timestamp DESC, id, site_id LIMIT 200)
