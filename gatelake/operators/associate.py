@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gatelake.functions.clock import from_us, to_us
 from gatelake.operators import kernels
-from gatelake.operators.ordered import bucket, fold_rows, mark_chain, with_segments
+from gatelake.operators.ordered import bucket, fold_blocks, mark_chain, with_segments
 from gatelake.params import DEFAULTS, GateParams
 
 LANE = ["site_id", "gate_id", "direction"]
@@ -18,20 +18,23 @@ def stable_id(kind: str, *parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", F.lit(kind), *parts), 256), 1, 32)
 
 
-def associate_events(observations: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
+def associate_events(observations: DataFrame, p: GateParams = DEFAULTS, block_windows: int = 64) -> DataFrame:
     """Append event_id, created, promoted and event_timestamp to every observation.
 
     Observations of a lane and direction are taken in (time, origin) order. A confirmed one joins the latest
     event with its number, else promotes the latest event without a number, else starts an event; an
     unconfirmed one joins the latest event of any kind. The window is anchored on the event's first
-    observation, so a pause longer than the window separates the fold into independent segments.
+    observation, so a pause longer than the window separates the fold into independent segments. A segment longer
+    than ``block_windows`` windows is folded in blocks.
     """
-    by = [*LANE, "segment_us"]
     timed = observations.withColumn("_us", to_us(F.col("frame_timestamp"))).withColumn(
         "observation_id", stable_id("event", F.col("origin_key")))
-    cut = with_segments(timed, LANE, "_us", p.dedup_us)
-    folded = fold_rows(cut, by, ["_us", "origin_key"], kernels.association_fold(by, p.dedup_us),
-                       "event_id string, created boolean, promoted boolean, event_us bigint")
+    width = block_windows * p.dedup_us
+    folded = fold_blocks(
+        with_segments(timed, LANE, "_us", p.dedup_us), LANE, ["_us", "origin_key"], width,
+        ["_us", "origin_key", "container_number", "observation_id"],
+        lambda by: kernels.association_fold(by, p.dedup_us), lambda by: kernels.association_exits(by, p.dedup_us, width),
+        "event_id string, created boolean, promoted boolean, event_us bigint")
     return folded.select(*observations.columns, "event_id", "created", "promoted",
                          from_us(F.col("event_us")).alias("event_timestamp"))
 

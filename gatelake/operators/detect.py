@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gatelake.functions.clock import to_us
 from gatelake.functions.geometry import box, clipped, iou
 from gatelake.operators import kernels
-from gatelake.operators.ordered import bucket, fold_rows, join_null_safe, mark_chain, newest_per_group, numbered, with_segments
+from gatelake.operators.ordered import bucket, fold_blocks, join_null_safe, mark_chain, newest_per_group, numbered, with_segments
 from gatelake.session import materialize
 from gatelake.params import CLASS_ALIASES, DEFAULTS, OCR_CLASSES, TARGET_CLASSES, GateParams, micros
 
@@ -83,20 +83,21 @@ def considered_frames(raw: DataFrame, cameras: DataFrame) -> DataFrame:
         F.col("sequence") % (F.coalesce("frame_skip", F.lit(0)) + 1) == 0).select(*raw.columns)
 
 
-def track_objects(detections: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
+def track_objects(detections: DataFrame, p: GateParams = DEFAULTS, block_expiries: int = 256) -> DataFrame:
     """Append track_id, hits and first_seen. A detection that comes twice counts once.
 
     Only boxes of one class compete for a track, and after a pause longer than the track expiry no track is
-    left, so (camera, source, class, segment) groups fold independently. Ids count the track starts of a
-    source in frame order.
+    left, so (camera, source, class, segment) groups fold independently, those longer than ``block_expiries`` times the
+    expiry in blocks. Ids count the track starts of a source in frame order.
     """
-    by = [*SOURCE, "class_name", "segment_us"]
+    keys, width = [*SOURCE, "class_name"], block_expiries * p.track_ttl_us
     once = detections.dropDuplicates([*SOURCE, "sequence", "det_index"])
     timed = once.withColumn("_us", to_us(F.col("frame_timestamp")))
-    cut = with_segments(timed, [*SOURCE, "class_name"], "_us", p.track_ttl_us)
-    folded = fold_rows(cut, by, ["_us", "sequence", "det_index"],
-                       kernels.tracking_fold(by, p.track_ttl_us, p.match_iou),
-                       "hits bigint, start_us bigint, start_sequence bigint, start_index int")
+    folded = fold_blocks(
+        with_segments(timed, keys, "_us", p.track_ttl_us), keys, ["_us", "sequence", "det_index"], width,
+        ["_us", "sequence", "det_index", "x1", "y1", "x2", "y2"], lambda by: kernels.tracking_fold(by, p.track_ttl_us, p.match_iou),
+        lambda by: kernels.tracking_exits(by, p.track_ttl_us, p.match_iou, width),
+        "hits bigint, start_us bigint, start_sequence bigint, start_index int")
     folded = materialize(folded, "folded-tracks")
     start = ["start_us", "start_sequence", "start_index"]
     starts = numbered(folded.where("hits = 1").select(*SOURCE, *start), SOURCE, start, micros(3600), "track_id")

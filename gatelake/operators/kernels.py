@@ -9,6 +9,7 @@ no installed copy of the package.
 from __future__ import annotations
 
 import bisect
+import json
 import sys
 
 import numpy as np
@@ -143,8 +144,21 @@ class OpenEvents:
         return next((e for e in reversed(self.events) if fits(e)), None)
 
 
+    @classmethod
+    def entered(cls, window_us, start):
+        """The events handed over as text at the start of a block, or none."""
+        state = cls(window_us)
+        state.events = json.loads(start) if start else []
+        return state
+
+    def handed_over(self, at_us):
+        """What rows from a time on can still meet, as text; None if it is nothing."""
+        events = [e for e in self.events if e[0] >= at_us - self.window_us]
+        return json.dumps(events) if events else None
+
+
 def association_fold(by, window_us):
-    """Assign each observation to an open event of its group or start a new one."""
+    """Assign each observation to an open event of its group, at first those in ``start``, or start a new one."""
 
     def run(batches):
         group, state = None, None
@@ -152,10 +166,10 @@ def association_fold(by, window_us):
             if batch.num_rows == 0:
                 continue
             results = []
-            for key, us, number, new_id in zip(
-                    _keys(batch, by), *_columns(batch, ["_us", "container_number", "observation_id"])):
+            for key, us, number, new_id, start in zip(
+                    _keys(batch, by), *_columns(batch, ["_us", "container_number", "observation_id", "start"])):
                 if key != group:
-                    group, state = key, OpenEvents(window_us)
+                    group, state = key, OpenEvents.entered(window_us, start)
                 results.append(state.assign(us, number, new_id))
             ids, created, promoted, event_us = zip(*results)
             yield _append(batch, event_id=pa.array(ids, pa.string()), created=pa.array(created, pa.bool_()),
@@ -164,6 +178,38 @@ def association_fold(by, window_us):
     return run
 
 
+def _block_exits(batches, by, width_us, open_block, take):
+    """(by, start, exit) of every block: the state that ``take`` leaves after the rows of a block, in order.
+
+    ``by`` ends with the start of the segment and the number of the block in it.
+    """
+    def closed(key, start, state):
+        arrays = [pa.array([v], batch_schema.field(n).type) for n, v in zip(by, key)]
+        leaves = state.handed_over(key[-2] + (key[-1] + 1) * width_us)
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([start], pa.string()), pa.array([leaves], pa.string())],
+                                          names=[*by, "start", "exit"])
+
+    group = start = state = batch_schema = None
+    for batch in batches:
+        batch_schema = batch.schema
+        for key, given, row in zip(_keys(batch, by), *_columns(batch, ["start"]), batch.to_pylist()):
+            if key != group:
+                if group is not None:
+                    yield closed(group, start, state)
+                group, start, state = key, given, open_block(given)
+            take(state, row)
+    if group is not None:
+        yield closed(group, start, state)
+
+
+def association_exits(by, window_us, width_us):
+    """The events that are open at the end of every block."""
+    def run(batches):
+        yield from _block_exits(batches, by, width_us, lambda start: OpenEvents.entered(window_us, start),
+                                lambda state, row: state.assign(row["_us"], row["container_number"], row["observation_id"]))
+    return run
+
+
 def overlap(a, b):
     width = min(a[2], b[2]) - max(a[0], b[0])
     height = min(a[3], b[3]) - max(a[1], b[1])
@@ -202,8 +248,42 @@ class OpenTracks:
         return found
 
 
+    @classmethod
+    def entered(cls, ttl_us, match_iou, start):
+        """The tracks handed over as text at the start of a block, or none."""
+        state = cls(ttl_us, match_iou)
+        state.tracks = [[tuple(first), tuple(box), last, hits] for first, box, last, hits in json.loads(start or "[]")]
+        state.waiting = []
+        return state
+
+    def take(self, row):
+        """Like ``frame`` row by row: a frame is taken when the next one starts."""
+        if self.waiting and (self.waiting[0]["_us"], self.waiting[0]["sequence"]) != (row["_us"], row["sequence"]):
+            self.flush()
+        self.waiting.append(row)
+
+    def flush(self):
+        if self.waiting:
+            self.frame(self.waiting[0]["_us"], self.waiting[0]["sequence"], [r["det_index"] for r in self.waiting],
+                       [(r["x1"], r["y1"], r["x2"], r["y2"]) for r in self.waiting])
+        self.waiting = []
+
+    def handed_over(self, at_us):
+        """What detections from a time on can still continue, as text; None if it is nothing."""
+        self.flush()
+        tracks = [t for t in self.tracks if at_us - t[2] <= self.ttl_us]
+        return json.dumps(tracks) if tracks else None
+
+
+def tracking_exits(by, ttl_us, match_iou, width_us):
+    """The tracks that are open at the end of every block."""
+    def run(batches):
+        yield from _block_exits(batches, by, width_us, lambda start: OpenTracks.entered(ttl_us, match_iou, start), OpenTracks.take)
+    return run
+
+
 def tracking_fold(by, ttl_us, match_iou):
-    """Continue or start a track for every detection; rows are sorted by frame inside a group."""
+    """Continue or start a track for every detection, at first those in ``start``; rows are sorted by frame inside a group."""
     frame_columns = ["_us", "sequence", "det_index", "x1", "y1", "x2", "y2"]
 
     def run(batches):
@@ -213,18 +293,18 @@ def tracking_fold(by, ttl_us, match_iou):
             nonlocal group, state
             keys = list(_keys(table, by))
             us, sequence, index, *box = _columns(table, frame_columns)
-            boxes = list(zip(*box))
+            boxes, starts = list(zip(*box)), _columns(table, ["start"])[0]
             found, at = [], 0
             while at < len(keys):
                 end = at + 1
                 while end < len(keys) and keys[end] == keys[at] and us[end] == us[at] and sequence[end] == sequence[at]:
                     end += 1
                 if keys[at] != group:
-                    group, state = keys[at], OpenTracks(ttl_us, match_iou)
+                    group, state = keys[at], OpenTracks.entered(ttl_us, match_iou, starts[at])
                 found += state.frame(us[at], sequence[at], index[at:end], boxes[at:end])
                 at = end
-            starts, hits = zip(*found)
-            start_us, start_sequence, start_index = zip(*starts)
+            begun, hits = zip(*found)
+            start_us, start_sequence, start_index = zip(*begun)
             return _append(table, hits=pa.array(hits, pa.int64()), start_us=pa.array(start_us, pa.int64()),
                            start_sequence=pa.array(start_sequence, pa.int64()),
                            start_index=pa.array(start_index, pa.int32()))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatelake.operators import kernels
+from gatelake.session import materialize
 
 
 def bucket(ts_us: Column, width_us: int) -> Column:
@@ -78,6 +79,45 @@ def fold_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], fold: Call
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(fold, schema)
 
 
+def fold_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], width_us: int, used: Sequence[str],
+                fold: Callable, exits: Callable, added: str) -> DataFrame:
+    """Run an ordered fold over the segments of ``rows``, the long ones in blocks of ``width_us`` that fold side by side.
+
+    ``fold(by)`` gives the kernel that appends the columns ``added``, ``exits(by)`` the one that gives the open state at
+    the end of every block; both begin a block with the state in ``start``. Blocks of a long segment are first folded from
+    nothing. Then those whose predecessor hands over something else than they were folded from are folded again from that,
+    until none is left; every round settles one more block of a segment at least, and all blocks behind a moment at which
+    the open state no longer depends on what was before. Only the columns ``used`` take part in that.
+    """
+    by = [*keys, "segment_us", "_block"]
+    ts = F.col(order[0])
+    cut = materialize(rows.withColumn("_block", F.floor((ts - F.col("segment_us")) / width_us)), "blocks")
+    nothing = F.lit(None).cast("string").alias("start")
+    # Blocks are counted from the start of the segment, so there is a second one only where a segment is long.
+    long = cut.where("_block > 0").select(*keys, "segment_us").distinct()
+    if long.isEmpty():
+        return fold_rows(cut.select("*", nothing), by, order, fold(by), added).drop("_block", "start")
+    narrow = materialize(join_null_safe(cut.select(*by, *used), long, [*keys, "segment_us"]), "long-segments")
+    schema = T.StructType([*narrow.select(*by).schema.fields, *T.StructType.fromDDL("start string, exit string").fields])
+
+    def left(blocks: DataFrame) -> DataFrame:
+        return blocks.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(exits(by), schema)
+
+    states = materialize(left(narrow.select("*", nothing)), "block-states")
+    while True:
+        before = Window.partitionBy(*keys, "segment_us").orderBy("_block")
+        handed = F.when(F.lag("_block").over(before) == F.col("_block") - 1, F.lag("exit").over(before))
+        met = states.withColumn("_handed", handed)
+        open_blocks = materialize(met.where(~F.col("start").eqNullSafe(F.col("_handed"))).select(
+            *by, F.col("_handed").alias("start")), "open-blocks")
+        if open_blocks.isEmpty():
+            break
+        settled = join_null_safe(states, open_blocks.select(*by, F.lit(1).alias("_open")), by, "left").where("_open is null")
+        states = materialize(settled.select(*states.columns).unionByName(left(join_null_safe(narrow, open_blocks, by))), "block-states")
+    entered = join_null_safe(cut, states.select(*by, "start"), by, "left")
+    return fold_rows(entered, by, order, fold(by), added).drop("_block", "start")
+
+
 def mark_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], step_us: int, block_steps: int = 1024) -> DataFrame:
     """Append ``taken`` and ``anchor_us``: greedy choice of rows at least ``step_us`` apart per key.
 

@@ -58,11 +58,25 @@ def test_association_equals_loop(spark, seed):
     ids = dict(spark.createDataFrame([(o,) for o in want], "o string").select(
         associate.stable_id("event", F.col("o")), "o").collect())
     random.Random(seed).shuffle(rows)
-    for parts in (1, 5):
-        got = associate.associate_events(spark.createDataFrame(rows, OBS).repartition(parts)).collect()
+    for parts, windows in ((1, 64), (5, 2)):  # whole segments, and blocks of a minute
+        got = associate.associate_events(spark.createDataFrame(rows, OBS).repartition(parts), block_windows=windows).collect()
         assert {r.origin_key: (ids[r.event_id], r.created, r.promoted) for r in got} == want
 
 
+def test_a_lane_without_a_pause_is_folded_in_blocks(spark):
+    """Unread observations every few seconds: the phase of the events depends on the very first one, block after block."""
+    rng, t, rows = random.Random(7), 0, []
+    for i in range(400):
+        t += rng.choice([3, 4, 9])
+        number = rng.choice([None, None, None, "A", "B"])
+        rows.append(("S0", "in", "ENTRY", f"o{i:04d}", at(t), number is not None, number))
+    want = loop_associate(rows)
+    ids = dict(spark.createDataFrame([(o,) for o in want], "o string").select(
+        associate.stable_id("event", F.col("o")), "o").collect())
+    got = associate.associate_events(spark.createDataFrame(rows, OBS).repartition(4), block_windows=16).collect()
+    assert {r.origin_key: (ids[r.event_id], r.created, r.promoted) for r in got} == want
+
+
 def test_two_views_one_visit_and_a_later_one(spark):
     rows = [("S", "in", "ENTRY", "a", at(0), True, "N1"), ("S", "in", "ENTRY", "b", at(5), True, "N1"),
             ("S", "in", "ENTRY", "c", at(6), True, "N2"), ("S", "in", "EXIT", "d", at(7), True, "N1"),
@@ -210,7 +224,7 @@ def test_tracking_equals_loop(spark, seed):
     random.Random(seed).shuffle(rows)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # frames straddle batches
     try:
-        got = detect.track_objects(spark.createDataFrame(rows, DETS).repartition(3)).collect()
+        got = detect.track_objects(spark.createDataFrame(rows, DETS).repartition(3), block_expiries=4 if seed == 11 else 256).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r.sequence, r.det_index): (r.track_id, r.hits) for r in got} == want
