@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gatelake.functions.iso6346 import bound
 from gatelake.operators.ordered import newest_per_group
+from gatelake.operators.text import validate_reads
 from gatelake.params import DEFAULTS, GateParams
+from gatelake.sources.tables import parse_ocr_jobs
 
 ORIGIN = ["site_id", "origin_key"]
 
@@ -104,3 +106,26 @@ def confirm_reads(validated: DataFrame, p: GateParams = DEFAULTS, pending: bool
         F.col("emission.number").isNotNull().alias("confirmed"),
         F.col("emission.number").alias("container_number"),
         F.col("emission.k").alias("attempts"))
+
+
+def replay_spool(jobs: DataFrame, texts: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
+    """Confirmation continued after a restart: the observations of an uninterrupted run, with ``known_event_id``.
+
+    Finished jobs of the spool bring their stored validation; jobs that were pending, and those whose stored validation is
+    damaged, are validated from ``texts`` (site_id, origin, sequence, raw_text, confidence), what the reader now says of
+    their crops. Jobs without readable metadata can't be placed and are left out. ``known_event_id`` is the event that a
+    finished job of the origin was already given, so its observation must not start another.
+    """
+    parsed = parse_ocr_jobs(jobs).where("frame_timestamp is not null")
+    place = ["site_id", F.col("origin").alias("origin_key"), "sequence", F.col("id").alias("arrival"), "camera_id", "gate_id",
+             "direction", "track_id", "frame_timestamp", "started_at"]
+    saved = (F.col("state") == "DONE") & F.col("validation_status").isNotNull()
+    stored = parsed.where(saved).select(
+        *place, F.col("read_text").alias("raw_text"), F.col("read_confidence").alias("confidence"),
+        F.col("read_text").alias("corrected_text"), "normalized_text", F.lit(None).cast("boolean").alias("valid_format"),
+        "valid_check_digit", "validation_status", F.lit(None).cast("boolean").alias("check_digit_derived"))
+    again = validate_reads(parsed.where(~F.coalesce(saved, F.lit(False))).join(
+        texts, ["site_id", "origin", "sequence"]).select(*place, "raw_text", "confidence"))
+    known = jobs.where("state = 'DONE' and event_id is not null").groupBy("site_id", F.col("origin").alias("origin_key")).agg(
+        F.min_by("event_id", "id").alias("known_event_id"))
+    return confirm_reads(stored.unionByName(again.select(*stored.columns)), p).join(known, ORIGIN, "left")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatelake.functions.clock import iso_z, to_us
+from gatelake.functions.clock import from_us, iso_z, to_us
 from gatelake.functions.iso6346 import feet_size, stand_alone_size_code
 from gatelake.operators.associate import stable_id
+from gatelake.operators.ordered import bucket
+from gatelake.params import micros
 
 DETECTION_COLUMNS = ["site_id", "id", "event_id", "camera_id", "origin_key", "track_id", "class_name", "confidence",
                      "bbox", "timestamp"]
@@ -78,6 +80,24 @@ def snapshot_manifest(assignments: DataFrame, companions: DataFrame | None = Non
     return taken.unionByName(first)
 
 
+def companion_frames(events: DataFrame, frames: DataFrame, tolerance_seconds: float = 5.0) -> DataFrame:
+    """For each event and each other view of its lane the frame nearest in time, the earlier of two equally near ones.
+
+    ``frames`` has (site_id, gate_id, camera_id, frame_timestamp). Events and frames meet in time buckets as wide as the
+    tolerance, so a lane is spread over its buckets; a view without a frame in reach gives no row.
+    """
+    width = micros(tolerance_seconds)
+    own = events.select("site_id", "gate_id", F.col("id").alias("event_id"), to_us(F.col("timestamp")).alias("_event_us"))
+    own = own.withColumn("_bucket", F.explode(F.transform(
+        F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: bucket(F.col("_event_us"), width) + i)))
+    shown = frames.select("site_id", "gate_id", "camera_id", to_us(F.col("frame_timestamp")).alias("_us")).distinct().withColumn(
+        "_bucket", bucket(F.col("_us"), width))
+    apart = F.abs(F.col("_us") - F.col("_event_us"))
+    near = own.join(shown, ["site_id", "gate_id", "_bucket"]).where(apart <= width)
+    nearest = near.groupBy("site_id", "event_id", "camera_id").agg(F.min(F.struct(apart.alias("apart"), "_us")).alias("_best"))
+    return nearest.select("site_id", "event_id", "camera_id", from_us(F.col("_best._us")).alias("timestamp"))
+
+
 def audit_log(assignments: DataFrame) -> DataFrame:
     """One INFO row per observation."""
     return assignments.select(

@@ -87,7 +87,7 @@ def camera_registry_check(s, sf):
 
 @query
 def upsert_cameras(s, sf):
-    return tables.upsert_cameras(d.registered_cameras(s, sf), d.incoming_cameras(s, sf), "2026-03-01 00:00:00")
+    return tables.upsert_cameras(d.registered_cameras(s, sf), d.incoming_cameras(s, sf), "2026-03-01 00:00:00", "arrival")
 
 
 @query
@@ -404,10 +404,8 @@ def next_job_per_origin(s, sf):
 @query
 def snapshot_manifest(s, sf):
     store = _store(s, sf)
-    companions = store.events.select(
-        "site_id", F.col("id").alias("event_id"), "timestamp",
-        F.explode(F.array(*[F.lit(c) for c in ("gate-in-1", "gate-in-4", "gate-out-2")])).alias("camera_id"))
-    return evidence.snapshot_manifest(store.assignments, companions)
+    frames = _reads(s, sf).select("site_id", "gate_id", "camera_id", "frame_timestamp")
+    return evidence.snapshot_manifest(store.assignments, evidence.companion_frames(store.events, frames))
 
 
 # Ledger and outbox --------------------------------------------------------------------------------
@@ -423,6 +421,15 @@ def recover_evidence(s, sf):
     return ledger.recover_evidence(_jobs(s, sf)).withColumn("read_texts", F.to_json("read_texts"))
 
 
+@query
+def spool_replay(s, sf):
+    """Observations after a restart of the edge from its spool; they are those of an uninterrupted run."""
+    texts = _once(s, sf).select("site_id", F.col("origin_key").alias("origin"), "sequence", "raw_text", "confidence")
+    return confirm.replay_spool(_jobs(s, sf), texts).select(
+        "site_id", "origin_key", "sequence", "frame_timestamp", "normalized_text", "confidence", "confirmed",
+        "container_number", "attempts", "known_event_id")
+
+
 @query
 def spool_status(s, sf):
     return ledger.spool_status(_jobs(s, sf), max_bytes=9_000_000)

@@ -725,11 +725,18 @@ Q["next_jobs"] = """
 Q["next_job_per_origin"] = """
   SELECT site_id, origin, min(id) AS id FROM w_jobs WHERE state = 'PENDING' AND retry_at <= 200 GROUP BY site_id, origin"""
 Q["snapshot_manifest"] = f"""
+  WITH near AS (
+    SELECT e.site_id, e.id AS event_id, f.camera_id, f.frame_timestamp, row_number() OVER (
+      PARTITION BY e.site_id, e.id, f.camera_id ORDER BY abs(epoch_us(f.frame_timestamp) - epoch_us(e.timestamp)), f.frame_timestamp) AS rn
+    FROM w_events e JOIN (SELECT DISTINCT site_id, gate_id, camera_id, frame_timestamp FROM w_reads) f
+      ON f.site_id = e.site_id AND f.gate_id = e.gate_id
+     AND f.frame_timestamp BETWEEN e.timestamp - INTERVAL 5 SECOND AND e.timestamp + INTERVAL 5 SECOND)
   SELECT * FROM w_snaps
   UNION ALL
-  SELECT e.site_id, {sid('companion', 'e.id', 'c.camera_id')}, e.id, c.camera_id, e.id || '/' || c.camera_id || '.jpg', e.timestamp
-  FROM w_events e CROSS JOIN (VALUES ('gate-in-1'), ('gate-in-4'), ('gate-out-2')) c(camera_id)
-  WHERE NOT EXISTS (SELECT 1 FROM w_snaps s WHERE s.site_id = e.site_id AND s.event_id = e.id AND s.camera_id = c.camera_id)"""
+  SELECT c.site_id, {sid('companion', 'c.event_id', 'c.camera_id')}, c.event_id, c.camera_id, c.event_id || '/' || c.camera_id || '.jpg',
+         c.frame_timestamp
+  FROM near c WHERE rn = 1
+    AND NOT EXISTS (SELECT 1 FROM w_snaps s WHERE s.site_id = c.site_id AND s.event_id = c.event_id AND s.camera_id = c.camera_id)"""
 Q["job_ledger"] = "SELECT * FROM w_ledger"
 Q["recover_evidence"] = """
   SELECT site_id, origin,
@@ -737,6 +744,17 @@ Q["recover_evidence"] = """
          arg_min(event_id, id) FILTER (event_id IS NOT NULL) AS event_id, arg_max(sequence, id) AS last_sequence
   FROM (SELECT *, row_number() OVER (PARTITION BY site_id, origin ORDER BY id DESC) AS rn FROM w_jobs WHERE state = 'DONE')
   WHERE rn <= 4 GROUP BY site_id, origin"""
+# The run without a restart, less the reads whose job lost its metadata.
+_CHAIN = ("w_valid", "w_attempts", "w_prefix_votes", "w_leaders", "w_emissions", "w_supporters", "w_obs")
+for _name in _CHAIN:
+    STEPS[_name.replace("w_", "w_kept_")] = "SELECT * FROM w_valid WHERE arrival % 97 <> 0" if _name == "w_valid" else re.sub(
+        r"\b(" + "|".join(_CHAIN) + r")\b", lambda m: m[0].replace("w_", "w_kept_"), STEPS[_name])
+Q["spool_replay"] = """
+  WITH known AS (SELECT site_id, origin AS origin_key, arg_min(event_id, id) AS known_event_id
+    FROM w_jobs WHERE state = 'DONE' AND event_id IS NOT NULL GROUP BY ALL)
+  SELECT o.site_id, o.origin_key, sequence, frame_timestamp, normalized_text, confidence, confirmed, container_number, attempts,
+         known_event_id
+  FROM w_kept_obs o LEFT JOIN known k ON k.site_id = o.site_id AND k.origin_key = o.origin_key"""
 Q["spool_status"] = """
   SELECT site_id, count(*) AS total, count(*) FILTER (state = 'PENDING') AS pending, count(error_type) AS failed,
          CAST(sum(payload_bytes) AS BIGINT) AS payload_bytes, min(id) FILTER (used > 9000000) AS first_rejected_id

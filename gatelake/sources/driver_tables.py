@@ -132,10 +132,10 @@ def registered_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incoming_cameras(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr(
-        "s_suppkey * 23 as k", "explode(if(s_suppkey % 5 = 0, array(s_name, concat(s_name, '-b')), array(s_name))) as s_name",
+        "s_suppkey * 23 as k", "posexplode(if(s_suppkey % 5 = 0, array(s_name, concat(s_name, '-b')), array(s_name))) as (arrival, s_name)",
         "s_acctbal").selectExpr(
         "concat('S', k div 8) as site_id", "concat('cam-', k) as id", "s_name as name", "'lane-new' as gate_id",
-        "concat('CAMERA_', k) as source_env", "s_acctbal > 0 as enabled")
+        "concat('CAMERA_', k) as source_env", "s_acctbal > 0 as enabled", "arrival")
 
 
 def camera_status(spark: SparkSession, sf_dir: str) -> DataFrame:

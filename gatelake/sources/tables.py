@@ -81,15 +81,17 @@ def camera_registry_check(cameras: DataFrame) -> DataFrame:
     return counted.select("site_id", "id", "name", broken.alias("violations"))
 
 
-def upsert_cameras(current: DataFrame, incoming: DataFrame, now: str) -> DataFrame:
+def upsert_cameras(current: DataFrame, incoming: DataFrame, now: str, order: str | None = None) -> DataFrame:
     """Insert or overwrite by site and id; the creation time survives, the update time is ``now``.
 
-    Of several incoming rows of one id the last in the order of their columns counts. All incoming columns are stored.
+    Of several incoming rows of one id the last by the column ``order`` counts, without one the largest by their values.
+    All other incoming columns are stored.
     """
     keys = ["site_id", "id"]
     stamp = F.lit(now).cast("timestamp_ntz")
-    fields = [c for c in incoming.columns if c not in keys]
-    new = incoming.groupBy(*keys).agg(F.max(F.struct(*fields)).alias("_new"))
+    fields = [c for c in incoming.columns if c not in (*keys, order)]
+    values = F.struct(*fields)
+    new = incoming.groupBy(*keys).agg((F.max(values) if order is None else F.max_by(values, order)).alias("_new"))
     old = current.select(*keys, F.struct(*fields).alias("_old"), "created_at", "updated_at")
     both = old.join(new, keys, "full_outer")
     return both.select(

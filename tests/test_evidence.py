@@ -165,3 +165,21 @@ def test_stored_events_are_pruned_by_day_and_written_again_unchanged(spark, tmp_
     assert [r.id for r in one.events.collect()] == ["f"] and one.detections.count() == 0
     plan = one.events._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_companions_are_the_nearest_frames_of_the_lane(spark):
+    at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    events = spark.createDataFrame([("S", "in", "e", at(100.0))], "site_id string, gate_id string, id string, timestamp timestamp_ntz")
+    frames = spark.createDataFrame(
+        [("S", "in", "a", at(t)) for t in (94.9, 98.0, 102.0, 104.0)] + [("S", "in", "b", at(105.0)), ("S", "in", "c", at(105.1)),
+         ("S", "out", "d", at(100.0)), ("T", "in", "a", at(100.0))], "site_id string, gate_id string, camera_id string, frame_timestamp timestamp_ntz")
+    got = {r.camera_id: r.timestamp for r in evidence.companion_frames(events, frames).collect()}
+    assert got == {"a": at(98.0), "b": at(105.0)}
+
+
+def test_the_last_incoming_camera_counts(spark):
+    current = spark.createDataFrame([("S", "c", "old", dt.datetime(2026, 1, 1), dt.datetime(2026, 1, 1))],
+                                    "site_id string, id string, name string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    incoming = spark.createDataFrame([("S", "c", "z", 1), ("S", "c", "a", 2)], "site_id string, id string, name string, n int")
+    row = tables.upsert_cameras(current, incoming, "2026-02-01 00:00:00", "n").first()
+    assert row.name == "a" and row.created_at == dt.datetime(2026, 1, 1)
