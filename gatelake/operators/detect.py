@@ -148,6 +148,15 @@ def sample_min_spacing(rows: DataFrame, keys: list[str], interval_seconds: float
     return chosen.select(*rows.columns)
 
 
+def sample_inference_rate(frames: DataFrame, cameras: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
+    """The frames that each source passes to the detector: at most its camera's ``inference_fps``, the common rate if that
+    is not set or zero."""
+    rate = F.when(F.col("inference_fps") > 0, F.col("inference_fps")).otherwise(F.lit(p.inference_fps))
+    timed = enrich_with_camera(frames, cameras, ["inference_fps"]).withColumn("_us", to_us(F.col("frame_timestamp")))
+    chosen = mark_chain(timed, SOURCE, ["_us", "sequence"], F.round(F.lit(1_000_000) / rate)).where("taken")
+    return chosen.select(*frames.columns)
+
+
 def ocr_candidates(directed: DataFrame, p: GateParams = DEFAULTS) -> DataFrame:
     """Detections to read, of tracks over the considered frames: stable tracks of readable classes whose direction is settled, sampled in time."""
     ready = directed.where(

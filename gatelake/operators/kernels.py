@@ -44,15 +44,16 @@ def _groups(batches, by):
         yield open_key, held
 
 
-def chain_map(by, ts, step_us, width_us):
+def chain_map(by, ts, block_steps):
     """For every block of a key: where a chain that enters at one of its first rows leaves it.
 
-    ``by`` ends with the block. A chain enters at a row of the first ``step_us`` of the block or at the first one behind;
-    the last row it takes in the block follows from each by jumps of ``step_us``. A block is bounded in time and has every
-    time once.
+    ``by`` ends with the step of the key and the block, which is ``block_steps`` steps wide. A chain enters at a row of the
+    first step of the block or at the first one behind; the last row it takes in the block follows from each by jumps of a
+    step. A block is bounded in time and has every time once.
     """
     def run(batches):
         for key, held in _groups(batches, by):
+            step_us, width_us = key[-2], key[-2] * block_steps
             times = np.array([batch.column(batch.schema.get_field_index(ts))[at].as_py() for batch, at in held], np.int64)
             jump = np.minimum(np.searchsorted(times, times + step_us), len(times))
             first = min(int(np.searchsorted(times, key[-1] * width_us + step_us)) + 1, len(times))
@@ -71,8 +72,11 @@ def chain_map(by, ts, step_us, width_us):
     return run
 
 
-def chain_starts(by, step_us):
-    """Append ``start_us``, the last taken row before each block, from the maps of a key's blocks in order."""
+def chain_starts(by):
+    """Append ``start_us``, the last taken row before each block, from the maps of a key's blocks in order.
+
+    ``by`` ends with the step of the key.
+    """
     def run(batches):
         group, anchor = None, None
         for batch in batches:
@@ -81,7 +85,7 @@ def chain_starts(by, step_us):
                 if key != group:
                     group, anchor = key, None
                 starts.append(anchor)
-                at = 0 if anchor is None else bisect.bisect_left(entries, anchor + step_us)
+                at = 0 if anchor is None else bisect.bisect_left(entries, anchor + key[-1])
                 if at < len(entries):
                     anchor = exits[at]
             yield _append(batch, start_us=pa.array(starts, pa.int64()))
@@ -89,8 +93,11 @@ def chain_starts(by, step_us):
     return run
 
 
-def chain_fold(by, ts, step_us):
-    """Mark rows that lie at least ``step_us`` after the last marked row of their group, or after its ``start_us``."""
+def chain_fold(by, ts):
+    """Mark rows that lie at least a step after the last marked row of their group, or after its ``start_us``.
+
+    ``by`` ends with the step of the key and the block.
+    """
 
     def run(batches):
         group, anchor = None, None
@@ -101,7 +108,7 @@ def chain_fold(by, ts, step_us):
             for key, us, start in zip(_keys(batch, by), *_columns(batch, [ts, "start_us"])):
                 if key != group:
                     group, anchor = key, start
-                fresh = anchor is None or us - anchor >= step_us
+                fresh = anchor is None or us - anchor >= key[-2]
                 if fresh:
                     anchor = us
                 taken.append(fresh)

@@ -118,22 +118,23 @@ def fold_blocks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], widt
     return fold_rows(entered, by, order, fold(by), added).drop("_block", "start")
 
 
-def mark_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], step_us: int, block_steps: int = 1024) -> DataFrame:
+def mark_chain(df: DataFrame, keys: Sequence[str], order: Sequence[str], step_us: int | Column, block_steps: int = 1024) -> DataFrame:
     """Append ``taken`` and ``anchor_us``: greedy choice of rows at least ``step_us`` apart per key.
 
-    Time is cut into blocks of ``block_steps`` steps. A block is first reduced to a map from the row at which a chain may
-    enter it to the last row it takes there; the maps of a key, one row a block, are gone through in order; then every
-    block is marked from where the chain enters it. So no task holds or walks more than a block, pause or not.
+    The step may be a column that is the same for all rows of a key. Time is cut into blocks of ``block_steps`` steps. A
+    block is first reduced to a map from the row at which a chain may enter it to the last row it takes there; the maps of
+    a key, one row a block, are gone through in order; then every block is marked from where the chain enters it. So no
+    task holds or walks more than a block, pause or not.
     """
-    width = step_us * block_steps
-    rows = df.withColumn("_block", bucket(F.col(order[0]), width))
-    by = [*keys, "_block"]
+    step = step_us if isinstance(step_us, Column) else F.lit(step_us)
+    rows = df.withColumn("_step", step.cast("bigint")).withColumn(
+        "_block", F.floor(F.col(order[0]) / (F.col("_step") * block_steps)).cast("bigint"))
+    by = [*keys, "_step", "_block"]
     times = rows.select(*by, order[0]).distinct()
     spans = T.StructType([*times.select(*by).schema.fields, *T.StructType.fromDDL("entries array<bigint>, exits array<bigint>").fields])
-    maps = times.repartition(*by).sortWithinPartitions(*by, order[0]).mapInArrow(
-        kernels.chain_map(by, order[0], step_us, width), spans)
-    entered = fold_rows(maps, keys, ["_block"], kernels.chain_starts(keys, step_us), "start_us bigint").select(*by, "start_us")
-    folded = fold_rows(join_null_safe(rows, entered, by), by, order, kernels.chain_fold(by, order[0], step_us),
+    maps = times.repartition(*by).sortWithinPartitions(*by, order[0]).mapInArrow(kernels.chain_map(by, order[0], block_steps), spans)
+    entered = fold_rows(maps, by[:-1], ["_block"], kernels.chain_starts(by[:-1]), "start_us bigint").select(*by, "start_us")
+    folded = fold_rows(join_null_safe(rows, entered, by), by, order, kernels.chain_fold(by, order[0]),
                        "taken boolean, anchor_us bigint")
     return folded.select(*df.columns, "taken", "anchor_us")
 

@@ -218,6 +218,12 @@ def sample_min_spacing(s, sf):
     return detect.sample_min_spacing(frames, detect.SOURCE, 1 / 3).select(*detect.SOURCE, "sequence")
 
 
+@query
+def sample_inference_rate(s, sf):
+    frames = detect.frames_of(d.raw_detections(s, sf))
+    return detect.sample_inference_rate(frames, d.cameras(s)).select(*detect.SOURCE, "sequence")
+
+
 @query
 def ocr_candidates(s, sf):
     directed = materialize(_directed(s, sf), "directed")

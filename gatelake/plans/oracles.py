@@ -62,7 +62,7 @@ def iso_z(ts: str) -> str:
             f" ELSE strftime({ts}, '%Y-%m-%dT%H:%M:%S.%fZ') END)")
 
 
-def chain(source: str, keys: list[str], ts: str, order: str, step_us: int) -> tuple[str, str]:
+def chain(source: str, keys: list[str], ts: str, order: str, step_us: int | str) -> tuple[str, str]:
     """Bodies of the numbered rows and of the recursive walk that keeps the last taken time per key."""
     key_list = ", ".join(keys)
     rows = f"SELECT *, row_number() OVER (PARTITION BY {key_list} ORDER BY {order}) AS rn FROM {source}"
@@ -387,6 +387,10 @@ STEPS["w_cand_rows"], _walk = chain(
 STEPS["w_cand_walk"] = _walk.format(rows="w_cand_rows", walk="w_cand_walk")
 STEPS["w_rate_rows"], _walk = chain("w_frames", ["site_id", "camera_id", "source_id"], "us", "us, sequence", 333_333)
 STEPS["w_rate_walk"] = _walk.format(rows="w_rate_rows", walk="w_rate_walk")
+STEPS["w_paced"] = """
+  SELECT *, CASE right(camera_id, 1) WHEN '1' THEN 500000 WHEN '2' THEN 250000 ELSE 333333 END AS step FROM w_frames"""
+STEPS["w_pace_rows"], _walk = chain("w_paced", ["site_id", "camera_id", "source_id"], "us", "us, sequence", "r.step")
+STEPS["w_pace_walk"] = _walk.format(rows="w_pace_rows", walk="w_pace_walk")
 
 STEPS["w_jobs"] = """
   SELECT site_id, track_id * 100 + sequence AS id, origin_key AS origin, sequence, v.*, 2000 + arrival % 1000 AS payload_bytes,
@@ -441,7 +445,8 @@ STEPS["w_schedule"] = """
                     WHEN o_orderkey % 7 > 0 THEN 'RETRY' ELSE 'QUEUED' END AS delivery_state
         FROM orders)"""
 
-RECURSIVE = ("w_walk", "w_visit_walk", "w_track_walk", "w_track_walk_considered", "w_cand_walk", "w_rate_walk")
+RECURSIVE = ("w_walk", "w_visit_walk", "w_track_walk", "w_track_walk_considered", "w_cand_walk", "w_rate_walk",
+             "w_pace_walk")
 
 
 def quantiles(source: str, key: str, seconds: str) -> str:
@@ -633,6 +638,7 @@ Q["track_objects"] = """
 Q["line_crossing_direction"] = """
   SELECT site_id, camera_id, source_id, sequence, det_index, track_id, track_direction FROM w_directed"""
 Q["sample_min_spacing"] = "SELECT site_id, camera_id, source_id, sequence FROM w_rate_walk WHERE taken"
+Q["sample_inference_rate"] = "SELECT site_id, camera_id, source_id, sequence FROM w_pace_walk WHERE taken"
 Q["ocr_candidates"] = """
   SELECT site_id, camera_id, source_id, track_id, sequence, det_index, hits, track_direction FROM (
     SELECT *, row_number() OVER (PARTITION BY site_id, camera_id, source_id, track_id ORDER BY us, sequence, det_index) AS n

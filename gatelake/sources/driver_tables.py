@@ -102,7 +102,8 @@ def cameras(spark: SparkSession) -> DataFrame:
         "if(cam < 4, 'ENTRY', 'EXIT') as direction",
         "array(0D, if(cam % 2 = 1, 0.5D, 0D), 1D, 1D) as ocr_roi",
         "if(cam >= 4, 'x', cast(null as string)) as line_axis", "0.5D as line_position", "0.05D as line_deadband",
-        "if(cam = 7, 'ENTRY', 'EXIT') as positive_crossing", "cam % 3 as frame_skip")
+        "if(cam = 7, 'ENTRY', 'EXIT') as positive_crossing", "cam % 3 as frame_skip",
+        "case cam % 4 when 0 then 2D when 1 then 4D when 2 then 0D end as inference_fps")
 
 
 def camera_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
