@@ -201,6 +201,6 @@ def _derived(application: str, sf_dir: str) -> list:
 def kept_store(spark: SparkSession, sf_dir: str, build) -> str:
     """Path of a store that ``build`` writes once per application and input; later queries only read it."""
     paths = _derived(spark.sparkContext.applicationId, sf_dir)
-    if not paths:
-        paths.append(build())
+    if not paths or _published(spark, paths[0]) == 0:
+        paths[:] = [build()]
     return paths[0]

@@ -28,11 +28,13 @@ EVENT_KEY = ["site_id", "id"]
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
-    """A session of its own for streams, with the state store that timers need; the caller's settings stay as they are."""
+    """A session of its own for streams, with the state store that timers need; the caller's settings stay as they are.
+
+    State is kept in as many parts as the cluster has cores, eight at least, if the session does not ask for fewer.
+    """
     own = spark.newSession()
-    for name in ("spark.sql.shuffle.partitions", "spark.checkpoint.dir"):
-        if (value := spark.conf.get(name, None)) is not None and value != own.conf.get(name, None):
-            own.conf.set(name, value)
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.shuffle.partitions", str(parts))
     own.conf.set("spark.sql.session.timeZone", "UTC")
     own.conf.set("spark.sql.streaming.stateStore.providerClass",
                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
