@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by a batched Viterbi search in numpy.
 
-A text is cut before every space, and around characters that occur in no piece; no piece reaches over such a cut.
-Distinct segments of equal length advance together, one end position at a time: the hash of every substring that ends
-there probes the sorted keys of the pieces, and the best admissible candidate of every segment is stored with its start
-as backpointer.
+A text is cut between two characters that are neighbours in no piece: before every run of spaces, and often in scripts without
+spaces; no piece reaches over such a cut. Hashes of all substrings of segments of equal length probe the sorted keys of
+the pieces at once. Then the distinct segments advance together, one end position at a time, and the best admissible
+candidate of every segment is stored with its start as backpointer.
 
 For a unigram model every piece is admissible after every other and the largest sum of scores wins. In a BPE model the
 scores only order the merges, so the largest sum is not its segmentation. There a piece is admissible after the piece
@@ -53,7 +53,7 @@ class Pieces:
     byte_ids: np.ndarray
     unknown_id: int
     byte_fallback: bool
-    alone: np.ndarray
+    beside: np.ndarray
     out_bytes: np.ndarray
     out_offsets: np.ndarray
     dummy_prefix: bool
@@ -146,8 +146,7 @@ def load(model_path: str) -> Pieces:
             spelled.append(p.piece.replace(_SPACE, " ").encode())
         else:
             spelled.append(b"")
-    used = {c for _, text, _ in entries for c in text}
-    alone = np.array([b < 128 and chr(b) not in used and chr(b) != " " for b in range(256)])
+    beside = {(ord(a) << 21) | ord(b) for _, text, _ in entries for a, b in zip(text, text[1:])}
     return Pieces(
         bpe=bpe, keys=keys[sorting], key_piece=found[sorting].astype(np.int32),
         ids=np.array([i for i, _, _ in entries], np.int32), score=np.array([s for _, _, s in entries]),
@@ -155,7 +154,7 @@ def load(model_path: str) -> Pieces:
         pair_keys=np.array([k for k, _ in pairs], np.int64), pair_rank=np.array([r for _, r in pairs], np.int32),
         longest=max(map(len, codes), default=1), byte_ids=byte_ids,
         unknown_id=next((i for i, p in enumerate(model.pieces) if p.type == kinds["unknown"]), 0),
-        byte_fallback=bool(train.byte_fallback), alone=alone,
+        byte_fallback=bool(train.byte_fallback), beside=np.array(sorted(beside), np.int64),
         out_bytes=np.frombuffer(b"".join(spelled), np.uint8),
         out_offsets=np.concatenate(([0], np.cumsum([len(s) for s in spelled]))).astype(np.int64),
         dummy_prefix=bool(norm.add_dummy_prefix))
@@ -178,6 +177,10 @@ class Encoder:
         self.store = np.zeros(0, np.int32)
         self.memo_key = np.full(_MEMO, -1, np.int64)
         self.memo_value = np.zeros(_MEMO, bool)
+        self.ascii_beside = np.zeros(1 << 14, bool)
+        before, after = pieces.beside >> 21, pieces.beside & 0x1FFFFF
+        plain = (before < 128) & (after < 128)
+        self.ascii_beside[(before[plain] << 7) | after[plain]] = True
         self.gate = np.zeros(1 << 18, bool)
         self.gate[(pieces.keys >> np.uint64(40)).astype(np.int64) & (len(self.gate) - 1)] = True
 
@@ -225,37 +228,54 @@ class Encoder:
             live = live[go]
         return out
 
-    def _search(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces of segments of equal length: (segment, end position, piece or unknown) along the best paths."""
-        p, (m, length) = self.p, codes.shape
+    def _candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, segment and piece of every substring that is a piece (or one character), by end, segment and size.
+
+        Last come the borders between the ends. One probe a size serves all positions of all segments.
+        """
+        m, length = codes.shape
         up, down = words._power_arrays(length + 1)
         total = np.zeros((length + 1, m), np.uint64)
         np.cumsum(((codes + 1).astype(np.uint64) * up[:length]).T, axis=0, out=total[1:])
+        places, pieces = [], []
+        for size in range(1, min(self.p.longest, length) + 1):
+            piece = self._probe(((total[size:] - total[:-size]) * down[:length - size + 1, None]).ravel(), size)
+            if size == 1:
+                piece[piece < 0] = _UNKNOWN
+            at = np.flatnonzero(piece != -1)
+            places.append(((at + (size - 1) * m) << 8) | size)
+            pieces.append(piece[at])
+        place = np.concatenate(places)
+        order = np.argsort(place)
+        place = place[order]
+        end, segment = np.divmod(place >> 8, m)
+        return (end + 1 - (place & 255)), segment, np.concatenate(pieces)[order], np.searchsorted(end, np.arange(length + 1))
+
+    def _search(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of segments of equal length: (segment, end position, piece or unknown) along the best paths."""
+        p, (m, length) = self.p, codes.shape
+        begins, segments, found, cuts = self._candidates(codes)
         last = np.full((length + 1, m), -1, np.int32)
         start = np.zeros((length + 1, m), np.int32)
         best = np.full((length + 1, m), -np.inf)
         best[0] = 0
         floor = (p.score.min() if len(p.score) else 0.0) - 10
         for end in range(1, length + 1):
-            for size in range(1, min(p.longest, end) + 1):
-                begin = end - size
-                piece = self._probe((total[end] - total[begin]) * down[begin], size)
-                if size == 1:
-                    piece[piece < 0] = _UNKNOWN
-                at = np.flatnonzero((piece != -1) & (best[begin] > -np.inf))
-                if not len(at):
-                    continue
-                own, before = piece[at], last[begin, at]
-                if p.bpe:
-                    both = (own >= 0) & (before >= 0)
-                    fits = np.ones(len(at), bool)
-                    fits[both] = self._whole(before[both], own[both])
-                    value = np.where(fits, 0.0, -np.inf)
-                else:
-                    value = best[begin, at] + np.where(own >= 0, p.score[np.maximum(own, 0)], floor)
-                better = value > best[end, at]
-                at = at[better]
-                best[end, at], last[end, at], start[end, at] = value[better], own[better], begin
+            some = slice(cuts[end - 1], cuts[end])
+            begin, at, own = begins[some], segments[some], found[some]
+            value = best[begin, at]
+            if p.bpe:
+                before = last[begin, at]
+                both = np.flatnonzero((own >= 0) & (before >= 0) & (value > -np.inf))
+                value[both[~self._whole(before[both], own[both])]] = -np.inf
+            else:
+                value += np.where(own >= 0, p.score[np.maximum(own, 0)], floor)
+            # Candidates stand by segment, shorter pieces first; the first of the largest wins.
+            heads = np.flatnonzero(np.diff(at, prepend=-1))
+            largest = np.maximum.reduceat(value, heads)
+            won = np.flatnonzero((value == np.repeat(largest, np.diff(heads, append=len(at)))) & (value > -np.inf))
+            won = won[np.diff(at[won], prepend=-1) != 0]
+            best[end, at[won]], last[end, at[won]], start[end, at[won]] = value[won], own[won], begin[won]
         segment, position = np.arange(m), np.full(m, length)
         path: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(segment):
@@ -276,7 +296,7 @@ class Encoder:
         parts = []
         for size in np.unique(length):
             of = np.flatnonzero(length == size)
-            step = max(1, (1 << 20) // int(size + 1))
+            step = max(1, (1 << 18) // int(size + 1))
             for i in range(0, len(of), step):
                 some = of[i:i + step]
                 block = codes[char_edge[some][:, None] + np.arange(size)]
@@ -298,13 +318,31 @@ class Encoder:
             ids = wide
         return ids, np.bincount(segment, per, len(starts)).astype(np.int64)
 
+    def _cuts(self, data: np.ndarray) -> np.ndarray:
+        """Whether a byte starts a character that follows the one before it in no piece."""
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        if len(lead) == len(data):
+            codes = data.astype(np.int64)
+        else:
+            codes = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"),
+                                  np.uint32).astype(np.int64)
+        codes[codes == 0x20] = ord(_SPACE)
+        first = np.zeros(len(data), bool)
+        first[lead[0]] = True
+        plain = (codes[:-1] < 128) & (codes[1:] < 128)
+        cut = ~self.ascii_beside[np.where(plain, (codes[:-1] << 7) | codes[1:], 0)]
+        other = np.flatnonzero(~plain)
+        pairs = (codes[other] << 21) | codes[other + 1]
+        at = np.minimum(np.searchsorted(self.p.beside, pairs), max(len(self.p.beside) - 1, 0))
+        cut[other] = self.p.beside[at] != pairs if len(self.p.beside) else True
+        first[lead[1:][cut]] = True
+        return first
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the row offsets into them. Rows start with the prefix space already."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        space, alone = data == 0x20, self.p.alone[data]
-        first = alone.copy()
-        first[1:] |= (space[1:] & ~space[:-1]) | alone[:-1]
+        first = self._cuts(data)
         first[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(data))

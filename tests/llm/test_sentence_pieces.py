@@ -70,3 +70,21 @@ def test_odd_rows(spark, odd_docs, library):
     lists = spark.createDataFrame([(1, None), (2, []), (3, [1, 2]), (None, [None, 306])], "doc_id long, token_ids array<int>")
     assert {(r.doc_id, r.text) for r in sentence_pieces.decode(lists).collect()} == {
         (1, ""), (2, ""), (3, ""), (None, "⁇ " + library.id_to_piece(306).replace("▁", " "))}
+
+
+def test_long_texts_without_blanks(library):
+    rng = random.Random(9)
+    encoder = sentence_pieces.Encoder(sentence_pieces.load(sentence_pieces.MODEL))
+    for signs in (range(0x4E00, 0x9FA0), range(ord("a"), ord("z") + 1), (0x61,), (0x3042, 0x7684, 0x61, 0x1F600)):
+        text = " " + "".join(chr(rng.choice(signs)) for _ in range(8000))
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids, cuts = encoder.encode(data, np.array([0, len(data)]))
+        assert ids.tolist() == library.encode(text[1:]) and cuts.tolist() == [0, len(ids)]
+
+
+def test_cuts_of_unseen_neighbours():
+    pieces = sentence_pieces.load(sentence_pieces.MODEL)
+    encoder = sentence_pieces.Encoder(pieces)
+    data = np.frombuffer("the 漢漢漢".encode(), np.uint8)
+    cuts = np.flatnonzero(encoder._cuts(data)).tolist()
+    assert 0 in cuts and 3 in cuts and not {1, 2} & set(cuts) and {7, 10} <= set(cuts)
