@@ -1,11 +1,13 @@
 """Removal of globally repeated multi-line passages by content-defined chunks of lines.
 
-A rolling hash over the hashes of neighbouring lines decides where a chunk of lines ends, so the cuts inside a repeated
-passage do not depend on what stands before it. Several independent cut rules run side by side. A passage of few lines
-may still be joined to its surroundings by all of them, so anchors that do not depend on any surroundings are added: from
-every line on, and up to every line, the fewest lines (two at least) that have ``min_bytes``. Each line of a repeated
-passage of two lines and ``min_bytes`` or more is in an anchor that lies inside the passage. An unwrapped paragraph (a
-line with ``long_line`` blanks or more) is several lines on the page, and so is a chunk of its own under every rule.
+A rolling hash over the hashes of the last lines says of every line whether it opens a chunk, closes one or does neither.
+Rules with a window of one line cut by the line alone, so whatever stands around a passage, its inner chunks are the same.
+Rules differ in how rare their borders are, so short lines have long chunks as well; each repeated chunk is a seed. A seed
+is compared with its first occurrence byte by byte and grown line by line to both sides as long as the two places agree,
+so passages go whole although their first and last lines may be in no chunk of their own. Lines that go round with a
+short period look alike to any rule, so there every shortest stretch of two lines and ``min_bytes`` is a chunk. An
+unwrapped paragraph (a line with ``long_line`` blanks or more) is several lines on the page, and so is a chunk of its own
+under every rule. A passage of hardly more than ``min_bytes`` in many tiny lines may be missed: no chunk need lie inside.
 """
 
 from __future__ import annotations
@@ -14,12 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelake.llm import words
-from gatelake.llm.common import bounded_broadcast, keep, small_batches
+from gatelake.llm.common import bounded_broadcast, keep, small_batches, small_table
 
+#: (rarity of openers and of closers, lines the rolling hash covers, number of such rules).
+RULES = ((2, 1, 20), (8, 1, 4), (32, 1, 4), (4, 2, 2))
+#: Numbers of lines after which lines may go round without a border of their own.
+PERIODS = (1, 2, 3, 4)
 _CHUNK = "doc long, first int, n int, size int, hash long"
 
 
@@ -32,42 +38,57 @@ def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.concatenate(([0], np.cumsum(per_row)))
 
 
-def _anchors(starts, ends, row_first, min_bytes: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last line of the shortest spans of two lines and ``min_bytes`` from each line on, and up to each line."""
-    line = np.arange(len(starts))
-    row = np.repeat(np.arange(len(row_first) - 1), np.diff(row_first))
+def _rolling(hashes: np.ndarray, within: np.ndarray, window: int) -> np.ndarray:
+    """Hash of the last ``window`` lines of the same row; ``within`` numbers the lines of a row."""
+    rolling = np.zeros(len(hashes), np.uint64)
+    for back in range(min(window, len(hashes))):
+        own = within[back:] >= back
+        rolling[back:][own] += (hashes[:len(hashes) - back] * np.uint64(pow(int(words._STEP), back + 1, 1 << 64)))[own]
+    return rolling
+
+
+def _stretches(hashes, starts, ends, row_last, min_bytes: int, period: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the shortest chunks from every line on where lines go round with a period, twice at least."""
+    line = np.arange(len(hashes))
+    stops = np.append(period + np.flatnonzero((hashes[period:] != hashes[:-period]) | (row_last[period:] != row_last[:-period])),
+                      len(hashes))
+    run_end = stops[np.minimum(np.searchsorted(stops, line + period), len(stops) - 1)] - 1
     last = np.maximum(np.searchsorted(ends, starts + min_bytes), line + 1)
-    first = np.minimum(np.searchsorted(starts, ends - min_bytes, "right") - 1, line - 1)
-    on, up_to = last < row_first[row + 1], first >= row_first[row]
-    return np.concatenate((line[on], first[up_to])), np.concatenate((last[on], line[up_to]))
+    inside = np.flatnonzero((last <= run_end) & (run_end >= line + 2 * period - 1))
+    return inside, last[inside]
 
 
-def _chunks(data, offsets, rules: int, every: int, window: int, long_line: int, min_bytes: int):
-    """(row, first line, lines, bytes, hash) of the chunks of all rules and the anchors, each once."""
+def _chunks(data, offsets, rules: tuple, long_line: int, min_bytes: int):
+    """(row, first line, lines, bytes, hash) of the chunks of all rules, each once."""
     starts, ends, row_first = _lines(data, offsets)
     count = len(starts)
     hashes = words.span_hashes(data, starts, ends)
     blanks = np.flatnonzero(words.SPACES[data])
     is_long = np.searchsorted(blanks, ends) - np.searchsorted(blanks, starts) >= long_line
-    rolling = np.zeros(count, np.uint64)
     within = np.arange(count) - np.repeat(row_first[:-1], np.diff(row_first))
-    for back in range(min(window, count)):
-        # Lines of the text before, which happens to be in the same block, are not part of the window.
-        own = within[back:] >= back
-        rolling[back:][own] += (hashes[:count - back] * np.uint64(pow(int(words._STEP), back + 1, 1 << 64)))[own]
     forced = is_long.copy()
     forced[:-1] |= is_long[1:]
     forced[row_first[1:] - 1] = True
-    spans = []
-    for rule in range(rules):
-        last = np.flatnonzero(forced | (words.mix(rolling + np.uint64((rule + 1) * int(words._BASE) % (1 << 64))) % np.uint64(every) == 0))
-        spans.append(np.concatenate(([0], last[:-1] + 1)) * np.int64(count) + last)
-    first, last = _anchors(starts, ends, row_first, min_bytes)
-    spans.append(first * np.int64(count) + last)
+    spans, salt = [], 0
+    for every, window, times in rules:
+        rolling = _rolling(hashes, within, window)
+        for _ in range(times):
+            salt += 1
+            kind = words.mix(rolling + np.uint64(salt * int(words._BASE) % (1 << 64))) % np.uint64(every)
+            border = forced | (kind == 0)
+            border[:-1] |= kind[1:] == 1
+            last = np.flatnonzero(border)
+            first = np.concatenate(([0], last[:-1] + 1))
+            some = (last > first) | is_long[first]
+            spans.append(first[some] * np.int64(count) + last[some])
+    row_last = np.repeat(row_first[1:], np.diff(row_first))
+    for period in PERIODS:
+        first, last = _stretches(hashes, starts, ends, row_last, min_bytes, period)
+        spans.append(first * np.int64(count) + last)
     spans = np.unique(np.concatenate(spans))
     first, last = spans // count, spans % count
     size = ends[last] - starts[first]
-    fit = ((last > first) | is_long[first]) & (size >= min_bytes)
+    fit = size >= min_bytes
     first, last, size = first[fit], last[fit], size[fit]
     up, down = words._power_arrays(count + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:-1])))
@@ -76,7 +97,7 @@ def _chunks(data, offsets, rules: int, every: int, window: int, long_line: int,
     return row, first - row_first[row], last - first + 1, size, chunk
 
 
-def _chunk_rows(docs: DataFrame, **how: int) -> DataFrame:
+def _chunk_rows(docs: DataFrame, **how) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, offsets in words.text_blocks(batch.column(1)):
@@ -88,32 +109,68 @@ def _chunk_rows(docs: DataFrame, **how: int) -> DataFrame:
     return small_batches(docs).mapInArrow(run, _CHUNK)
 
 
-def _slices(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(doc, first, n, bytes) of the asked line ranges of documents."""
+def _slices(docs: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
+    """(doc, first, n, bytes, before, after) of the asked line ranges; up to ``reach`` lines on each side, nearest first."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, firsts, counts, parts = [], [], [], []
+                ids, firsts, counts, parts, before, after = [], [], [], [], [], []
                 for i, (text, ranges) in enumerate(zip(part.column(1), part.column(2), strict=True)):
                     lines = (text.as_py() or "").encode().split(b"\n")
                     for r in ranges.as_py():
-                        if r["first"] + r["n"] <= len(lines):
+                        first, end = r["first"], r["first"] + r["n"]
+                        if end <= len(lines):
                             ids.append(i)
-                            firsts.append(r["first"])
+                            firsts.append(first)
                             counts.append(r["n"])
-                            parts.append(b"\n".join(lines[r["first"]:r["first"] + r["n"]]))
+                            parts.append(b"\n".join(lines[first:end]))
+                            before.append(lines[max(0, first - reach):first][::-1])
+                            after.append(lines[end:end + reach])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(ids, pa.int32())), pa.array(firsts, pa.int32()),
-                     pa.array(counts, pa.int32()), pa.array(parts, pa.binary())], names=["doc", "first", "n", "bytes"])
+                    [part.column(0).take(pa.array(ids, pa.int32())), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32()),
+                     pa.array(parts, pa.binary()), pa.array(before, pa.list_(pa.binary())), pa.array(after, pa.list_(pa.binary()))],
+                    names=["doc", "first", "n", "bytes", "before", "after"])
     lists = asked.groupBy("doc").agg(F.collect_set(F.struct("first", "n")).alias("ranges"))
     lists, _ = keep(lists, "asked-lines")
-    return docs.join(bounded_broadcast(lists, wide=True), "doc").select("doc", "text", "ranges").mapInArrow(
-        run, "doc long, first int, n int, bytes binary")
+    return docs.join(small_table(lists), "doc").select("doc", "text", "ranges").mapInArrow(
+        run, "doc long, first int, n int, bytes binary, before array<binary>, after array<binary>")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: int = 6, every: int = 2,
-                      window: int = 2, long_line: int = 49, min_bytes: int = 64) -> DataFrame:
+def _alike(a: str, b: str) -> Column:
+    """How many lines two lists have in common from their start."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    stop = F.array_position(same, False).cast("int")
+    return F.when(stop == 0, F.size(same)).otherwise(stop - 1)
+
+
+def _grown(docs: DataFrame, ranges: DataFrame, reach: int) -> DataFrame:
+    """(doc, first, n) of ranges (doc, first, n, at, at_first) with equal bytes, grown as far as both places agree.
+
+    Ranges that still agree at the end of what was sent go on with eight times as many lines, until none is left.
+    """
+    done = None
+    while True:
+        asked = ranges.select("doc", "first", "n").union(ranges.select("at", "at_first", "n")).distinct()
+        slices, _ = keep(_slices(docs, asked, reach), "slices")
+        earlier = slices.select(F.col("doc").alias("at"), F.col("first").alias("at_first"), "n", F.col("bytes").alias("held"),
+                                F.col("before").alias("held_before"), F.col("after").alias("held_after"))
+        equal = (ranges.join(slices, ["doc", "first", "n"]).join(earlier, ["at", "at_first", "n"]).where("bytes = held")
+                 .withColumn("up", _alike("before", "held_before")).withColumn("down", _alike("after", "held_after")))
+        grown, _ = keep(equal.select(
+            "doc", (F.col("first") - F.col("up")).alias("first"), (F.col("n") + F.col("up") + F.col("down")).alias("n"), "at",
+            (F.col("at_first") - F.col("up")).alias("at_first"),
+            ((F.col("up") == reach) | (F.col("down") == reach)).alias("goes_on")).distinct(), "grown-ranges")
+        closed = grown.where("not goes_on").select("doc", "first", "n")
+        done = closed if done is None else done.union(closed)
+        ranges = grown.where("goes_on").drop("goes_on")
+        if ranges.isEmpty():
+            return done.distinct()
+        reach *= 8
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                      rules: tuple[tuple[int, int, int], ...] = RULES, long_line: int = 49, min_bytes: int = 64) -> DataFrame:
     """(doc, first, n): ranges of lines, counted from 0, whose bytes stand earlier in the corpus.
 
     Earlier is by (id, line), so of every line that is cut one copy stays. A chunk counts if it has two lines or is one
@@ -121,8 +178,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     named = docs.where("doc is not null")
-    how = {"rules": rules, "every": every, "window": window, "long_line": long_line, "min_bytes": min_bytes}
-    chunks = _chunk_rows(named, **how)
+    chunks = _chunk_rows(named, rules=rules, long_line=long_line, min_bytes=min_bytes)
     place = F.struct("doc", "first")
     groups = (chunks.groupBy("hash", "size").agg(F.min(place).alias("low"), F.max(place).alias("high"))
               .where("low <> high").select("hash", "size", "low"))
@@ -138,14 +194,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ranges = islands.groupBy("doc", "at", "delta", "island").agg(F.min("first").alias("first"), F.max("end").alias("end"))
     ranges, _ = keep(ranges.select("doc", "first", (F.col("end") - F.col("first")).alias("n"), "at",
                                    (F.col("first") + F.col("delta")).alias("at_first")), "repeated-ranges")
-    asked = ranges.select("doc", "first", "n").union(ranges.select("at", "at_first", "n")).distinct()
-    slices, _ = keep(_slices(named, asked), "slices")
-    earlier = slices.select(F.col("doc").alias("at"), F.col("first").alias("at_first"), "n", F.col("bytes").alias("held"))
-    return (ranges.join(slices, ["doc", "first", "n"]).join(earlier, ["at", "at_first", "n"])
-            .where("bytes = held").select("doc", "first", "n").distinct())
+    return _grown(named, ranges, reach=2)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with repeated passages cut out of the text, and ``cut_lines``: the removed lines, counted from 0.
 
     Texts without a repeat stay as they are, byte for byte; ``cut_lines`` is then empty. Null texts stay null, and rows
@@ -159,7 +211,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "ranges", lambda r: F.sequence(r["first"], r["first"] + r["n"] - 1))))).alias("_cut")), "cut-lines")
     # The rows travel as one struct, so no column name of theirs can meet one of ours.
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
-    joined = rows.join(bounded_broadcast(cuts, wide=True), F.col("_row")[id_col].cast("long") == F.col("_cut_doc"), "left")
+    joined = rows.join(small_table(cuts), F.col("_row")[id_col].cast("long") == F.col("_cut_doc"), "left")
     lines = F.split(F.col("_row")[text_col], "\n", -1)
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut"))
     left = F.array_join(F.transform(rest, lambda i: F.element_at(lines, i + 1)), "\n")

@@ -94,7 +94,7 @@ def test_equal_hashes_are_compared_byte_by_byte(spark):
     rows = [(i, "\n".join(x[:40].ljust(40, "z") for x in t.split("\n"))) for i, t in rows]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     ranges = spark.createDataFrame([(0, 0, 4)], "doc long, first int, n int")
-    slices = line_dedup._slices(docs.select(docs.doc_id.alias("doc"), "text"), ranges).collect()
+    slices = line_dedup._slices(docs.select(docs.doc_id.alias("doc"), "text"), ranges, 2).collect()
     assert [bytes(r.bytes).decode() for r in slices] == [rows[0][1]]
 
 
@@ -105,7 +105,7 @@ def test_neighbours_in_a_block_do_not_matter():
     def chunks(some):
         out = []
         for _, _, data, offsets in words.text_blocks(pa.array(some)):
-            row, *rest = line_dedup._chunks(data, offsets, 6, 2, 2, 49, 64)
+            row, *rest = line_dedup._chunks(data, offsets, line_dedup.RULES, 49, 64)
             out += [(some[r], *map(int, x)) for r, *x in zip(row, *rest, strict=True)]
         return sorted(out)
     assert chunks(texts) == sorted(c for t in texts for c in chunks([t]))
@@ -119,3 +119,33 @@ def test_odd_rows(spark, odd_docs):
     assert by_id[1].text and by_id[2].text == "" and by_id[3].text is None and by_id[12].text == "\x00\r\n\n"
     assert by_id[10].cut_lines == []
     assert line_dedup.remove_repeats(odd_docs.limit(0)).count() == 0
+
+
+def plain_cuts(rows, min_bytes=64, long_line=49):
+    """Lines in a stretch of two lines and ``min_bytes``, or one long line, that stands earlier; by looking at them all."""
+    first, found = {}, set()
+    for doc, text in sorted(rows):
+        lines = text.split("\n")
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                part = "\n".join(lines[i:j + 1])
+                if len(part.encode()) >= min_bytes and (j > i or part.count(" ") >= long_line):
+                    if first.setdefault(part, (doc, i)) != (doc, i):
+                        found |= {(doc, k) for k in range(i, j + 1)}
+    return found
+
+
+def test_cuts_are_those_of_a_plain_search(spark):
+    rng = random.Random(8)
+    pool = [[line(rng, rng.choice((1, 3, 9, 12, 55))) for _ in range(rng.randint(1, 7))] for _ in range(25)]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            parts += rng.choice(pool) if rng.random() < 0.5 else [line(rng) for _ in range(rng.randint(1, 3))]
+            parts += rng.choice(([], [], [""], ["}", ""] * 30, [line(rng)] * 4, ["aa", "bb", "cc"] * 15))
+        rows.append((i, "\n".join(parts)))
+    expected = plain_cuts(rows)
+    got = {(doc, i) for doc, _, _, lines in run(spark, rows) for i in lines}
+    assert got <= expected
+    assert len(expected) > 500 and len(got) >= 0.98 * len(expected), (len(got), len(expected), sorted(expected - got)[:20])
