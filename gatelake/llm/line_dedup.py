@@ -3,8 +3,8 @@
 A rolling hash over the hashes of the last lines says of every line whether it opens a chunk, closes one or does neither.
 Rules with a window of one line cut by the line alone, so whatever stands around a passage, its inner chunks are the same.
 Rules differ in how rare their borders are, so short lines have long chunks as well; each repeated chunk is a seed. A seed
-is compared with its first occurrence byte by byte and grown line by line to both sides as long as the two places agree,
-so passages go whole although their first and last lines may be in no chunk of their own. Lines that go round with a
+is grown line by line to both sides as long as it agrees with its first occurrence, and what has grown is compared byte by
+byte, so passages go whole although their first and last lines may be in no chunk of their own. Lines that go round with a
 short period look alike to any rule, so there every shortest stretch of two lines and ``min_bytes`` is a chunk. An
 unwrapped paragraph (a line with ``long_line`` blanks or more) is several lines on the page, and so is a chunk of its own
 under every rule. A passage of hardly more than ``min_bytes`` in many tiny lines may be missed: no chunk need lie inside.
@@ -12,6 +12,7 @@ under every rule. A passage of hardly more than ``min_bytes`` in many tiny lines
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,8 +110,17 @@ def _chunk_rows(docs: DataFrame, **how) -> DataFrame:
     return small_batches(docs).mapInArrow(run, _CHUNK)
 
 
+def _digest(value: bytes) -> bytes:
+    return hashlib.blake2b(value, digest_size=16).digest()
+
+
 def _slices(docs: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
-    """(doc, first, n, bytes, before, after) of the asked line ranges; up to ``reach`` lines on each side, nearest first."""
+    """(doc, first, n, bytes, before, after) of the asked line ranges; up to ``reach`` lines on each side, nearest first.
+
+    With a reach, digests stand for range and lines, as they only decide how far to grow.
+    """
+    sent = _digest if reach else bytes
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -124,9 +134,9 @@ def _slices(docs: DataFrame, asked: DataFrame, reach: int) -> DataFrame:
                             ids.append(i)
                             firsts.append(first)
                             counts.append(r["n"])
-                            parts.append(b"\n".join(lines[first:end]))
-                            before.append(lines[max(0, first - reach):first][::-1])
-                            after.append(lines[end:end + reach])
+                            parts.append(sent(b"\n".join(lines[first:end])))
+                            before.append([sent(x) for x in lines[max(0, first - reach):first][::-1]])
+                            after.append([sent(x) for x in lines[end:end + reach]])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(ids, pa.int32())), pa.array(firsts, pa.int32()), pa.array(counts, pa.int32()),
                      pa.array(parts, pa.binary()), pa.array(before, pa.list_(pa.binary())), pa.array(after, pa.list_(pa.binary()))],
@@ -144,24 +154,29 @@ def _alike(a: str, b: str) -> Column:
     return F.when(stop == 0, F.size(same)).otherwise(stop - 1)
 
 
+def _both_places(docs: DataFrame, ranges: DataFrame, reach: int) -> DataFrame:
+    """Ranges whose two places are alike, with the lines around both."""
+    asked = ranges.select("doc", "first", "n").union(ranges.select("at", "at_first", "n")).distinct()
+    slices, _ = keep(_slices(docs, asked, reach), "slices")
+    earlier = slices.select(F.col("doc").alias("at"), F.col("first").alias("at_first"), "n", F.col("bytes").alias("held"),
+                            F.col("before").alias("held_before"), F.col("after").alias("held_after"))
+    return ranges.join(slices, ["doc", "first", "n"]).join(earlier, ["at", "at_first", "n"]).where("bytes = held")
+
+
 def _grown(docs: DataFrame, ranges: DataFrame, reach: int) -> DataFrame:
-    """(doc, first, n) of ranges (doc, first, n, at, at_first) with equal bytes, grown as far as both places agree.
+    """Ranges (doc, first, n, at, at_first) grown line by line as far as both places agree.
 
     Ranges that still agree at the end of what was sent go on with eight times as many lines, until none is left.
     """
     done = None
     while True:
-        asked = ranges.select("doc", "first", "n").union(ranges.select("at", "at_first", "n")).distinct()
-        slices, _ = keep(_slices(docs, asked, reach), "slices")
-        earlier = slices.select(F.col("doc").alias("at"), F.col("first").alias("at_first"), "n", F.col("bytes").alias("held"),
-                                F.col("before").alias("held_before"), F.col("after").alias("held_after"))
-        equal = (ranges.join(slices, ["doc", "first", "n"]).join(earlier, ["at", "at_first", "n"]).where("bytes = held")
-                 .withColumn("up", _alike("before", "held_before")).withColumn("down", _alike("after", "held_after")))
-        grown, _ = keep(equal.select(
+        alike = _both_places(docs, ranges, reach).withColumn("up", _alike("before", "held_before")).withColumn(
+            "down", _alike("after", "held_after"))
+        grown, _ = keep(alike.select(
             "doc", (F.col("first") - F.col("up")).alias("first"), (F.col("n") + F.col("up") + F.col("down")).alias("n"), "at",
             (F.col("at_first") - F.col("up")).alias("at_first"),
             ((F.col("up") == reach) | (F.col("down") == reach)).alias("goes_on")).distinct(), "grown-ranges")
-        closed = grown.where("not goes_on").select("doc", "first", "n")
+        closed = grown.where("not goes_on").drop("goes_on")
         done = closed if done is None else done.union(closed)
         ranges = grown.where("goes_on").drop("goes_on")
         if ranges.isEmpty():
@@ -194,7 +209,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ranges = islands.groupBy("doc", "at", "delta", "island").agg(F.min("first").alias("first"), F.max("end").alias("end"))
     ranges, _ = keep(ranges.select("doc", "first", (F.col("end") - F.col("first")).alias("n"), "at",
                                    (F.col("first") + F.col("delta")).alias("at_first")), "repeated-ranges")
-    return _grown(named, ranges, reach=2)
+    grown, _ = keep(_grown(named, ranges, reach=4), "whole-ranges")
+    return _both_places(named, grown, reach=0).select("doc", "first", "n").distinct()
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
